@@ -5,21 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from intervalis.llm import parity_join
+from intervalis.llm import backoff_lm, harmonic_packing, hyper_language, parity_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(modulus: int, value: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == value
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = parity_join.jaccard_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score_texts(_table(spark, sf_dir, "documents"), _fold(10, 0))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper_language.identify(_table(spark, sf_dir, "documents"), _fold(4, 2))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic_packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op6_language_id": op6_language_id,
+    "op7_packing": op7_packing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_ngram_jaccard_join": r"""
