@@ -8,13 +8,18 @@ them, which bounds the distance; the strings are cut into parts, and by the
 pigeonhole principle linked sets agree in some part that is not empty. A part
 is represented by the XOR of its odd bits' hashes.
 
+Shingles that very many texts share (a fixed number of them at most) are left
+out of the strings, which can only lower the distance; a set with too few other
+parts for the pigeonhole argument also emits parts over all its shingles.
+
 Steps: (1) one thin row per document: set size, fingerprint, a dense 1024-bit
 parity sketch; (2) parts as join keys, once per distinct set and task, in each
 size band where a partner can be; (3) within a key, neighbours and the
 smallest member become candidate pairs, which size and sketch distance thin
-out and the exact sets verify; (4) connected components; (5) what a key still
-holds in different components is paired in full and verified, so no link
-between different sets is lost; (6) components again.
+out and the exact sets verify; (4) connected components; (5) the same with
+neighbours of different components in other orders; (6) what a key still holds
+in different components is paired in full and verified, so no link that could
+join two components is lost; (7) components again.
 
 Exact copies share a fingerprint and are one node throughout. Documents
 without words have size 0 and are linked with nothing; null text counts as
@@ -40,6 +45,9 @@ SKETCH_LONGS = 16
 #: Members of a part, at the top of a size band; bands double.
 PART_LOAD = 2.8
 BLOOM_WORDS = 1 << 17
+#: At most so many shingles are left out of the strings; each is in this many sets of one task at least.
+MOST_COMMON, COMMON_IN_TASK = 1 << 17, 6
+BRIDGE_ROUNDS = 2
 _COEFFICIENTS = stream(2, 16) | np.uint64(1)
 
 
@@ -74,32 +82,49 @@ def size_band(n: int) -> int:
     return n.bit_length()
 
 
-def part_keys(members: np.ndarray) -> np.ndarray:
+def _held_in(members: np.ndarray, few: np.ndarray) -> np.ndarray:
+    if not len(few):
+        return np.zeros(len(members), dtype=bool)
+    at = np.searchsorted(few, members)
+    return few[np.minimum(at, len(few) - 1)] == members
+
+
+def _parts(members: np.ndarray, parts: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The non-empty parts of a bit string, in order, and the key of each."""
+    part = ((members >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, dtype=np.int64)
+    content = np.bitwise_xor.reduceat(mix(members + np.uint64(7)), at) if len(part) else members
+    return part[at], mix(content + mix(seed ^ part[at]))
+
+
+def part_keys(members: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Join keys of a set: its leading non-empty parts in its own size band, and in the band below if a smaller partner can be there.
 
     A linked partner differs in at most n / 4 parts, so n // 4 + 1 non-empty
-    ones suffice. A set with fewer than that also emits its empty parts: two
-    such sets then share one of all parts, and a set of the usual kind always
-    agrees with it in a part that is not empty.
+    ones suffice; they are taken over the shingles that aren't ``common``
+    (sorted). A set with fewer emits all of them, and those over all its
+    shingles; if these are too few as well, its empty parts too. Two sets of
+    the latter kinds then share a part of that kind, and a set of the usual
+    kind always agrees with its partner in a part that is not empty.
     """
     n = len(members)
     if n < 4:  # linked sets this small are equal
         return members[:0]
-    need, out = n // 4 + 1, []
+    need, out, rare = n // 4 + 1, [], members[~_held_in(members, common)]
     for band in (size_band(n), size_band(n) - 1):
-        floor = 1 << (band - 1)
-        if band != size_band(n) and n * 4 > (2 * floor - 1) * 5:
+        top = (1 << band) - 1
+        if band != size_band(n) and n * 4 > top * 5:
             continue  # its smallest partner is still in its own band
-        parts = max(4, int(2 * floor / PART_LOAD) + 2)
-        part = ((members >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        content = np.bitwise_xor.reduceat(mix(members + np.uint64(7)), at)
-        seed = mix(np.uint64(band))
-        keys = mix(content + mix(seed ^ part[at]))
+        parts = max(4, int((top + 1) / PART_LOAD) + 2)
+        seed = mix(np.array([band, band + 1000, band + 2000], dtype=np.uint64))
+        _, keys = _parts(rare, parts, seed[0])
         out.append(keys[:need])
-        if len(at) < need:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[at])
-            out.append(mix(mix(seed ^ empty) ^ np.uint64(0x5EED)))
+        if len(keys) < need:
+            full, keys = _parts(members, parts, seed[1])
+            out.append(keys[:need])
+            if len(keys) < need:
+                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), full)
+                out.append(mix(seed[2] ^ empty))
     return np.concatenate(out)
 
 
@@ -107,30 +132,57 @@ def _rows(table: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(table, schema=schema)
 
 
-def _thin(keep: list[str]):
-    schema = pa.schema([("n", pa.int64()), ("fp", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+def _thin(id_type: pa.DataType):
+    """Thin rows; after a task's last, its common shingles: their hashes as fp, and how many sets hold them."""
+    schema = pa.schema([("id", id_type), ("n", pa.int64()), ("fp", pa.int64()), ("sketch", pa.list_(pa.int64())), ("common", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        pool: list[np.ndarray] = []
+        tally, counts, pooled = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+        def fold(final: bool) -> None:
+            """Add the pool to the tally; a shingle met once in a full pool is forgotten."""
+            nonlocal tally, counts, pooled
+            new, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *pool]), return_counts=True)
+            tally, index = np.unique(np.concatenate([tally, new]), return_inverse=True)
+            counts = np.bincount(index, weights=np.concatenate([counts, times]), minlength=len(tally)).astype(np.int64)
+            keep = counts >= (COMMON_IN_TASK if final else 2)
+            tally, counts, pooled = tally[keep], counts[keep], 0
+            pool.clear()
+
         for batch in batches:
             sets = list(shingle_sets(text_bytes(batch.column("text"))))
-            own = _rows({"n": [len(s) for s in sets], "fp": [fingerprint(s) if len(s) else None for s in sets], "sketch": [dense_sketch(s) if len(s) else None for s in sets]}, schema)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *own.columns], names=[*keep, *own.schema.names])
+            names = [fingerprint(s) if len(s) else None for s in sets]
+            for name, members in zip(names, sets, strict=True):
+                if name is not None and name not in seen:
+                    seen.add(name)
+                    pool.append(members)
+                    pooled += len(members)
+                    if pooled > 1 << 22:
+                        fold(False)
+            yield _rows({"id": batch.column("id"), "n": [len(s) for s in sets], "fp": names, "sketch": [dense_sketch(s) if len(s) else None for s in sets], "common": [False] * len(sets)}, schema)
+        fold(True)
+        yield _rows({"id": pa.nulls(len(tally), id_type), "n": counts, "fp": tally.view(np.int64), "sketch": pa.nulls(len(tally), pa.list_(pa.int64())), "common": [True] * len(tally)}, schema)
 
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for batch in batches:
-        keys, names = [], []
-        for members in shingle_sets(text_bytes(batch.column("text"))):
-            if len(members) < 4 or (name := fingerprint(members)) in seen:
-                continue
-            seen.add(name)
-            keys.append(part_keys(members))
-            names.append(np.full(len(keys[-1]), name, dtype=np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], names=["part", "fp"])
+def _keyed(common: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            keys, names = [], []
+            for members in shingle_sets(text_bytes(batch.column("text"))):
+                if len(members) < 4 or (name := fingerprint(members)) in seen:
+                    continue
+                seen.add(name)
+                keys.append(part_keys(members, common))
+                names.append(np.full(len(keys[-1]), name, dtype=np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], names=["part", "fp"])
+
+    return run
 
 
 def _wanted_sets(bitmap: np.ndarray):
@@ -170,13 +222,12 @@ def _near(x: str, y: str) -> F.Column:
     return (F.least(f"{x}.n", f"{y}.n") * 5 >= F.greatest(f"{x}.n", f"{y}.n") * 4) & (apart * 9 <= total)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose sets are linked. The sets come from a second reading of the texts, thinned by a bitmap of fixed size."""
-    spark = pairs.sparkSession
+def _sets_of(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """(fp, members) of the named sets, from a reading of the texts that a bitmap of fixed size thins out."""
+    spark = names.sparkSession
     slot = F.col("fp").bitwiseAND(F.lit(64 * BLOOM_WORDS - 1))
     words = (
-        pairs.select(F.explode(F.array("a", "b")).alias("fp"))
-        .select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(fp & {63} as int))").alias("bit"))
+        names.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(fp & 63 as int))").alias("bit"))
         .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
     )  # at most BLOOM_WORDS rows
     bitmap = np.zeros(BLOOM_WORDS, dtype=np.int64)
@@ -184,62 +235,80 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         bitmap[word] = bits
     shared = spark.sparkContext.broadcast(bitmap)
 
-    def sets(batches):
+    def run(batches):
         return _wanted_sets(shared.value)(batches)
 
-    found = docs.select("text").mapInArrow(sets, "fp long, members binary")
-    found = found.dropDuplicates(["fp"])
-    left = pairs.join(found.select(F.col("fp").alias("a"), F.col("members").alias("ma")), "a")
-    both = left.join(found.select(F.col("fp").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
+    return texts.select("text").mapInArrow(run, "fp long, members binary").dropDuplicates(["fp"])
+
+
+def _verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose sets are linked."""
+    left = pairs.join(held.select(F.col("fp").alias("a"), F.col("members").alias("ma")), "a")
+    both = left.join(held.select(F.col("fp").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
     return both.mapInArrow(_judged, "a long, b long")
 
 
+def _thinned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs that sizes and sketches allow."""
+    x, y = sets.alias("x"), sets.alias("y")
+    return pairs.distinct().join(x, F.col("a") == F.col("x.fp")).join(y, F.col("b") == F.col("y.fp")).filter(_near("x", "y")).select("a", "b")
+
+
+def _in_components(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(part, fp, comp) of the parts whose sets are in different components."""
+    named = shared.join(label, F.col("fp") == F.col("node"), "left").select("part", "fp", F.coalesce("component", "fp").alias("comp"))
+    mixed = named.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("part")
+    return named.join(mixed, "part")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, n_shingles, fp (the set's name, null if empty) and component_id.
 
     component_id is the least id reachable by links, the row's own included.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
     bound_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(texts.dtypes)["id"]
-    thin = materialize(texts.mapInArrow(_thin(["id"]), f"id {kind}, n long, fp long, sketch array<long>"), "parity-thin")
+    kind, id_type = dict(texts.dtypes)["id"], to_arrow_type(texts.schema["id"].dataType)
+    every = materialize(texts.mapInArrow(_thin(id_type), f"id {kind}, n long, fp long, sketch array<long>, common boolean"), "parity-thin")
+    thin = every.filter("not common")
     sets = thin.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-
-    in_key = Window.partitionBy("part").orderBy("fp")
-    keyed = texts.select("text").mapInArrow(_keyed, "part long, fp long")
-    shared = materialize(
-        keyed.select("part", "fp", F.first("fp").over(in_key.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("fp").over(in_key).alias("before"), F.lead("fp").over(in_key).alias("after"))
-        .filter("fp <> before or fp <> after"),
-        "parity-parts",
-    )
-    pairs = (
-        shared.select("fp", F.explode(F.array_distinct(F.array("head", "before"))).alias("a"))
-        .filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
-    )
-    near = (
-        pairs.join(sets.alias("x"), F.col("a") == F.col("x.fp")).join(sets.alias("y"), F.col("b") == F.col("y.fp"))
-        .filter(_near("x", "y")).select("a", "b")
-    )
-    near = materialize(near, "parity-pairs")
-    links = materialize(_verify(near, texts), "parity-links")
+    common = every.filter("common").groupBy("fp").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "fp").limit(MOST_COMMON).collect()
+    few = spark.sparkContext.broadcast(np.sort(np.array([r.fp for r in common], dtype=np.int64).view(np.uint64)))
+
+    def keyed(batches):
+        return _keyed(few.value)(batches)
+
+    in_part = Window.partitionBy("part").orderBy("fp")
+    rows = texts.select("text").mapInArrow(keyed, "part long, fp long")
+    rows = rows.select("part", "fp", F.first("fp").over(in_part.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("fp").over(in_part).alias("before"), F.lead("fp").over(in_part).alias("after"))
+    found = materialize(rows.filter("(after is null and head <> fp) or after <> fp"), "parity-parts")  # the last of each set, where a part has two
+    shared = found.select("part", "fp")
+    pairs = found.select("fp", F.explode(F.array_distinct(F.array("head", "before"))).alias("a")).filter("a < fp").select("a", F.col("fp").alias("b"))
+    tried = materialize(_thinned(pairs, sets), "parity-pairs")
+    held = materialize(_sets_of(shared.select("fp"), texts), "parity-sets")
+    links = materialize(_verify(tried, held), "parity-links")
     label = connected_components(links, "a", "b")
 
-    named = shared.select("part", "fp").distinct().join(label, F.col("fp") == F.col("node"), "left").select("part", "fp", F.coalesce("component", "fp").alias("comp"))
-    mixed = named.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("part")
-    rest = materialize(named.join(mixed, "part").join(sets.select("fp", "n", "sketch"), "fp"), "parity-mixed")
-    more = (
-        rest.alias("x").join(rest.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y"))
-        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-        .join(near, ["a", "b"], "left_anti")
-    )
-    more = materialize(more, "parity-pairs")
-    if not more.isEmpty():
-        links = materialize(links.unionByName(_verify(more, texts)), "parity-links")
-        label = connected_components(links, "a", "b")
+    for k in range(BRIDGE_ROUNDS + 1):
+        mixed = materialize(_in_components(shared, label), "parity-mixed")
+        if k < BRIDGE_ROUNDS:
+            order = Window.partitionBy("part").orderBy(F.xxhash64("fp", F.lit(k)), "fp")
+            pairs = mixed.select("comp", "fp", F.lag("comp").over(order).alias("other"), F.lag("fp").over(order).alias("a")).filter("comp <> other")
+            new = _thinned(pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")), sets)
+        else:
+            rest = mixed.join(sets.select("fp", "n", "sketch"), "fp")
+            meet = (F.col("x.part") == F.col("y.part")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.comp") != F.col("y.comp"))
+            new = rest.alias("x").join(rest.alias("y"), meet & _near("x", "y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+        new = materialize(new.join(tried, ["a", "b"], "left_anti"), "parity-pairs")
+        more = materialize(_verify(new, held), "parity-links")
+        if not more.isEmpty():
+            links, tried = links.unionByName(more), tried.unionByName(new)
+            label = connected_components(links, "a", "b")
 
     classes = sets.select("fp", "id").join(label, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("comp"))
     least = classes.groupBy("comp").agg(F.min("id").alias("component_id"))
     of_set = classes.join(least, "comp").select(F.col("fp").alias("set_fp"), "component_id")
     return thin.join(of_set, F.col("fp") == F.col("set_fp"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "fp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-

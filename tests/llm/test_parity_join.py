@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,7 +74,8 @@ def test_linked_sets_share_a_key():
             if len(a & c) * 100 < 80 * len(a | c):
                 break
             b = c
-        keys = [set(parity_join.part_keys(parity_join.np.sort(universe[sorted(s)])).tolist()) for s in (a, b)]
+        common = np.sort(rnd.sample(universe.tolist(), rnd.choice([0, n // 3, 2 * n, 3 * n])))
+        keys = [set(parity_join.part_keys(np.sort(universe[sorted(s)]), np.array(common, dtype=np.uint64)).tolist()) for s in (a, b)]
         assert a == b or keys[0] & keys[1]
 
 
