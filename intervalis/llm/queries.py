@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervalis.llm import backoff_lm, harmonic_packing, hyper_language, parity_join
+from intervalis.llm import backoff_lm, bootstrap_pii, harmonic_packing, hyper_language, parity_join, source_mixing, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,40 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_texts(_table(spark, sf_dir, "documents"), _fold(10, 0))
 
 
+#: (verdict, host, path)
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document of its number: block if toxic or of low quality."""
+    pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
+    bad = (F.max("toxic") == 1) | (F.min("quality") == 0)
+    verdicts = labels.groupBy("doc_id").agg(F.when(bad, "block").otherwise("allow").alias("verdict"))
+    labelled = pages.join(verdicts, F.col("page_id") == F.col("doc_id")).select("url", "verdict")
+    return url_rules.judge_urls(pages, labelled, URL_RULES)
+
+
+#: How much likelier a document that is labelled good comes early than another, and one labelled bad or toxic.
+GOOD, BAD = 2.0, 0.5
+
+
+def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with quality_weight from the labels, 1 where there is none; a row for each row."""
+    toxic, good = F.max("toxic") == 1, F.min("quality") == 1
+    weights = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.when(toxic, BAD).when(good, GOOD).otherwise(BAD).alias("quality_weight"))
+    joined = docs.drop("labelled_id", "quality_weight").join(weights, F.col("doc_id") == F.col("labelled_id"), "left").drop("labelled_id")
+    return joined.withColumn("quality_weight", F.coalesce("quality_weight", F.lit(1.0)))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return source_mixing.mix_sources(docs, F.col("quality_weight")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap_pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyper_language.identify(_table(spark, sf_dir, "documents"), _fold(4, 2))
 
@@ -43,11 +77,38 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op1_url_filters": op1_url_filters,
+    "op3_mixing": op3_mixing,
+    "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
     "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": r"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS size,
+                   -ln((('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710657.0)
+                       / coalesce((SELECT CASE WHEN max(toxic) = 1 THEN 0.5 WHEN min(quality) = 1 THEN 2.0 ELSE 0.5 END FROM labels l WHERE l.doc_id = d.doc_id HAVING count(*) > 0), 1.0) AS key
+            FROM documents d),
+        sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size, 3.0 * sum(size) AS cap,
+                   [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+            FROM docs GROUP BY source),
+        levels(step, level) AS (
+            SELECT 0, 0::DOUBLE
+            UNION ALL
+            SELECT step + 1, (SELECT (sum(source_size) - coalesce(sum(cap) FILTER (cap <= level * weight), 0)) / sum(weight) FILTER (cap > level * weight) FROM sources)::DOUBLE
+            FROM levels WHERE step <= (SELECT count(*) FROM sources)),
+        targets AS (
+            SELECT source, source_size, least(cap, weight * (SELECT max_by(level, step) FROM levels WHERE level IS NOT NULL))::DOUBLE AS target FROM sources),
+        placed AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+                   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size::BIGINT AS size, source_size, target,
+               ((whole + CASE WHEN size > 0 AND before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+        FROM placed""",
     "op8_ngram_jaccard_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
