@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervalis.llm import backoff_lm, bootstrap_pii, harmonic_packing, hyper_language, parity_join, source_mixing, url_rules
+from intervalis.llm import backoff_lm, bootstrap_pii, cover_top_k, harmonic_packing, hyper_language, parity_join, prefix_forest, source_mixing, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_texts(_table(spark, sf_dir, "documents"), _fold(10, 0))
 
@@ -57,6 +61,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(docs, F.col("quality_weight")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_top_k.top_k_products(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap_pii.find_pii(_table(spark, sf_dir, "documents"))
 
@@ -79,9 +87,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op1_url_filters": op1_url_filters,
     "op3_mixing": op3_mixing,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -109,6 +119,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size::BIGINT AS size, source_size, target,
                ((whole + CASE WHEN size > 0 AND before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken
         FROM placed""",
+    "op4_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        e AS (SELECT vec_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM v),
+        s AS (SELECT q.vec_id AS query_id, d.vec_id, sum(q.x * d.x)::BIGINT AS score FROM e q JOIN e d ON q.i = d.i AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
     "op8_ngram_jaccard_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
