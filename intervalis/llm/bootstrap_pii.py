@@ -210,3 +210,36 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     )
     text = F.array_join(F.transform(F.array_sort(every), lambda t: F.concat_ws(":", t["kind"], t["start"], t["stop"])), ",")
     return rows.select(F.col("id").alias(id_col), *(f"n_{k}" for k in KINDS), "base_sha256", text.alias("spans"), F.coalesce(F.size("extra"), F.lit(0)).cast("long").alias("n_added"))
+
+
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """``text`` with each run of overlapping spans replaced by the kind of the first."""
+    out, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
+    """``docs`` with all found spans masked in the text; null texts stay null."""
+    found = added_spans(scan(docs, id_col, text_col), **thresholds)
+    extra = found.groupBy("id", "text_key").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("pii_extra")).withColumnsRenamed({"id": "pii_id", "text_key": "pii_key"})
+    rows = docs.withColumn("pii_text_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.join(extra, F.col(id_col).eqNullSafe(F.col("pii_id")) & (F.col("pii_text_key") == F.col("pii_key")), "left").select(*docs.columns, "pii_extra")
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, more in zip(batch.column(place).to_pylist(), batch.column("pii_extra").to_pylist(), strict=True):
+                if text is not None:
+                    spans = [(k, s, e) for k, v in base_spans(text).items() for s, e in v] + [(x["kind"], x["start"], x["stop"]) for x in more or []]
+                    text = masked(text, spans) if spans else text
+                texts.append(text)
+            columns = [*batch.columns[:-1]]
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

@@ -82,7 +82,7 @@ class Bins:
         self.next, self.capacity, self.open = first, capacity, {}
 
     def add(self, size: int) -> tuple[int, int, int]:
-        """(class, number in the class, bin number) for a piece; every capacity // size-th opens a bin."""
+        """(bin, pieces in it before) of a piece; a class opens a bin when its last one is full."""
         number, held = self.open.get(size, (None, 0))
         if number is None or held == self.capacity // size:
             number, held = self.next, 0
@@ -107,7 +107,7 @@ _SCHEMA = ["start long", "length long", "ids_crc32 long", "doc_tokens long", "se
 
 
 def _packed(path: str, capacity: int, id_type: pa.DataType, with_ids: bool):
-    schema = pa.schema([("id", id_type), *((c.split()[0], pa.int64()) for c in _SCHEMA), *([("ids", pa.list_(pa.int64()))] if with_ids else [])])
+    schema = pa.schema([("id", id_type), *((c.split()[0], pa.int64()) for c in _SCHEMA), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
@@ -123,7 +123,7 @@ def _packed(path: str, capacity: int, id_type: pa.DataType, with_ids: bool):
                 for size in cut(len(ids), capacity):
                     number, held = bins.add(size)
                     part = ids[start : start + size]
-                    row = (doc, start, size, zlib.crc32(part.tobytes()), len(ids), number, held * size, *([part.tolist()] if with_ids else []))
+                    row = (doc, start, size, zlib.crc32(part.tobytes()), len(ids), number, held * size, *([part.view("<i4")] if with_ids else []))
                     if size == capacity:
                         ready.append(row)
                     else:
@@ -154,5 +154,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    out = rows.mapInArrow(_packed(tokenizer, capacity, to_arrow_type(rows.schema["id"].dataType), with_ids), f"id {kind}, {', '.join(_SCHEMA)}" + ", ids array<long>" * with_ids)
+    out = rows.mapInArrow(_packed(tokenizer, capacity, to_arrow_type(rows.schema["id"].dataType), with_ids), f"id {kind}, {', '.join(_SCHEMA)}" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("id", id_col)

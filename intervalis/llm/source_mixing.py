@@ -85,3 +85,13 @@ def mix_sources(docs: DataFrame, quality: F.Column | None = None, id_col: str =
     return summed.withColumn("epochs", F.col("whole") + F.when(chosen & (F.col("size") > 0), 1).otherwise(0)).select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "epochs", "key", "source", "text_key"
     )
+
+
+def mixed(docs: DataFrame, quality: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    plan = mix_sources(docs, quality, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias("mix_id"), F.col("text_key").alias("mix_key"), F.col("source").alias("mix_source")).agg(F.sum("epochs").alias("mix_times")).filter("mix_times > 0")
+    alone = Window.partitionBy(id_col, "row_key", source_col).orderBy(F.lit(1))
+    rows = docs.withColumn("row_key", key).withColumn("row_number", F.row_number().over(alone)).filter("row_number = 1")
+    same = F.col(id_col).eqNullSafe(F.col("mix_id")) & (F.col("row_key") == F.col("mix_key")) & F.col(source_col).eqNullSafe(F.col("mix_source"))
+    return rows.join(plan, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int")))).select(*docs.columns)
