@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 _BLANKS = b" \t\n\x0b\x0c\r"
 
 

@@ -16,10 +16,11 @@ Steps: (1) one thin row per document: set size, fingerprint, a dense 1024-bit
 parity sketch; (2) parts as join keys, once per distinct set and task, in each
 size band where a partner can be; (3) within a key, neighbours and the
 smallest member become candidate pairs, which size and sketch distance thin
-out and the exact sets verify; (4) connected components; (5) the same with
-neighbours of different components in other orders; (6) what a key still holds
-in different components is paired in full and verified, so no link that could
-join two components is lost; (7) components again.
+out; (4) the closest pair of each set is verified with the exact sets, and
+links make components; (5) then the other candidates, and neighbours in another
+order, whose components differ; (6) what a key still holds in different
+components is paired in full and verified, so no link that could join two
+components is lost.
 
 Exact copies share a fingerprint and are one node throughout. Documents
 without words have size 0 and are linked with nothing; null text counts as
@@ -47,7 +48,6 @@ PART_LOAD = 2.8
 BLOOM_WORDS = 1 << 17
 #: At most so many shingles are left out of the strings; each is in this many sets of one task at least.
 MOST_COMMON, COMMON_IN_TASK = 1 << 17, 6
-BRIDGE_ROUNDS = 2
 _COEFFICIENTS = stream(2, 16) | np.uint64(1)
 
 
@@ -159,7 +159,7 @@ def _thin(id_type: pa.DataType):
                     seen.add(name)
                     pool.append(members)
                     pooled += len(members)
-                    if pooled > 1 << 22:
+                    if pooled > 1 << 20:
                         fold(False)
             yield _rows({"id": batch.column("id"), "n": [len(s) for s in sets], "fp": names, "sketch": [dense_sketch(s) if len(s) else None for s in sets], "common": [False] * len(sets)}, schema)
         fold(True)
@@ -215,11 +215,15 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _apart(x: str, y: str) -> F.Column:
+    """Hamming distance of two sketches: at most the symmetric difference of the sets."""
+    return sum((F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(SKETCH_LONGS)), F.lit(0))
+
+
 def _near(x: str, y: str) -> F.Column:
     """Sizes and sketch distance allow a link of x and y."""
-    total = F.col(f"{x}.n") + F.col(f"{y}.n")
-    apart = sum((F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(SKETCH_LONGS)), F.lit(0))
-    return (F.least(f"{x}.n", f"{y}.n") * 5 >= F.greatest(f"{x}.n", f"{y}.n") * 4) & (apart * 9 <= total)
+    sizes = F.least(f"{x}.n", f"{y}.n") * 5 >= F.greatest(f"{x}.n", f"{y}.n") * 4
+    return sizes & (_apart(x, y) * 9 <= F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
 def _sets_of(names: DataFrame, texts: DataFrame) -> DataFrame:
@@ -238,7 +242,7 @@ def _sets_of(names: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         return _wanted_sets(shared.value)(batches)
 
-    return texts.select("text").mapInArrow(run, "fp long, members binary").dropDuplicates(["fp"])
+    return texts.select("text").mapInArrow(run, "fp long, members binary").join(names, "fp", "left_semi").dropDuplicates(["fp"])
 
 
 def _verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -249,9 +253,16 @@ def _verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _thinned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct pairs that sizes and sketches allow."""
+    """The distinct pairs that sizes and sketches allow, and how far apart their sketches are for their sizes."""
     x, y = sets.alias("x"), sets.alias("y")
-    return pairs.distinct().join(x, F.col("a") == F.col("x.fp")).join(y, F.col("b") == F.col("y.fp")).filter(_near("x", "y")).select("a", "b")
+    both = pairs.distinct().join(x, F.col("a") == F.col("x.fp")).join(y, F.col("b") == F.col("y.fp")).filter(_near("x", "y"))
+    return both.select("a", "b", (_apart("x", "y") / (F.col("x.n") + F.col("y.n"))).alias("gap"))
+
+
+def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose components differ."""
+    of_a, of_b = label.select(F.col("node").alias("a"), F.col("component").alias("ca")), label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def _in_components(shared: DataFrame, label: DataFrame) -> DataFrame:
@@ -298,26 +309,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialize(rows.filter("(after is null and head <> fp) or after <> fp"), "parity-parts")  # the last of each set, where a part has two
     shared = found.select("part", "fp")
     pairs = found.select("fp", F.explode(F.array_distinct(F.array("head", "before"))).alias("a")).filter("a < fp").select("a", F.col("fp").alias("b"))
-    tried = materialize(_thinned(pairs, sets), "parity-pairs")
-    held = materialize(_sets_of(shared.select("fp"), texts), "parity-sets")
+    near = materialize(_thinned(pairs, sets), "parity-pairs")
+    names = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    held = materialize(_sets_of(names, texts), "parity-sets")
+
+    tried = near.groupBy("b").agg(F.min(F.struct("gap", "a"))["a"].alias("a")).select("a", "b")
+    tried = materialize(tried, "parity-tried")
     links = materialize(_verify(tried, held), "parity-links")
     label = connected_components(links, "a", "b")
 
-    for k in range(BRIDGE_ROUNDS + 1):
-        mixed = materialize(_in_components(shared, label), "parity-mixed")
-        if k < BRIDGE_ROUNDS:
-            order = Window.partitionBy("part").orderBy(F.xxhash64("fp", F.lit(k)), "fp")
-            pairs = mixed.select("comp", "fp", F.lag("comp").over(order).alias("other"), F.lag("fp").over(order).alias("a")).filter("comp <> other")
-            new = _thinned(pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")), sets)
-        else:
-            rest = mixed.join(sets.select("fp", "n", "sketch"), "fp")
-            meet = (F.col("x.part") == F.col("y.part")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.comp") != F.col("y.comp"))
-            new = rest.alias("x").join(rest.alias("y"), meet & _near("x", "y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-        new = materialize(new.join(tried, ["a", "b"], "left_anti"), "parity-pairs")
-        more = materialize(_verify(new, held), "parity-links")
-        if not more.isEmpty():
-            links, tried = links.unionByName(more), tried.unionByName(new)
-            label = connected_components(links, "a", "b")
+    mixed = _in_components(shared, label).join(names, "fp", "left_semi")
+    order = Window.partitionBy("part").orderBy(F.xxhash64("fp", F.lit(1)), "fp")
+    bridges = mixed.select("comp", "fp", F.lag("comp").over(order).alias("other"), F.lag("fp").over(order).alias("before")).filter("comp <> other")
+    bridges = _thinned(bridges.select(F.least("before", "fp").alias("a"), F.greatest("before", "fp").alias("b")), sets).select("a", "b")
+    new = _across(near.select("a", "b"), label).unionByName(bridges).distinct().join(tried, ["a", "b"], "left_anti")
+    new = materialize(new, "parity-tried")
+    more = materialize(_verify(new, held), "parity-links")
+    links, tried = links.unionByName(more), tried.unionByName(new)
+    if not more.isEmpty():
+        label = connected_components(links, "a", "b")
+
+    rest = materialize(_in_components(shared, label).join(sets.select("fp", "n", "sketch"), "fp"), "parity-mixed")
+    meet = (F.col("x.part") == F.col("y.part")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.comp") != F.col("y.comp"))
+    new = rest.alias("x").join(rest.alias("y"), meet & _near("x", "y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    new = materialize(new.join(tried, ["a", "b"], "left_anti"), "parity-tried")
+    missing = new.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(names, "fp", "left_anti")
+    if not missing.isEmpty():
+        held = held.unionByName(materialize(_sets_of(missing, texts), "parity-sets"))
+    more = materialize(_verify(new, held), "parity-links")
+    if not more.isEmpty():
+        label = connected_components(links.unionByName(more), "a", "b")
 
     classes = sets.select("fp", "id").join(label, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("comp"))
     least = classes.groupBy("comp").agg(F.min("id").alias("component_id"))
