@@ -35,9 +35,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Null ends and self loops are ignored; nodes without an edge do not appear.
     """
-    now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null and u <> v")
+    now = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), F.col(src).alias("s"), F.col(dst).alias("d"))
+    now = now.filter("s is not null and d is not null and u <> v").select("u", "v")
     now = materialize(now.distinct(), "cc")
-    before = None
+    before = _signature(now)
     while True:
         now = materialize(_small_star(_large_star(now)), "cc")
         after = _signature(now)
