@@ -5,30 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from intervalis.plans import pair_queries, rollup_queries, search_queries, series_queries
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def best_takes_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.col("l_quantity") / 5
-    tier = F.when(score >= 8, "gold").when(score >= 6, "silver").when(score >= 4, "bronze").otherwise("discard")
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_linenumber", score.alias("score"), tier.alias("tier"))
-        .filter("tier in ('gold', 'silver')")
-        .orderBy(F.desc("score"), "l_orderkey", "l_linenumber")
-        .limit(50)
-    )
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"best_takes_topk": best_takes_topk}
-ORACLE_SQL: dict[str, str] = {
-    "best_takes_topk": """
-        SELECT l_orderkey, l_linenumber, l_quantity / 5 AS score,
-               CASE WHEN l_quantity / 5 >= 8 THEN 'gold' ELSE 'silver' END AS tier
-        FROM lineitem WHERE l_quantity / 5 >= 6
-        ORDER BY score DESC, l_orderkey, l_linenumber LIMIT 50""",
-}
+_PARTS = (search_queries, rollup_queries, series_queries, pair_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for part in _PARTS for k, v in part.REGISTER.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: v for part in _PARTS for k, v in part.REGISTER.sql.items()}
