@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,10 +13,16 @@ CATEGORIES = ("stability", "focus", "exposure", "composition")
 
 
 def metric(name: str, default: float = 0.0, struct: str = "metrics") -> Column:
-    """A metric, with its default where missing."""
+    """A metric, with its default where it is null."""
     return F.coalesce(F.col(f"{struct}.{name}" if struct else name).cast("double"), F.lit(float(default)))
 
 
+def metrics_of(df: DataFrame, struct: str = "metrics") -> Callable[..., Column]:
+    """``metric`` for a table whose struct may lack fields: these take their defaults."""
+    there = set(df.schema[struct].dataType.names)
+    return lambda name, default=0.0: metric(name, default, struct) if name in there else F.lit(float(default))
+
+
 def ladder(*steps: tuple[Column, object], otherwise: object = None) -> Column:
     """The value of the first true condition."""
     first, *rest = steps
@@ -146,8 +153,9 @@ def weighted_score(made: Column) -> Column:
 
 def evaluate(segments: DataFrame, active: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """``segments`` with shot_type, criteria, score, is_critically_blurry and tier from their metrics."""
-    rows = segments.withColumn("shot_type", movement_type()).withColumn("criteria", criteria(F.col("shot_type"), active))
-    blurry = metric("sharpness_mean", 100) < BLURRY_LIMIT if "focus" in active else F.lit(False)
+    m = metrics_of(segments)
+    rows = segments.withColumn("shot_type", movement_type(m)).withColumn("criteria", criteria(F.col("shot_type"), active, m))
+    blurry = m("sharpness_mean", 100) < BLURRY_LIMIT if "focus" in active else F.lit(False)
     rows = rows.withColumn("is_critically_blurry", blurry).withColumn("score", weighted_score(F.col("criteria")))
     rows = rows.withColumn("score", F.when(blurry, F.least("score", F.lit(BLURRY_SCORE))).otherwise(F.col("score")))
     return rows.withColumn("tier", F.when(blurry, "discard").otherwise(tier_of(F.col("score"))))

@@ -71,7 +71,7 @@ def at_original_position(clips: DataFrame, videos: DataFrame, key: str = "projec
 
 def file_definitions(clips: DataFrame, key: str = "project_id") -> DataFrame:
     """``clips`` with defines_file: whether a clip is the first of its file, and so carries its definition."""
-    first = Window.partitionBy(key, "file_id").orderBy("timeline_start", "position")
+    first = Window.partitionBy(key, "file_id").orderBy("track", "position")
     return clips.withColumn("file_id", plain_id(F.col("filename"))).withColumn("defines_file", F.row_number().over(first) == 1)
 
 

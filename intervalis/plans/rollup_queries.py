@@ -66,7 +66,7 @@ REGISTER.add(
     "garbage_rollup", lambda s, d: R.garbage_rollup(segments(s, d)).select(F.col("level").cast("int").alias("level"), "garbage_type", "video_id", "duration", "count", "total_pct", "advice"),
     """SELECT grouping(garbage_type, video_id)::INT AS level, garbage_type, video_id, sum(duration) AS duration, count(*) AS count,
        CASE WHEN grouping(garbage_type, video_id) = 3 THEN sum(duration) / (SELECT sum(duration) FROM seg) * 100 END AS total_pct,
-       CASE WHEN grouping(garbage_type, video_id) = 3 THEN CASE WHEN total_pct > 10 THEN 'high' WHEN total_pct > 0 THEN 'some' ELSE 'none' END END AS advice
+       CASE WHEN grouping(garbage_type, video_id) = 3 THEN CASE WHEN sum(duration) / (SELECT sum(duration) FROM seg) * 100 > 10 THEN 'high' WHEN sum(duration) > 0 THEN 'some' ELSE 'none' END END AS advice
        FROM seg WHERE is_garbage GROUP BY GROUPING SETS ((), (garbage_type), (video_id))""", SEGMENTS_SQL,
 )
 REGISTER.add(
@@ -129,10 +129,15 @@ REGISTER.add(
        FROM (SELECT *, face_count * 0.9::DOUBLE AS f FROM seg)""", SEGMENTS_SQL,
 )
 _SCORED_SQL = """(1.5 * CASE WHEN brightness BETWEEN 0.4 AND 0.7 THEN 10 WHEN brightness < 0.2 OR brightness > 0.85 THEN 3 ELSE 7 END + 1.0 * 10 + 1.0 * CASE WHEN contrast BETWEEN 0.3 AND 0.7 THEN 10 WHEN contrast BETWEEN 0.2 AND 0.85 THEN 7 WHEN contrast < 0.2 THEN 4 ELSE 5 END) / 3.5"""
-REGISTER.add(
-    "weighted_score", lambda s, d: segments(s, d).select("video_id", "index", F.bround(scoring.weighted_score(scoring.criteria(F.col("shot_type"), ("exposure",))), 6).alias("score")),
-    f"SELECT video_id, index, round({_SCORED_SQL}::DOUBLE, 6) AS score FROM seg", SEGMENTS_SQL,
-)
+
+
+def _scored(s, d):
+    rows = segments(s, d)
+    made = scoring.criteria(F.col("shot_type"), ("exposure",), scoring.metrics_of(rows))
+    return rows.select("video_id", "index", scoring.weighted_score(made).alias("score"))
+
+
+REGISTER.add("weighted_score", _scored, f"SELECT video_id, index, ({_SCORED_SQL})::DOUBLE AS score FROM seg", SEGMENTS_SQL)
 REGISTER.add("evaluate_segments", lambda s, d: scoring.evaluate(segments(s, d)).select("video_id", "index", "shot_type", "score", "tier", "is_critically_blurry"))
 REGISTER.add(
     "tags_rules", lambda s, d: tagging.tag_segments(segments(s, d).withColumn("framing_type_display", F.lit(""))).select("video_id", "index", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")),
@@ -155,11 +160,11 @@ REGISTER.add(
 
 
 def _clips(s, d):
-    rows = segments(s, d).filter("not is_garbage").select(F.col("scene_group_id").alias("project_id"), "filename", F.col("filename").alias("path"), "start_time", "end_time", "tier", "score", "shot_type", (F.col("video_id") * 10 + F.col("index")).alias("clip_no"), (F.col("video_id") % 50 + 60.0).alias("file_duration"))
+    rows = segments(s, d).filter("not is_garbage").select(F.col("scene_group_id").alias("project_id"), "filename", F.col("filename").alias("path"), "start_time", "end_time", "tier", "score", "shot_type", (F.col("video_id") * 1000 + F.col("index")).alias("clip_no"), (F.col("video_id") % 50 + 60.0).alias("file_duration"))
     return timeline.with_handles(rows, 0.5)
 
 
-_CLIPS_SQL = """clips AS (SELECT scene_group_id AS project_id, filename, start_time, end_time, tier, score, shot_type, video_id * 10 + index AS clip_no, greatest(0.0, start_time - 0.5) AS clip_in, least(video_id % 50 + 60.0, end_time + 0.5)::DOUBLE AS clip_out,
+_CLIPS_SQL = """clips AS (SELECT scene_group_id AS project_id, filename, start_time, end_time, tier, score, shot_type, video_id * 1000 + index AS clip_no, greatest(0.0, start_time - 0.5) AS clip_in, least(video_id % 50 + 60.0, end_time + 0.5)::DOUBLE AS clip_out,
     least(video_id % 50 + 60.0, end_time + 0.5)::DOUBLE - greatest(0.0, start_time - 0.5) AS clip_length, CASE tier WHEN 'gold' THEN 4 WHEN 'silver' THEN 3 WHEN 'bronze' THEN 2 ELSE 1 END AS tier_rank FROM seg WHERE NOT is_garbage)"""
 _COLUMNS = ("clip_no", "position", "timeline_start", "timeline_end")
 for _mode, _keys, _order in (("sequence", "project_id", "filename, start_time, clip_no"), ("by_tier", "project_id, tier", "filename, start_time, clip_no"), ("tracks", "project_id", "tier_rank DESC, filename, start_time, clip_no")):

@@ -56,17 +56,17 @@ _NESTED_SQL = "score >= 6 AND (shot_type = 'PANEO' OR (face_count >= 2 AND is_ke
 def _ordered(spark, d):
     """A tie key that is unique in the whole table."""
     rows = segments(spark, d)
-    return rows.withColumn("index", F.col("video_id") * 10 + F.col("index"))
+    return rows.withColumn("index", F.col("video_id") * 1000 + F.col("index"))
 
 
 REGISTER.add("search_nested_and_or", lambda s, d: S.matching(segments(s, d), S.parse_query(_NESTED)).select(*KEYS, "score"), f"SELECT video_id, index, score FROM seg WHERE {_NESTED_SQL}", SEGMENTS_SQL)
 REGISTER.add(
     "search_page", lambda s, d: S.page_of(_ordered(s, d), S.parse_query(_NESTED | {"include_fields": ["index", "take_group_id", "score"]})),
-    f"SELECT video_id * 10 + index AS index, take_group_id, score FROM seg WHERE {_NESTED_SQL} ORDER BY take_group_id DESC NULLS FIRST, 1 LIMIT 40 OFFSET 80", SEGMENTS_SQL,
+    f"SELECT video_id * 1000 + index AS index, take_group_id, score FROM seg WHERE {_NESTED_SQL} ORDER BY take_group_id DESC NULLS FIRST, 1 LIMIT 40 OFFSET 80", SEGMENTS_SQL,
 )
 REGISTER.add(
     "search_sort_nulls_last", lambda s, d: S.page_of(_ordered(s, d), S.Query(sort_by="take_group_id", page=2, page_size=100, include=("index", "take_group_id"))),
-    "SELECT video_id * 10 + index AS index, take_group_id FROM seg ORDER BY take_group_id ASC NULLS LAST, 1 LIMIT 100 OFFSET 100", SEGMENTS_SQL,
+    "SELECT video_id * 1000 + index AS index, take_group_id FROM seg ORDER BY take_group_id ASC NULLS LAST, 1 LIMIT 100 OFFSET 100", SEGMENTS_SQL,
 )
 REGISTER.add("search_empty_or", lambda s, d: S.matching(segments(s, d), S.Query(S.Group("or"))).select(*KEYS), "SELECT video_id, index FROM seg WHERE false", SEGMENTS_SQL)
 REGISTER.add(
@@ -85,7 +85,7 @@ for _name, (_args, _sql) in _SHORTCUTS.items():
     REGISTER.add(f"shortcut_{_name}", lambda s, d, n=_name, a=_args: S.shortcut(segments(s, d), n, *a).select(*KEYS, "score"), f"SELECT video_id, index, score FROM seg WHERE {_sql}", SEGMENTS_SQL)
 REGISTER.add(
     "shortcut_time_range", lambda s, d: S.shortcut(_ordered(s, d), "time_range", 20.0, 60.0).select("index", "start_time", "end_time"),
-    "SELECT video_id * 10 + index AS index, start_time, end_time FROM seg WHERE start_time >= 20 AND end_time <= 60 ORDER BY start_time, 1 LIMIT 50", SEGMENTS_SQL,
+    "SELECT video_id * 1000 + index AS index, start_time, end_time FROM seg WHERE start_time >= 20 AND end_time <= 60 ORDER BY start_time, 1 LIMIT 50", SEGMENTS_SQL,
 )
 REGISTER.add("min_tier", lambda s, d: S.min_tier(segments(s, d), "SILVER").select(*KEYS), "SELECT video_id, index FROM seg WHERE tier IN ('gold', 'silver')", SEGMENTS_SQL)
 REGISTER.add("exclude_garbage", lambda s, d: S.without_garbage(segments(s, d), ["lens_cap"]).select(*KEYS), "SELECT video_id, index FROM seg WHERE NOT (is_garbage AND coalesce(garbage_type = 'lens_cap', false))", SEGMENTS_SQL)

@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, index, start_time, end_time, duration, score, tier, shot_type, framing_type, face_count, coverage, flags, tags, metrics."""
     c, q = F.col, F.col("l_quantity")
-    end = F.sum("l_quantity").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0))
+    along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    end = F.sum("l_quantity").over(along.rowsBetween(Window.unboundedPreceding, 0))
     garbage = c("l_discount") >= 0.09
     score = q / 5
     framing = ladder((c("l_partkey") % 4 == 0, "PRIMER_PLANO"), (c("l_partkey") % 4 == 1, "PLANO_MEDIO"), (c("l_partkey") % 4 == 2, "PLANO_GENERAL"), otherwise="DESCONOCIDO")
@@ -28,19 +29,19 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lower("l_returnflag"), F.when(c("l_linestatus") == "O", "open"), F.when(q > 40, "long"), F.when(c("l_partkey") % 3 == 0, "persona"), F.when(c("l_partkey") % 7 == 0, "entrevista")), lambda t: t.isNotNull()
     )
     return table(spark, sf_dir, "lineitem").select(
-        c("l_orderkey").alias("video_id"), c("l_linenumber").cast("long").alias("index"), (end - q).alias("start_time"), end.alias("end_time"), q.alias("duration"), score.alias("score"),
+        c("l_orderkey").alias("video_id"), F.row_number().over(along).cast("long").alias("index"), (end - q).alias("start_time"), end.alias("end_time"), q.alias("duration"), score.alias("score"),
         F.when(garbage, "garbage").otherwise(tier_of(score)).alias("tier"), ladder((c("l_returnflag") == "A", "ESTATICA"), (c("l_returnflag") == "N", "PANEO"), otherwise="TILT").alias("shot_type"),
         framing.alias("framing_type"), (c("l_suppkey") % 4).cast("int").alias("face_count"), (c("l_tax") * 4).alias("coverage"), (c("l_suppkey") % 10).alias("scene_group_id"), garbage.alias("is_garbage"),
         F.when(garbage, F.when(c("l_returnflag") == "A", "lens_cap").otherwise("sky_shot")).alias("garbage_type"), (c("l_tax") >= 0.08).alias("is_key_moment"),
         F.when(c("l_linenumber") > 4, None).otherwise(c("l_linenumber") == 1).alias("is_best_take"), (c("l_linenumber").isin(2, 3)).alias("is_repeated_take"),
         F.when(c("l_linenumber") <= 3, (c("l_orderkey") % 5)).alias("take_group_id"), F.concat(F.lit("clip_"), c("l_orderkey"), F.lit(".mp4")).alias("filename"), tags.alias("tags"),
-        F.struct((c("l_discount") * 10).alias("brightness_mean"), (c("l_tax") * 10).alias("contrast_mean"), (q * 5).alias("sharpness_mean"), (q / 10).alias("motion_mean"), (c("l_tax") * 20).alias("motion_std"), (c("l_discount") * 3).alias("edge_density")).alias("metrics"),
+        F.struct((c("l_discount") * 10).alias("brightness_mean"), (c("l_tax") * 10).alias("contrast_mean"), F.lit(0.0).alias("brightness_std"), (q * 5).alias("sharpness_mean"), (q / 10).alias("motion_mean"), (c("l_tax") * 20).alias("motion_std"), (c("l_discount") * 3).alias("edge_density")).alias("metrics"),
         F.struct((c("l_suppkey") % 4 > 0).alias("has_faces"), (c("l_suppkey") % 4).cast("double").alias("avg_face_count"), (c("l_tax") * 4).alias("primary_face_coverage"), (c("l_linenumber") % 2).cast("double").alias("avg_framing_issues")).alias("face_analysis"),
     )
 
 
 SEGMENTS_SQL = """seg AS (
-    SELECT l_orderkey AS video_id, l_linenumber::BIGINT AS index, e - l_quantity AS start_time, e AS end_time, l_quantity AS duration, l_quantity / 5 AS score,
+    SELECT l_orderkey AS video_id, i::BIGINT AS index, e - l_quantity AS start_time, e AS end_time, l_quantity AS duration, l_quantity / 5 AS score,
            CASE WHEN l_discount >= 0.09 THEN 'garbage' WHEN l_quantity / 5 >= 8 THEN 'gold' WHEN l_quantity / 5 >= 6 THEN 'silver' WHEN l_quantity / 5 >= 4 THEN 'bronze' ELSE 'discard' END AS tier,
            CASE l_returnflag WHEN 'A' THEN 'ESTATICA' WHEN 'N' THEN 'PANEO' ELSE 'TILT' END AS shot_type,
            CASE l_partkey % 4 WHEN 0 THEN 'PRIMER_PLANO' WHEN 1 THEN 'PLANO_MEDIO' WHEN 2 THEN 'PLANO_GENERAL' ELSE 'DESCONOCIDO' END AS framing_type,
@@ -50,7 +51,7 @@ SEGMENTS_SQL = """seg AS (
            'clip_' || l_orderkey || '.mp4' AS filename,
            list_filter([lower(l_returnflag), CASE WHEN l_linestatus = 'O' THEN 'open' END, CASE WHEN l_quantity > 40 THEN 'long' END, CASE WHEN l_partkey % 3 = 0 THEN 'persona' END, CASE WHEN l_partkey % 7 = 0 THEN 'entrevista' END], lambda t: t IS NOT NULL) AS tags,
            l_discount * 10 AS brightness, l_tax * 10 AS contrast, l_quantity * 5 AS sharpness, l_quantity / 10 AS motion, l_tax * 20 AS motion_std, l_discount * 3 AS edges, (l_linenumber % 2)::DOUBLE AS issues
-    FROM (SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS e FROM lineitem))"""
+    FROM (SELECT *, row_number() OVER w AS i, sum(l_quantity) OVER w AS e FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING)))"""
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
