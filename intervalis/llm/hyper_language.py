@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intervalis.llm._batches import bound_batches, stream
+from intervalis.plans.scratch import materialize
 
 DIMENSIONS = 1024
 MAX_LANGUAGES = 4096
@@ -127,6 +128,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null")
     sums = rows.mapInArrow(_learned(dimensions), "lang string, bundle array<double>").select("lang", F.posexplode("bundle")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
+    sums = materialize(sums, "language-bundles")
     if (n := sums.filter("pos = 0").limit(MAX_LANGUAGES + 1).count()) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages ({n} or more)")
     out: dict[str, np.ndarray] = {}
