@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervalis.llm import bootstrap_pii, harmonic_packing, hyper_language, parity_join, source_mixing
-from intervalis.llm.queries import tokenizer_path, with_quality
+from intervalis.llm.queries import quality_weights, tokenizer_path
 from intervalis.plans.scratch import materialize
 
 #: Texts with a lower cosine to every language are rejected.
@@ -39,8 +39,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them."""
-    rated = with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return source_mixing.mixed(rated, F.col("quality_weight")).select(*docs.columns)
+    quality = quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return source_mixing.mixed(docs, quality).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 21
 _BLANKS = b" \t\n\x0b\x0c\r"
@@ -22,6 +23,11 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+def row_key(*columns: Column) -> Column:
+    """128 bits that name a row's values, nulls too; never null itself."""
+    return F.struct(F.xxhash64(F.lit(1), *columns).alias("h"), F.xxhash64(F.lit(2), *columns).alias("l"))
+
+
 @np.errstate(over="ignore")
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer: a bijection that spreads every bit."""

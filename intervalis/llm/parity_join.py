@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from intervalis.llm._batches import bound_batches, chunks, mix, stream, text_bytes, word_hashes
+from intervalis.llm._batches import bound_batches, chunks, mix, row_key, stream, text_bytes, word_hashes
 from intervalis.operators.graph import connected_components
 from intervalis.plans.scratch import materialize
 
@@ -274,12 +274,12 @@ def _in_components(shared: DataFrame, label: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that with the least id, then the least hash of its text. Rows without words stay, but for repeated ones."""
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    key = row_key(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     named = docs.select(F.struct(F.col(id_col).alias("i"), key.alias("k")).alias("row"), F.col(text_col).alias("text"))
     found = jaccard_components(named, "row", "text")
-    stays = found.filter((F.col("n_shingles") == 0) | F.col("row").eqNullSafe(F.col("component_id"))).select(F.col("row.i").alias("stay_id"), F.col("row.k").alias("stay_key")).distinct()
-    rows = docs.withColumn("row_key", key).join(stays, F.col(id_col).eqNullSafe(F.col("stay_id")) & (F.col("row_key") == F.col("stay_key")), "left_semi")
-    first = Window.partitionBy(id_col, "row_key").orderBy(F.lit(1))
+    stays = found.filter((F.col("n_shingles") == 0) | (F.col("row") == F.col("component_id"))).select(F.col("row.k").alias("stay_key")).distinct()
+    rows = docs.withColumn("row_key", key).join(stays, F.col("row_key") == F.col("stay_key"), "left_semi")
+    first = Window.partitionBy("row_key").orderBy(F.lit(1))
     return rows.withColumn("row_number", F.row_number().over(first)).filter("row_number = 1").select(*docs.columns)
 
 

@@ -48,17 +48,16 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 GOOD, BAD = 2.0, 0.5
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with quality_weight from the labels, 1 where there is none; a row for each row."""
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """(id, weight) of the labelled documents."""
     toxic, good = F.max("toxic") == 1, F.min("quality") == 1
-    weights = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.when(toxic, BAD).when(good, GOOD).otherwise(BAD).alias("quality_weight"))
-    joined = docs.drop("labelled_id", "quality_weight").join(weights, F.col("doc_id") == F.col("labelled_id"), "left").drop("labelled_id")
-    return joined.withColumn("quality_weight", F.coalesce("quality_weight", F.lit(1.0)))
+    weight = F.when(toxic, BAD).when(good, GOOD).otherwise(BAD)
+    return labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(weight.alias("weight"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return source_mixing.mix_sources(docs, F.col("quality_weight")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = source_mixing.mix_sources(_table(spark, sf_dir, "documents"), quality_weights(_table(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

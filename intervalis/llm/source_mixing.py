@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from intervalis.llm._batches import row_key
 from intervalis.plans.scratch import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -55,16 +56,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
     return table.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, quality: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, taken (words), epochs (times taken), key, source, text_key."""
+def mix_sources(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target, taken (words), epochs (times taken), key, source, text_key.
+
+    ``quality``: (id, weight), a row for each id that has one; it meets the
+    sizes, not the texts.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    weight = F.coalesce(quality.cast("double"), F.lit(1.0)) if quality is not None else F.lit(1.0)
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 1) / float(2**48 + 1)
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"),
-        (-F.log(u) / F.when(weight > 0, weight).otherwise(1.0)).alias("key"), F.xxhash64(text).alias("text_key"),
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"), (-F.log(u)).alias("key"), row_key(F.col(id_col), F.col(source_col), text).alias("text_key")
     )
+    if quality is not None:
+        rows = rows.join(quality.select(F.col("id").alias("q_id"), F.col("weight").cast("double").alias("weight")), F.col("id") == F.col("q_id"), "left").drop("q_id")
+        rows = rows.withColumn("key", F.col("key") / F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)).drop("weight")
     rows = materialize(rows, "mix-rows")
     by_source = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sizes")
     targets = source_targets(by_source.select("source", "source_size"), weights, most).withColumnRenamed("source", "s")
@@ -87,11 +93,9 @@ def mix_sources(docs: DataFrame, quality: F.Column | None = None, id_col: str =
     )
 
 
-def mixed(docs: DataFrame, quality: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    plan = mix_sources(docs, quality, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias("mix_id"), F.col("text_key").alias("mix_key"), F.col("source").alias("mix_source")).agg(F.sum("epochs").alias("mix_times")).filter("mix_times > 0")
-    alone = Window.partitionBy(id_col, "row_key", source_col).orderBy(F.lit(1))
-    rows = docs.withColumn("row_key", key).withColumn("row_number", F.row_number().over(alone)).filter("row_number = 1")
-    same = F.col(id_col).eqNullSafe(F.col("mix_id")) & (F.col("row_key") == F.col("mix_key")) & F.col(source_col).eqNullSafe(F.col("mix_source"))
-    return rows.join(plan, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int")))).select(*docs.columns)
+    plan = mix_sources(docs, quality, id_col, text_col, source_col, **options).groupBy(F.col("text_key").alias("mix_key")).agg(F.sum("epochs").alias("mix_times")).filter("mix_times > 0")
+    rows = docs.withColumn("mix_row", row_key(F.col(id_col), F.col(source_col), F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.withColumn("mix_number", F.row_number().over(Window.partitionBy("mix_row").orderBy(F.lit(1)))).filter("mix_number = 1")
+    return rows.join(plan, F.col("mix_row") == F.col("mix_key")).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int")))).select(*docs.columns)

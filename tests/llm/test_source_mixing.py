@@ -39,8 +39,9 @@ def corpus(seed, n=400):
 def test_mix_equals_brute_force(spark, monkeypatch, rows_a_range):
     monkeypatch.setattr(M, "RANGE_ROWS", rows_a_range)
     rows = corpus(3)
-    docs = spark.createDataFrame([(*r, 1, 1.0) for r in rows], "doc_id long, text string, source string, q double, size int, key double").repartition(3)
-    found = M.mix_sources(docs, F.col("q")).collect()
+    docs = spark.createDataFrame([(*r[:3], 1, 1.0, 9.0) for r in rows], "doc_id long, text string, source string, size int, key double, weight double").repartition(3)
+    quality = spark.createDataFrame(list({(r[0], r[3]) for r in rows if r[0] is not None}), "id long, weight double")
+    found = M.mix_sources(docs, quality).collect()
     size = lambda t: len(WORD.findall(t or ""))
     sizes, keyed = {}, {}
     for i, t, s, q in rows:
@@ -64,7 +65,7 @@ def test_mix_equals_brute_force(spark, monkeypatch, rows_a_range):
 
 def test_better_documents_come_earlier(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "a", 4.0 if i % 2 else 0.25) for i in range(600)] + [(1000 + i, "w " * 10, "b", None) for i in range(900)], "doc_id long, text string, source string, q double")
-    found = [r for r in M.mix_sources(docs, F.col("q"), weights=(1, 4)).collect() if r.source == "a" and r.taken]
+    found = [r for r in M.mix_sources(docs, docs.select(F.col("doc_id").alias("id"), F.col("q").alias("weight")), weights=(1, 4)).collect() if r.source == "a" and r.taken]
     assert 150 < len(found) < 450 and sum(r.doc_id % 2 for r in found) > 0.75 * len(found)
 
 
