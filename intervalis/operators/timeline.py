@@ -83,8 +83,8 @@ def clip_items(placed: DataFrame, fps: float = 30.0) -> DataFrame:
     """One XML clip element for each placed clip, in frames; a file is defined once and referred to after."""
     rows = file_definitions(placed)
     at = lambda c: frames(F.col(c), fps)
-    full = F.format_string('<file id="%s"><name>%s</name><pathurl>%s</pathurl></file>', "file_id", xml_escape(F.col("filename")), xml_escape(file_url(F.col("path"))))
-    short = F.format_string('<file id="%s"/>', "file_id")
+    full = F.format_string('<file id="%s"><name>%s</name><pathurl>%s</pathurl></file>', xml_escape(F.col("file_id")), xml_escape(F.col("filename")), xml_escape(file_url(F.col("path"))))
+    short = F.format_string('<file id="%s"/>', xml_escape(F.col("file_id")))
     item = F.format_string(
         '<clipitem id="clip_%d"><name>%s</name><start>%d</start><end>%d</end><in>%d</in><out>%d</out>%s<labels><label2>%s</label2></labels></clipitem>',
         "position", xml_escape(F.col("filename")), at("timeline_start"), at("timeline_end"), at("clip_in"), at("clip_out"), F.when(F.col("defines_file"), full).otherwise(short), labels(F.col("tier")),
