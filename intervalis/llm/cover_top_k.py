@@ -165,12 +165,13 @@ def top_k_products(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: s
     rows = materialize(rows, "cover-rows")
     centres = spark.sparkContext.broadcast(_net(V.sample(rows)))
 
-    def assigned(batches):
-        return _assigned(centres.value)(batches)
+    def assigned(some: DataFrame, most: int) -> DataFrame:
+        """To the nearest of the first centres, which are a coarser net."""
+        return some.mapInArrow(lambda batches: _assigned(centres.value[:most])(batches), "id long, v array<double>, grp long, reach double")
 
-    placed = materialize(V.dealt(rows.mapInArrow(assigned, "id long, v array<double>, grp long, reach double"), V.DATA_ROWS), "cover-placed")
-    asked = V.dealt(placed.filter(is_query).drop("block"), V.QUERY_ROWS)
-    asked = materialize(asked, "cover-queries")
+    placed = materialize(V.dealt(assigned(rows, CENTRES), V.DATA_ROWS), "cover-placed")
+    queries = rows.filter(is_query)
+    asked = materialize(V.dealt(assigned(queries, max(1, min(CENTRES, queries.count() // V.QUERY_ROWS))), V.QUERY_ROWS), "cover-queries")
     d_blocks = placed.select(F.col("grp").alias("d_grp"), F.col("block").alias("d_block")).distinct()
     q_blocks = asked.select(F.col("grp").alias("q_grp"), F.col("block").alias("q_block")).distinct()
     home = q_blocks.join(d_blocks.filter("d_block = 0"), F.col("q_grp") == F.col("d_grp"))
