@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervalis.llm import backoff_lm, bootstrap_pii, cover_top_k, harmonic_packing, hyper_language, parity_join, prefix_forest, source_mixing, url_rules
+from intervalis.llm import backoff_lm, bootstrap_pii, compact_windows, cover_top_k, harmonic_packing, hyper_language, parity_join, prefix_forest, source_mixing, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, labelled, URL_RULES)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of at least 50 words of each document that repeat in another; first_doc_id is the least document linked by passages."""
+    return compact_windows.repeated_passages(_table(spark, sf_dir, "documents")).withColumnRenamed("first_id", "first_doc_id")
+
+
 #: How much likelier a document that is labelled good comes early than another, and one labelled bad or toxic.
 GOOD, BAD = 2.0, 0.5
 
@@ -85,6 +90,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op1_url_filters": op1_url_filters,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_pii": op5_pii,
