@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -118,10 +118,11 @@ REGISTER.add(
 
 
 def _stream(make, mode):
+    """A query that drains the stream of events through ``make``."""
+
     def run(spark, d):
-        events = _events_stream(spark, d)
-        folder = tempfile.mkdtemp(prefix="stream-", dir=shared_folder(spark)) if shared_folder(spark).startswith("/") else f"{shared_folder(spark)}/stream-{id(events)}"
-        return streams.drained(make(events), f"stream_{abs(hash(folder))}", folder, mode)
+        name = f"stream_{uuid.uuid4().hex}"
+        return streams.drained(make(_events_stream(spark, d)), name, f"{shared_folder(spark)}/{name}", mode)
 
     return run
 
