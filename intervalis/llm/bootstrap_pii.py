@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervalis.llm._batches import bound_batches
+from intervalis.llm._batches import bound_batches, tidy
 from intervalis.plans.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -156,7 +156,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return materialize(rows.mapInArrow(_found(to_arrow_type(rows.schema["id"].dataType)), f"id {kind}, text_key string, {counts}, base_sha256 string, base string, found array<{_SPAN}>"), "pii-scan")
+    return materialize(rows.mapInArrow(tidy(_found(to_arrow_type(rows.schema["id"].dataType))), f"id {kind}, text_key string, {counts}, base_sha256 string, base string, found array<{_SPAN}>"), "pii-scan")
 
 
 def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE) -> tuple[DataFrame, DataFrame]:
@@ -242,4 +242,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **th
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return rows.mapInArrow(tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

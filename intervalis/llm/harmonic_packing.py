@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervalis.llm._batches import bound_batches
+from intervalis.llm._batches import bound_batches, tidy
 
 CAPACITY = 2048
 END_ID = 1
@@ -154,5 +154,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    out = rows.mapInArrow(_packed(tokenizer, capacity, to_arrow_type(rows.schema["id"].dataType), with_ids), f"id {kind}, {', '.join(_SCHEMA)}" + ", ids array<int>" * with_ids)
+    out = rows.mapInArrow(tidy(_packed(tokenizer, capacity, to_arrow_type(rows.schema["id"].dataType), with_ids)), f"id {kind}, {', '.join(_SCHEMA)}" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("id", id_col)

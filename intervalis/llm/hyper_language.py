@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervalis.llm._batches import bound_batches, stream
+from intervalis.llm._batches import bound_batches, stream, tidy
 from intervalis.plans.scratch import materialize
 
 DIMENSIONS = 1024
 MAX_LANGUAGES = 4096
-_CHUNK_CHARS, _CHUNK_TEXTS, _MOST_GRAMS = 1 << 21, 256, 24_000
+_CHUNK_CHARS, _CHUNK_TEXTS, _MOST_GRAMS = 1 << 20, 128, 12_000
 
 
 def _letter_codes() -> np.ndarray:
@@ -88,7 +88,7 @@ class Profiles:
             self.vectors = np.concatenate([self.vectors, np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c])
             at = self.column[grams]
         n = len(self.vectors)
-        return np.bincount(middle * n + at, minlength=len(texts) * n).reshape(len(texts), n), letters
+        return np.bincount(middle * n + at, minlength=len(texts) * n).reshape(len(texts), n).astype(np.int32), letters
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list, ...]]:
@@ -111,8 +111,8 @@ def _learned(dimensions: int):
         for texts, langs in _chunked(batches, ["lang"]):
             counts, _ = profiles.counts(texts)
             names = sorted(set(langs))
-            member = np.array([[x == name for x in langs] for name in names], dtype=np.float64)
-            bundles = (member @ counts) @ profiles.vectors.astype(np.float64)
+            member = np.array([[x == name for x in langs] for name in names], dtype=np.float32)
+            bundles = ((member @ counts.astype(np.float32)) @ profiles.vectors).astype(np.float64)
             for name, bundle in zip(names, bundles, strict=True):
                 sums[name] = sums.get(name, 0) + bundle
             if len(profiles.vectors) > _MOST_GRAMS:
@@ -127,7 +127,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
     """The prototype of each language of ``docs``, of unit length; languages without a letter have none."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null")
-    sums = rows.mapInArrow(_learned(dimensions), "lang string, bundle array<double>").select("lang", F.posexplode("bundle")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
+    sums = rows.mapInArrow(tidy(_learned(dimensions)), "lang string, bundle array<double>").select("lang", F.posexplode("bundle")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
     sums = materialize(sums, "language-bundles")
     if (n := sums.filter("pos = 0").limit(MAX_LANGUAGES + 1).count()) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages ({n} or more)")
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     extra = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{extra}, lang_pred string, score double")
+    return docs.mapInArrow(tidy(run), f"{extra}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from intervalis.llm._batches import bound_batches, chunks, mix, row_key, stream, text_bytes, word_hashes
+from intervalis.llm._batches import bound_batches, chunks, mix, row_key, stream, text_bytes, tidy, word_hashes
 from intervalis.operators.graph import connected_components
 from intervalis.plans.scratch import materialize
 
@@ -242,14 +242,14 @@ def _sets_of(names: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         return _wanted_sets(shared.value)(batches)
 
-    return texts.select("text").mapInArrow(run, "fp long, members binary").join(names, "fp", "left_semi").dropDuplicates(["fp"])
+    return texts.select("text").mapInArrow(tidy(run), "fp long, members binary").join(names, "fp", "left_semi").dropDuplicates(["fp"])
 
 
 def _verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (a, b) of fingerprints whose sets are linked."""
     left = pairs.join(held.select(F.col("fp").alias("a"), F.col("members").alias("ma")), "a")
     both = left.join(held.select(F.col("fp").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
-    return both.mapInArrow(_judged, "a long, b long")
+    return both.mapInArrow(tidy(_judged), "a long, b long")
 
 
 def _thinned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bound_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, id_type = dict(texts.dtypes)["id"], to_arrow_type(texts.schema["id"].dataType)
-    every = materialize(texts.mapInArrow(_thin(id_type), f"id {kind}, n long, fp long, sketch array<long>, common boolean"), "parity-thin")
+    every = materialize(texts.mapInArrow(tidy(_thin(id_type)), f"id {kind}, n long, fp long, sketch array<long>, common boolean"), "parity-thin")
     thin = every.filter("not common")
     sets = thin.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     common = every.filter("common").groupBy("fp").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "fp").limit(MOST_COMMON).collect()
@@ -304,7 +304,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return _keyed(few.value)(batches)
 
     in_part = Window.partitionBy("part").orderBy("fp")
-    rows = texts.select("text").mapInArrow(keyed, "part long, fp long")
+    rows = texts.select("text").mapInArrow(tidy(keyed), "part long, fp long")
     rows = rows.select("part", "fp", F.first("fp").over(in_part.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("fp").over(in_part).alias("before"), F.lead("fp").over(in_part).alias("after"))
     found = materialize(rows.filter("(after is null and head <> fp) or after <> fp"), "parity-parts")  # the last of each set, where a part has two
     shared = found.select("part", "fp")
