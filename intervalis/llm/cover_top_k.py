@@ -175,24 +175,24 @@ def top_k_products(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: s
     d_blocks = placed.select(F.col("grp").alias("d_grp"), F.col("block").alias("d_block")).distinct()
     q_blocks = asked.select(F.col("grp").alias("q_grp"), F.col("block").alias("q_block")).distinct()
     home = q_blocks.join(d_blocks.filter("d_block = 0"), F.col("q_grp") == F.col("d_grp"))
-    schema = "id long, v array<double>, grp long, block long, least long"
+    schema = "id long, v array<double>, grp long, block long, least long, reach double"
     first = materialize(V.in_pairs(asked.select("id", "v", "grp", "block", F.lit(None).cast("long").alias("least")), placed.select("id", "v", "grp", "block"), home, _searched(k), FOUND), "cover-first")
 
     kth = V.best(first, [F.desc("score")], k).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
     asked = materialize(asked.join(kth, "id", "left").selectExpr(*(c.split()[0] for c in schema.split(", "))), "cover-queries")
     pairs = q_blocks.join(_allowed(spark, placed, asked, centres.value), "q_grp").join(d_blocks, "d_grp").filter("q_grp <> d_grp or d_block <> 0")
-    second = V.in_pairs(asked, placed.select("id", "v", "grp", "block"), pairs.select("q_grp", "q_block", "d_grp", "d_block"), _searched(k), FOUND)
+    second = V.in_pairs(asked.drop("reach"), placed.select("id", "v", "grp", "block"), pairs.select("q_grp", "q_block", "d_grp", "d_block"), _searched(k), FOUND)
     return V.best(first.unionByName(second), [F.desc("score")], k)
 
 
 def _allowed(spark, placed: DataFrame, asked: DataFrame, centres: np.ndarray) -> DataFrame:
-    """(q_grp, d_grp) whose bound reaches the worst kth score; at most CENTRES squared rows."""
+    """(q_grp, d_grp) whose bound reaches the worst kth score; at most CENTRES squared rows. Queries lie in a net of their own, so their reach isn't that of the rows."""
     reach = {r.grp: r.reach for r in placed.groupBy("grp").agg(F.max("reach").alias("reach")).collect()}
-    worst = {r.grp: r.worst for r in asked.groupBy("grp").agg(F.min(F.coalesce("least", F.lit(_NONE))).alias("worst")).collect()}
+    worst = {r.grp: (r.worst, r.reach) for r in asked.groupBy("grp").agg(F.min(F.coalesce("least", F.lit(_NONE))).alias("worst"), F.max("reach").alias("reach")).collect()}
     norms, out = np.linalg.norm(centres, axis=1), []
-    for q, least in worst.items():
+    for q, (least, own) in worst.items():
         for d, radius in reach.items():
-            bound = centres[q] @ centres[d] + reach[q] * norms[d] + radius * norms[q] + reach[q] * radius
+            bound = centres[q] @ centres[d] + own * norms[d] + radius * norms[q] + own * radius
             if bound + 1e-6 * (1 + abs(bound)) >= least:
                 out.append((q, d))
     return spark.createDataFrame(out, "q_grp long, d_grp long")

@@ -47,6 +47,36 @@ def test_top_k_equals_brute_force(spark, monkeypatch, width, clusters, scale):
         assert len(found) == len(want)
 
 
+def brute(rows, is_query, k=5, scale=256):
+    ints = {i: [int(np.floor(np.float64(np.float32(x)) * scale)) for x in v] for i, v in rows}
+    out = []
+    for q in filter(is_query, ints):
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    return sorted(out)
+
+
+def test_a_lone_outlier_is_found_by_queries_far_from_their_centre(spark):
+    rnd = np.random.default_rng(5)
+    order = [r.id for r in spark.range(1, 40).orderBy(F.xxhash64("id"), "id").collect()]  # the first one is centre 0
+    near, asked, out = order[:10], order[10:16], order[16]
+    rows = [(i, [10.0, 5.0]) for i in near]
+    rows += [(i, (np.array([6.0, 12.0]) + rnd.uniform(-0.3, 0.3, 2)).tolist()) for i in asked] + [(out, [-20.0, 50.0])]
+    found = sorted(tuple(r) for r in cover_top_k.top_k_products(table(spark, rows), F.col("id").isin(asked)).collect())
+    assert found == brute(rows, lambda i: i in asked) and all(r[2] == out for r in found if r[1] == 1)
+
+
+@pytest.mark.parametrize("query_rows", [7, 1024])
+def test_more_spread_groups_than_centres_equal_brute_force(spark, monkeypatch, query_rows):
+    rnd = np.random.default_rng(8)
+    spots = rnd.standard_normal((60, 3)) * rnd.uniform(1, 60, (60, 1))
+    rows = [(int(i), (spots[i % 60] + 0.2 * rnd.standard_normal(3)).tolist()) for i in range(600)]
+    monkeypatch.setattr(V, "DATA_ROWS", 90)
+    monkeypatch.setattr(V, "QUERY_ROWS", query_rows)
+    found = cover_top_k.top_k_products(table(spark, rows), F.col("id") % 11 == 0).collect()
+    assert sorted(tuple(r) for r in found) == brute(rows, lambda i: i % 11 == 0)
+
+
 def test_cover_tree_invariants():
     rnd = np.random.default_rng(1)
     points = np.concatenate([rnd.standard_normal((400, 2)) * 0.01 + rnd.standard_normal(2) for _ in range(8)])
