@@ -1,17 +1,20 @@
 """Harmonic packing of token ids into sequences of a power-of-two capacity.
 
-Lengths are put in reciprocal-capacity classes: class j holds pieces of
-capacity / j ids, and a bin takes j of them. Documents are cut into pieces
-whose lengths are exactly such fractions (the capacity, its half, quarter, ...),
-so a bin of a class is full with a fixed number of pieces, and where a piece
-lies follows from its number in the class alone. Every worker fills the bins
-of its own split, without a shuffle. A worker's last bin of a class, with
-fewer than j pieces, is split into bins of 2^t pieces: these sequences have a
-power-of-two length, which needs no padding.
-
-A document's longest pieces come first, so at most its last capacity - 1 ids
-are in shorter pieces. Null text is an empty document (its closing id alone);
-repeated rows are packed each; a null id is kept; an empty table gives no rows.
+Lengths are put in reciprocal-capacity classes: class j holds pieces of more
+than capacity / (j + 1) and at most capacity / j ids, and a bin takes j of
+them, whatever they are; the last class takes all shorter ones. A document is
+cut into whole sequences, then into pieces of exactly a half, a quarter, ... of
+the capacity down to TAIL ids, whose bins are full to the last id, and one tail
+below TAIL, whose class is 1 / 17 or shorter: its bins waste little, and a
+document has few pieces. Every worker fills the bins of its own split, without
+a shuffle, and holds one open bin a class. At its end the open bins of exact
+fractions are split into bins of 2^t pieces (sequences of a power-of-two length
+need no padding), and the tails left over fill bins one after the other.
+
+A document's longest pieces come first. Null text is an empty document (its
+closing id alone); repeated rows are packed each; a null id is kept; texts the
+fast encoder refuses (very long runs of blanks) take the tokenizer file's own;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from intervalis.llm._batches import bound_batches, tidy
 
 CAPACITY = 2048
 END_ID = 1
+#: Shorter rests of a document are not cut on; they are a sixteenth of the capacity at most.
+TAIL = 128
+#: The last class takes all shorter pieces.
+LAST_CLASS = 256
 #: The published split pattern of this family of byte-level BPE vocabularies.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 _PROBE = "It's\n\n  a probe: été, 12345 naïve-words 東京!?\n don't   end \U0001f600 "
@@ -67,40 +74,64 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # its pattern gives up on some texts
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
-    """Piece lengths of n ids: capacities, then falling powers of two."""
-    return [capacity] * (n // capacity) + [1 << b for b in range(capacity.bit_length() - 2, -1, -1) if n >> b & 1]
+    """Piece lengths of n ids: capacities, falling powers of two, and a tail."""
+    least = min(TAIL, capacity // 16)
+    halves = [1 << b for b in range(capacity.bit_length() - 2, -1, -1) if n >> b & 1 and 1 << b >= least]
+    rest = n % capacity - sum(halves)
+    return [capacity] * (n // capacity) + halves + [rest] * (rest > 0)
 
 
 class Bins:
-    """The bins of one worker; numbers begin at ``first``."""
+    """The bins of one worker; numbers begin at ``first``. A piece is (length, row)."""
 
     def __init__(self, first: int, capacity: int = CAPACITY):
-        self.next, self.capacity, self.open = first, capacity, {}
-
-    def add(self, size: int) -> tuple[int, int, int]:
-        """(bin, pieces in it before) of a piece; a class opens a bin when its last one is full."""
-        number, held = self.open.get(size, (None, 0))
-        if number is None or held == self.capacity // size:
-            number, held = self.next, 0
-            self.next += 1
-        self.open[size] = (number, held + 1)
-        return number, held
-
-    def last(self) -> dict[int, list[tuple[int, int]]]:
-        """For each bin that is not full: (new bin number, pieces) in falling powers of two."""
-        out = {}
-        for size, (number, held) in self.open.items():
-            if held < self.capacity // size:
-                out[number] = []
-                for b in range(held.bit_length() - 1, -1, -1):
-                    if held >> b & 1:
-                        out[number].append((self.next, 1 << b))
-                        self.next += 1
-        return out
+        self.next, self.capacity = first, capacity
+        self.open: dict[int, list[tuple[int, tuple]]] = {}
+
+    def _placed(self, pieces: list[tuple[int, tuple]]) -> Iterator[tuple[tuple, int, int]]:
+        """The rows of one bin with its number and their offsets."""
+        at = 0
+        for size, row in pieces:
+            yield row, self.next, at
+            at += size
+        self.next += 1
+
+    def add(self, size: int, row: tuple) -> Iterator[tuple[tuple, int, int]]:
+        """What is placed as a class gets another piece: the pieces of its bin if that is full now."""
+        kind = min(self.capacity // size, LAST_CLASS)
+        pieces = self.open.setdefault(kind, [])
+        pieces.append((size, row))
+        if len(pieces) == kind:
+            yield from self._placed(self.open.pop(kind))
+
+    def rest(self) -> Iterator[tuple[tuple, int, int]]:
+        """The pieces of all open bins: exact fractions in bins of 2^t pieces, tails one after the other."""
+        tails: list[tuple[int, tuple]] = []
+        for _, pieces in sorted(self.open.items()):
+            if any(size & (size - 1) or size != pieces[0][0] for size, _ in pieces):
+                tails += pieces
+                continue
+            for b in range(len(pieces).bit_length() - 1, -1, -1):
+                if len(pieces) >> b & 1:
+                    yield from self._placed(pieces[: 1 << b])
+                    pieces = pieces[1 << b :]
+        self.open = {}
+        filled, room = [], self.capacity
+        for size, row in tails:
+            if size > room:
+                yield from self._placed(filled)
+                filled, room = [], self.capacity
+            filled.append((size, row))
+            room -= size
+        if filled:
+            yield from self._placed(filled)
 
 
 _SCHEMA = ["start long", "length long", "ids_crc32 long", "doc_tokens long", "sequence_id long", "offset long"]
@@ -114,30 +145,22 @@ def _packed(path: str, capacity: int, id_type: pa.DataType, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, bins = Encoder(path), Bins(TaskContext.get().partitionId() << 36, capacity)
-        waiting: dict[int, list[tuple]] = {}  # pieces of bins that are not full yet
+
+        def final(row: tuple, number: int, offset: int) -> tuple:
+            return (*row[:5], number, offset, *row[5:])
+
         for batch in batches:
             ready: list[tuple] = []
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(encoder.encode(text or ""), np.uint32(END_ID)).astype("<u4")
                 start = 0
                 for size in cut(len(ids), capacity):
-                    number, held = bins.add(size)
                     part = ids[start : start + size]
-                    row = (doc, start, size, zlib.crc32(part.tobytes()), len(ids), number, held * size, *([part.view("<i4")] if with_ids else []))
-                    if size == capacity:
-                        ready.append(row)
-                    else:
-                        waiting.setdefault(number, []).append(row)
-                        if held + 1 == capacity // size:
-                            ready += waiting.pop(number)
+                    row = (doc, start, size, zlib.crc32(part.tobytes()), len(ids), *([part.view("<i4")] if with_ids else []))
+                    ready += [final(*x) for x in bins.add(size, row)]
                     start += size
             yield table(ready)
-        rest = []
-        for number, parts in bins.last().items():
-            rows = iter(waiting.pop(number))
-            for new, n in parts:
-                rest += [(*r[:5], new, k * r[2], *r[7:]) for k, r in zip(range(n), rows)]
-        yield table(rest)
+        yield table([final(*x) for x in bins.rest()])
 
     return run
 

@@ -1,12 +1,14 @@
+import os
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from intervalis.llm.harmonic_packing import Encoder, cut, pack_documents
+from intervalis.llm.harmonic_packing import Bins, Encoder, cut, pack_documents
 from intervalis.llm.queries import tokenizer_path
 
 
@@ -26,7 +28,29 @@ def test_ids_equal_the_tokenizer_file(whole):
 
 def test_cut():
     for n in (1, 2, 3, 2047, 2048, 2049, 10_000):
-        assert sum(cut(n)) == n and all(x == 2048 or x & (x - 1) == 0 for x in cut(n)) and cut(n) == sorted(cut(n), reverse=True)
+        assert sum(cut(n)) == n and all(x < 128 or x & (x - 1) == 0 for x in cut(n)) and cut(n) == sorted(cut(n), reverse=True)
+        assert len(cut(n)) <= n // 2048 + 5
+
+
+def test_bins_take_a_fixed_count_of_their_class():
+    rnd, bins, sizes = random.Random(1), Bins(0), {}
+    placed = []
+    for k in range(20_000):
+        sizes[k] = rnd.choice([2048, 1024, 256, rnd.randrange(1, 128)])
+        placed += bins.add(sizes[k], (k,))
+    count, of_bin = len(placed), defaultdict(list)
+    for (k,), number, offset in [*placed, *bins.rest()]:
+        of_bin[number].append((offset, k))
+    full = {number for _, number, _ in placed}
+    assert sorted(k for v in of_bin.values() for _, k in v) == list(range(20_000)) and count > 18_000
+    for number, parts in of_bin.items():
+        kinds = {min(2048 // sizes[k], 256) for _, k in parts}
+        assert sum(sizes[k] for _, k in parts) <= 2048 and (number not in full or kinds == {len(parts)})
+
+
+def test_a_very_long_run_of_blanks(whole):
+    text = " " * 2_000_000 + "x"
+    assert Encoder(tokenizer_path()).encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 def test_pieces_cover_documents_and_fill_sequences(spark, whole):
@@ -50,7 +74,17 @@ def test_pieces_cover_documents_and_fill_sequences(spark, whole):
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 2048 and at & (at - 1) == 0  # nothing to pad
+        assert at <= 2048
+    used = [sum(n for _, n in parts) for parts in sequences.values()]
+    padded = sum(2048 - n for n in used if n & (n - 1))
+    assert padded < 0.1 * sum(used)  # of three small splits; see the next test
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_padding_and_pieces_of_whole_table(spark):
+    pieces = pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), tokenizer_path())
+    used = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).selectExpr("sum(n) as n", "sum(if(n & (n - 1) = 0, 0, 2048 - n)) as pad").first()
+    assert used.pad < 0.02 * used.n and pieces.filter("length < 2048").count() < 3.5 * 1000
 
 
 def test_empty_table(spark):
