@@ -9,7 +9,8 @@ the largest cosine to its vector.
 Letters are Unicode letters in lower case; a run of anything else is one blank.
 Letters beyond Latin share 191 vectors by code point. Whole texts count, in
 chunks: a chunk's trigrams are counted, and the counts multiply the matrix of
-the trigrams' vectors, which each worker builds as it meets them. Prototypes
+the trigrams' vectors, slice by slice; each worker keeps the vectors of the
+trigrams it met last. Prototypes
 are sums over tasks, aggregated by Spark; what is broadcast is one vector for
 each language, and the number of languages is checked.
 
@@ -20,6 +21,7 @@ cosines go to the language that sorts first; repeated rows are answered each.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,8 @@ from intervalis.plans.scratch import materialize
 
 DIMENSIONS = 1024
 MAX_LANGUAGES = 4096
-_CHUNK_CHARS, _CHUNK_TEXTS, _MOST_GRAMS = 1 << 20, 128, 12_000
+_CHUNK_CHARS, _CHUNK_TEXTS, _MOST_GRAMS, _SLICE = 1 << 18, 128, 12_000, 4096
+_NO_LETTER = re.compile(r"[\W\d_]")
 
 
 def _letter_codes() -> np.ndarray:
@@ -52,7 +55,7 @@ def _letter_codes() -> np.ndarray:
 
 
 class Profiles:
-    """Trigram counts of texts and the bound vectors of the trigrams met so far."""
+    """Bundles of texts, and the bound vectors of the trigrams met last."""
 
     def __init__(self, dimensions: int):
         self.codes = _letter_codes()
@@ -64,31 +67,65 @@ class Profiles:
         self.column = np.full(1 << 24, -1, dtype=np.int32)
         self.vectors = np.zeros((0, self.letters.shape[1]), dtype=np.float32)
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x trigrams) counts, and whether each text has a letter."""
-        joined = "\x00\x00".join(texts).lower()
-        codes = self.codes[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        sizes = np.array([len(t.lower()) for t in texts])
-        owner = np.repeat(np.arange(len(texts)), sizes + 2)[: len(codes)]
+    def rows(self, grams: np.ndarray) -> np.ndarray:
+        """Rows of ``vectors`` of at most _SLICE distinct trigrams; the table is begun anew when it is large."""
+        if len(self.vectors) > _MOST_GRAMS:
+            self.forget()
+        new = grams[self.column[grams] < 0]
+        self.column[new] = np.arange(len(self.vectors), len(self.vectors) + len(new), dtype=np.int32)
+        a, b, c = (self.letters[(new >> s) & 255] for s in (16, 8, 0))
+        self.vectors = np.concatenate([self.vectors, np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c])
+        return self.column[grams]
+
+    def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The trigrams of texts, one after the other, and the text of each."""
+        lowered = [t.lower() for t in texts]
+        codes = self.codes[np.frombuffer("\x00\x00".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        owner = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in lowered])[: len(codes)]
         # blanks collapse to one; a text begins and ends with one
         keep = np.ones(len(codes), dtype=bool)
         keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)
         codes, owner = codes[keep].astype(np.int64), owner[keep]
-        codes, owner = np.concatenate(([0], codes, [0])), np.concatenate((owner[:1], owner, owner[-1:]))
+        codes = np.concatenate(([0], codes, [0]))
         grams = (codes[:-2] << 16) | (codes[1:-1] << 8) | codes[2:]
-        middle = owner[1:-1]
         whole = codes[1:-1] > 0  # a trigram has a letter in its middle
-        grams, middle = grams[whole], middle[whole]
-        letters = np.bincount(middle, minlength=len(texts)) > 0
-        at = self.column[grams]
-        if (at < 0).any():
-            new = np.unique(grams[at < 0])
-            self.column[new] = np.arange(len(self.vectors), len(self.vectors) + len(new), dtype=np.int32)
-            a, b, c = (self.letters[(new >> s) & 255] for s in (16, 8, 0))
-            self.vectors = np.concatenate([self.vectors, np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c])
-            at = self.column[grams]
-        n = len(self.vectors)
-        return np.bincount(middle * n + at, minlength=len(texts) * n).reshape(len(texts), n).astype(np.int32), letters
+        return grams[whole], owner[whole]
+
+    def bundles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts x dimensions) sums of the trigrams' vectors, and whether each text has a letter.
+
+        Sums are additive, so long texts are cut between words and distinct
+        trigrams are taken in slices; no table grows with a text.
+        """
+        out, letters = np.zeros((len(texts), self.letters.shape[1])), np.zeros(len(texts), dtype=bool)
+        pieces = [(k, piece) for k, text in enumerate(texts) for piece in _pieces(text)]
+        start = 0
+        while start < len(pieces):
+            end, size = start, 0
+            while end < len(pieces) and (end == start or size + len(pieces[end][1]) <= _CHUNK_CHARS):
+                size += len(pieces[end][1])
+                end += 1
+            grams, piece = self.grams([p for _, p in pieces[start:end]])
+            text = np.array([k for k, _ in pieces[start:end]])[piece] if len(piece) else piece
+            letters[text] = True
+            distinct, index = np.unique(grams, return_inverse=True)
+            for s in range(0, len(distinct), _SLICE):
+                part = distinct[s : s + _SLICE]
+                inside = (index >= s) & (index < s + len(part))
+                counts = np.bincount(text[inside] * len(part) + index[inside] - s, minlength=len(texts) * len(part)).reshape(len(texts), len(part))
+                at = self.rows(part)
+                out += counts.astype(np.float32) @ self.vectors[at]
+            start = end
+        return out, letters
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about _CHUNK_CHARS, cut at characters that aren't letters."""
+    start = 0
+    while len(text) - start > _CHUNK_CHARS and (m := _NO_LETTER.search(text, start + _CHUNK_CHARS)):
+        yield text[start : m.start()]
+        start = m.end()
+    yield text[start:]
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list, ...]]:
@@ -109,14 +146,11 @@ def _learned(dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(dimensions), {}
         for texts, langs in _chunked(batches, ["lang"]):
-            counts, _ = profiles.counts(texts)
+            found, _ = profiles.bundles(texts)
             names = sorted(set(langs))
-            member = np.array([[x == name for x in langs] for name in names], dtype=np.float32)
-            bundles = ((member @ counts.astype(np.float32)) @ profiles.vectors).astype(np.float64)
-            for name, bundle in zip(names, bundles, strict=True):
+            member = np.array([[x == name for x in langs] for name in names], dtype=np.float64)
+            for name, bundle in zip(names, member @ found, strict=True):
                 sums[name] = sums.get(name, 0) + bundle
-            if len(profiles.vectors) > _MOST_GRAMS:
-                profiles.forget()
         for name, bundle in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([bundle.tolist()], pa.list_(pa.float64()))], names=["lang", "bundle"])
 
@@ -153,15 +187,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                     preds, scores = preds + ["und"] * len(texts), scores + [0.0] * len(texts)
                     continue
                 profiles = profiles or Profiles(matrix.shape[1])
-                counts, letters = profiles.counts(texts)
-                bundles = counts.astype(np.float32) @ profiles.vectors
-                norms = np.linalg.norm(bundles.astype(np.float64), axis=1)
+                bundles, letters = profiles.bundles(texts)
+                norms = np.linalg.norm(bundles, axis=1)
                 cosines = (bundles @ matrix.T) / np.where(norms > 0, norms, 1)[:, None]
                 best = cosines.argmax(axis=1)
                 preds += [names[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
                 scores += np.where(letters, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0).astype(float).tolist()
-                if len(profiles.vectors) > _MOST_GRAMS:
-                    profiles.forget()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     extra = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -53,12 +54,33 @@ def brute_vector(profiles, text):
 def test_vectors_equal_brute_force():
     profiles = hyper_language.Profiles(256)
     texts = ["Hello, wörld", "", "a", "...", "aé  ñ!! ß", "x" * 50, "İstanbul ΑΣ"]
-    counts, letters = profiles.counts(texts)
+    bundles, letters = profiles.bundles(texts)
     assert letters.tolist() == [True, False, True, False, True, True, True]
-    for row, text in zip(counts @ profiles.vectors, texts, strict=True):
+    for row, text in zip(bundles, texts, strict=True):
         assert np.array_equal(row, brute_vector(profiles, text))
 
 
+def test_slices_and_pieces_change_nothing(monkeypatch):
+    rnd = random.Random(4)
+    texts = ["".join(chr(rnd.randrange(0x4E00, 0x9FFF)) if rnd.random() < 0.97 else "。" for _ in range(3000)), sentence(rnd, "cc", 900), "x" * 500]
+    whole, _ = hyper_language.Profiles(256).bundles(texts)
+    monkeypatch.setattr(hyper_language, "_SLICE", 50)
+    monkeypatch.setattr(hyper_language, "_MOST_GRAMS", 120)
+    monkeypatch.setattr(hyper_language, "_CHUNK_CHARS", 400)
+    cut, _ = hyper_language.Profiles(256).bundles(texts)
+    assert np.array_equal(whole, cut)
+
+
+def test_memory_of_a_text_of_many_letters_is_bounded():
+    rnd = np.random.default_rng(0)
+    text = "".join(map(chr, rnd.integers(0x4E00, 0x9FFF, 200_000)))
+    profiles = hyper_language.Profiles(1024)
+    tracemalloc.start()
+    profiles.bundles([text] * 3)
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in hyper_language.identify(docs, F.lit(False)).collect()] == [(1, False, "und", 0.0)]
