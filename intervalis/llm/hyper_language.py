@@ -34,7 +34,7 @@ from intervalis.plans.scratch import materialize
 
 DIMENSIONS = 1024
 MAX_LANGUAGES = 4096
-_CHUNK_CHARS, _CHUNK_TEXTS, _MOST_GRAMS, _SLICE = 1 << 18, 128, 12_000, 4096
+_CHUNK_CHARS, _CHUNK_TEXTS, _MOST_GRAMS, _SLICE = 1 << 18, 128, 24_000, 4096
 _NO_LETTER = re.compile(r"[\W\d_]")
 
 
@@ -60,23 +60,35 @@ class Profiles:
     def __init__(self, dimensions: int):
         self.codes = _letter_codes()
         bits = np.unpackbits(stream(17, 256 * dimensions // 64).view(np.uint8)).reshape(256, dimensions)
-        self.letters = (bits.astype(np.float32) * 2 - 1)
+        self.letters = bits.astype(np.float32) * 2 - 1
+        self.vectors = np.empty((max(_MOST_GRAMS, _SLICE), dimensions), dtype=np.float32)
+        self.met, self.place = np.zeros(1 << 24, dtype=bool), np.zeros(1 << 24, dtype=np.int32)
         self.forget()
 
     def forget(self) -> None:
-        self.column = np.full(1 << 24, -1, dtype=np.int32)
-        self.vectors = np.zeros((0, self.letters.shape[1]), dtype=np.float32)
+        self.column, self.used = np.full(1 << 24, -1, dtype=np.int32), 0
 
     def rows(self, grams: np.ndarray) -> np.ndarray:
-        """Rows of ``vectors`` of at most _SLICE distinct trigrams; the table is begun anew when it is large."""
-        if len(self.vectors) > _MOST_GRAMS:
-            self.forget()
+        """Rows of ``vectors`` of at most _SLICE distinct trigrams; the table is begun anew when it is full."""
         new = grams[self.column[grams] < 0]
-        self.column[new] = np.arange(len(self.vectors), len(self.vectors) + len(new), dtype=np.int32)
+        if self.used + len(new) > len(self.vectors):
+            self.forget()
+            new = grams
+        at = slice(self.used, self.used + len(new))
+        self.column[new] = np.arange(at.start, at.stop, dtype=np.int32)
         a, b, c = (self.letters[(new >> s) & 255] for s in (16, 8, 0))
-        self.vectors = np.concatenate([self.vectors, np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c])
+        self.vectors[at] = np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c
+        self.used = at.stop
         return self.column[grams]
 
+    def numbered(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct trigrams, and the place of each trigram among them."""
+        self.met[grams] = True
+        distinct = np.flatnonzero(self.met)
+        self.met[distinct] = False
+        self.place[distinct] = np.arange(len(distinct), dtype=np.int32)
+        return distinct, self.place[grams]
+
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The trigrams of texts, one after the other, and the text of each."""
         lowered = [t.lower() for t in texts]
@@ -108,7 +120,7 @@ class Profiles:
             grams, piece = self.grams([p for _, p in pieces[start:end]])
             text = np.array([k for k, _ in pieces[start:end]])[piece] if len(piece) else piece
             letters[text] = True
-            distinct, index = np.unique(grams, return_inverse=True)
+            distinct, index = self.numbered(grams)
             for s in range(0, len(distinct), _SLICE):
                 part = distinct[s : s + _SLICE]
                 inside = (index >= s) & (index < s + len(part))
