@@ -12,8 +12,8 @@ The counts cover the whole corpus and grow with it, so no task holds them all.
 Texts are packed into blocks of a bounded number of words; a block asks for the
 counts of its distinct n-grams from buckets that n-gram hashes spread evenly,
 and gets them back in the order it asked. What is shuffled are compressed
-arrays of distinct n-grams per block, not tokens. The automaton's arcs that a
-block needs are rebuilt from these counts and traversed for all of its texts.
+arrays of distinct n-grams per block, not tokens. A block builds the states and
+arcs that its texts can reach from these counts and traverses them side by side.
 
 Null texts count as empty (one end token); repeated rows are scored, and
 counted, each; a null id is a training row; an empty table gives no rows.
@@ -158,7 +158,8 @@ def _answered(rows: pa.Table) -> pa.Table:
     keys = [np.cumsum(unpack(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows]
     counts = np.concatenate([unpack(r["counts"], r["n"], np.uint32) for r in rows])
     every, index = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(index, weights=counts, minlength=len(every)).astype(np.uint32)
+    total = np.zeros(len(every), dtype=np.uint64)
+    np.add.at(total, index, counts.astype(np.uint64))  # exact beyond 2^53
     found = np.split(total[index], np.cumsum([r["n"] for r in rows])[:-1])
     return pa.table({
         "block": pa.array([r["block"] for r in rows], pa.int64()), "gram": pa.array([r["gram"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()),
@@ -167,37 +168,113 @@ def _answered(rows: pa.Table) -> pa.Table:
     })
 
 
+class Automaton:
+    """States, arcs and failure arcs for the texts of a block; state 0 is the root.
+
+    ``grams`` and ``totals``: for each length, the hashes of the n-grams that end
+    at each position, where there is one, and their corpus counts.
+    """
+
+    def __init__(self, seq: np.ndarray, sizes: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], fall: float, tokens: int, vocabulary: int, texts: int):
+        starts = np.cumsum(sizes) - sizes
+        _, first, self.word = np.unique(seq, return_index=True, return_inverse=True)
+        self.words, self.seq_starts, self.sizes, self.fall = len(first), starts, sizes, float(np.log10(fall))
+        counts = levels[0][2].astype(np.float64)
+        chance = (counts + ADD) / (tokens + ADD * (vocabulary + 1))
+        self.base, self.known = np.log10(chance), counts > 0
+        counts = np.where(levels[0][1], counts, texts)  # a begin is a context as often as there are texts
+        self.root_weight = self.base[first]
+        fails, state, keys, weights, targets = [np.zeros(1, np.int64)], np.zeros(len(seq), np.int64), [], [], []
+        made = 1
+        for k, (gram, there, total) in enumerate(levels, 1):
+            total = counts if k == 1 else total.astype(np.float64)
+            seen = (total > 0) & (there if k > 1 else True)
+            _, at, index = np.unique(gram[seen], return_index=True, return_inverse=True)
+            at = np.flatnonzero(seen)[at]  # a position of each n-gram
+            if k > 1:
+                context = np.maximum(np.arange(len(seq)) - 1, 0)
+                longer = seen & (below[context] > 0)
+                arc = np.divide(total, counts_below[context], out=np.zeros(len(seq)), where=longer)
+                has = there & (below[context] > 0) & (counts_below[context] > 0)
+                chance = np.where(has, (1 - fall) * arc + fall * chance, chance)
+                keys.append(below[at - 1] * self.words + self.word[at])
+                weights.append(np.log10(chance[at]))
+            if k < len(levels):  # the n-gram is a state; it fails to the one without its first word
+                own = np.zeros(len(seq), np.int64)
+                own[seen] = made + index
+                fails.append(state[at])
+                made += len(at)
+                state = np.where(seen, own, state)
+                below, counts_below = own, total
+                if k == 1:
+                    self.root_target = state[first]
+            if k > 1:
+                targets.append(state[at])
+        if len(levels) == 1:
+            self.root_target = np.zeros(self.words, np.int64)
+        self.fail = np.concatenate(fails)
+        key = np.concatenate([np.zeros(0, np.int64), *keys])
+        order = np.argsort(key)
+        self.keys = key[order]
+        self.weight, self.target = (np.concatenate([np.zeros(0, kind), *v])[order] for kind, v in ((np.float64, weights), (np.int64, targets)))
+
+    def scores(self) -> np.ndarray:
+        """log10 probabilities of the texts, traversed left to right, side by side; each carries its state."""
+        longest = np.argsort(-self.sizes, kind="stable")
+        starts, steps = self.seq_starts[longest], self.sizes[longest]
+        score = np.zeros(len(longest))
+        state = self.root_target[self.word[starts]] if len(starts) else np.zeros(0, np.int64)
+        still = len(steps) - np.searchsorted(steps[::-1], np.arange(steps.max(initial=1)), side="right")
+        for t in range(1, len(still)):
+            n = still[t]
+            word, now = self.word[starts[:n] + t], state[:n]
+            waiting = np.arange(n)
+            while len(waiting):
+                at_root = now[waiting] == 0
+                done = waiting[at_root]
+                score[done] += self.root_weight[word[done]]
+                state[done] = self.root_target[word[done]]
+                waiting = waiting[~at_root]
+                if not len(waiting):
+                    break
+                key = now[waiting] * self.words + word[waiting]
+                at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+                hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+                done, at = waiting[hit], at[hit]
+                score[done] += self.weight[at]
+                waiting = waiting[~hit]
+                score[waiting] += self.fall
+                moved = self.fail[now[waiting]]
+                state[done] = self.target[at]
+                now[waiting] = moved
+        out = np.empty(len(score))
+        out[longest] = score
+        return out
+
+
 def _scored(id_type: pa.DataType, order: int, fall: float, tokens: int, vocabulary: int, texts: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("ids", "held", "n_tokens", "n_known", "base", "score")}
         replies = sorted(answers.to_pylist(), key=lambda r: (r["gram"], r["bucket"]))
         for row in blocks.to_pylist():
             seq, sizes, _ = _load(row)
-            seen_before = probability = base = known = None
+            levels = []
             for k, (gram, there) in enumerate(_grams(seq, sizes, order), 1):
-                total = np.concatenate([unpack(r["totals"], r["n"], np.uint32) for r in replies if r["gram"] == k])
+                total = np.concatenate([np.zeros(0, np.uint64), *(unpack(r["totals"], r["n"], np.uint64) for r in replies if r["gram"] == k)])
                 _, index = np.unique(gram[there], return_inverse=True)
-                seen = np.zeros(len(seq))
+                seen = np.zeros(len(seq), np.uint64)
                 seen[there] = total[index]
-                if k == 1:
-                    probability = (seen + ADD) / (tokens + ADD * (vocabulary + 1))
-                    base, known = np.log10(probability), seen > 0
-                    seen[~there] = texts  # a begin is a context as often as there are texts
-                else:
-                    context = np.zeros(len(seq))
-                    context[1:] = seen_before[:-1]
-                    has = there & (context > 0)
-                    arc = np.divide(seen, context, out=np.zeros(len(seq)), where=has)
-                    probability = np.where(has, (1 - fall) * arc + fall * probability, probability)
-                seen_before = seen
+                levels.append((gram, there, seen))
+            machine = Automaton(seq, sizes, levels, fall, tokens, vocabulary, texts)
             starts = np.cumsum(sizes) - sizes
             token = np.ones(len(seq))
             token[starts] = 0
             out["ids"] += row["ids"]
             out["held"] += row["held"]
             out["n_tokens"] += (sizes - 1).tolist()
-            for name, values in (("n_known", known), ("base", base), ("score", np.log10(probability))):
-                out[name] += np.add.reduceat(values * token, starts).tolist()
+            out["n_known"] += np.add.reduceat(machine.known * token, starts).tolist()
+            out["base"] += np.add.reduceat(machine.base * token, starts).tolist()
+            out["score"] += machine.scores().tolist()
         n = len(out["ids"])
         return pa.table({
             "id": pa.array(out["ids"], id_type), "held_out": pa.array(out["held"], pa.bool_()), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
