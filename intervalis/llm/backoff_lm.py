@@ -34,6 +34,8 @@ from intervalis.plans.scratch import materialize
 
 BLOCK_BYTES = 12 << 20
 ADD = 0.1
+#: Tokens of a text that are traversed side by side with the text's others.
+SEGMENT = 512
 _BEGIN, _END = mix(np.array([11, 13], dtype=np.uint64))
 _SHIFT = np.uint64(32)
 
@@ -212,18 +214,24 @@ class Automaton:
                 targets.append(state[at])
         if len(levels) == 1:
             self.root_target = np.zeros(self.words, np.int64)
-        self.fail = np.concatenate(fails)
+        self.fail, self.state_at = np.concatenate(fails), state
         key = np.concatenate([np.zeros(0, np.int64), *keys])
         order = np.argsort(key)
         self.keys = key[order]
         self.weight, self.target = (np.concatenate([np.zeros(0, kind), *v])[order] for kind, v in ((np.float64, weights), (np.int64, targets)))
 
     def scores(self) -> np.ndarray:
-        """log10 probabilities of the texts, traversed left to right, side by side; each carries its state."""
-        longest = np.argsort(-self.sizes, kind="stable")
-        starts, steps = self.seq_starts[longest], self.sizes[longest]
-        score = np.zeros(len(longest))
-        state = self.root_target[self.word[starts]] if len(starts) else np.zeros(0, np.int64)
+        """log10 probabilities of the texts, traversed left to right, side by side; each carries its state.
+
+        A state depends on the last words only, so a long text is traversed in segments, each from the state before it.
+        """
+        segments = np.maximum(1, -(-(self.sizes - 1) // SEGMENT))
+        text = np.repeat(np.arange(len(self.sizes)), segments)
+        place = (np.arange(len(text)) - np.repeat(np.cumsum(segments) - segments, segments)) * SEGMENT
+        steps = np.minimum(SEGMENT, self.sizes[text] - 1 - place) + 1
+        longest = np.argsort(-steps, kind="stable")
+        text, steps, starts = text[longest], steps[longest], (self.seq_starts[text] + place)[longest]
+        score, state = np.zeros(len(text)), self.state_at[starts]
         still = len(steps) - np.searchsorted(steps[::-1], np.arange(steps.max(initial=1)), side="right")
         for t in range(1, len(still)):
             n = still[t]
@@ -247,9 +255,7 @@ class Automaton:
                 moved = self.fail[now[waiting]]
                 state[done] = self.target[at]
                 now[waiting] = moved
-        out = np.empty(len(score))
-        out[longest] = score
-        return out
+        return np.bincount(text, weights=score, minlength=len(self.sizes))
 
 
 def _scored(id_type: pa.DataType, order: int, fall: float, tokens: int, vocabulary: int, texts: int):

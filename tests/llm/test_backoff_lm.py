@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,20 @@ def test_scores_equal_brute_force(spark, order, block):
         assert f[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+def test_segments_change_nothing(monkeypatch):
+    rnd = np.random.default_rng(2)
+    seq, sizes = backoff_lm._sequence([" ".join(f"w{x}" for x in rnd.integers(0, 9, n)).encode() for n in (0, 1, 40, 300)])
+    levels = [(gram, there, rnd.integers(0, 3, 1 << 16).astype(np.uint64)[(gram & np.uint64(0xFFFF)).astype(int)] * there) for gram, there in backoff_lm._grams(seq, sizes, 3)]
+    # counts as of a corpus: an n-gram is seen only if those within it are
+    levels[1][2][1:] *= (levels[0][2][:-1] > 0) | ~levels[0][1][:-1]
+    levels[2][2][1:] *= (levels[1][2][:-1] > 0) & (levels[1][2][1:] > 0)
+    machine = backoff_lm.Automaton(seq, sizes, levels, 0.4, 5000, 9, 50)
+    whole = machine.scores()
+    for n in (1, 7, 100):
+        monkeypatch.setattr(backoff_lm, "SEGMENT", n)
+        assert machine.scores() == pytest.approx(whole, rel=1e-12)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert backoff_lm.score_texts(docs, F.lit(False)).count() == 0
