@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 21
@@ -36,6 +36,23 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names for work columns that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in wanted:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def all_of(docs: DataFrame) -> Column:
+    """A hash of all columns of a row but maps, which have no order."""
+    return F.xxhash64(F.lit(0), *(F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind))
+
+
 def row_key(*columns: Column) -> Column:
     """128 bits that name a row's values, nulls too; never null itself."""
     return F.struct(F.xxhash64(F.lit(1), *columns).alias("h"), F.xxhash64(F.lit(2), *columns).alias("l"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervalis.llm._batches import bound_batches, tidy
+from intervalis.llm._batches import bound_batches, free_names, tidy
 from intervalis.plans.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -224,18 +224,19 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """``docs`` with all found spans masked in the text; null texts stay null."""
+    mine, found_id, found_key, more = free_names(docs, "pii_text_key", "pii_id", "pii_key", "pii_extra")
     found = added_spans(scan(docs, id_col, text_col), **thresholds)
-    extra = found.groupBy("id", "text_key").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("pii_extra")).withColumnsRenamed({"id": "pii_id", "text_key": "pii_key"})
-    rows = docs.withColumn("pii_text_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.join(extra, F.col(id_col).eqNullSafe(F.col("pii_id")) & (F.col("pii_text_key") == F.col("pii_key")), "left").select(*docs.columns, "pii_extra")
+    extra = found.groupBy("id", "text_key").agg(F.collect_list(F.struct("kind", "start", "stop")).alias(more)).withColumnsRenamed({"id": found_id, "text_key": found_key})
+    rows = docs.withColumn(mine, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.join(extra, F.col(id_col).eqNullSafe(F.col(found_id)) & (F.col(mine) == F.col(found_key)), "left").select(*docs.columns, more)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, more in zip(batch.column(place).to_pylist(), batch.column("pii_extra").to_pylist(), strict=True):
+            for text, added in zip(batch.column(place).to_pylist(), batch.column(more).to_pylist(), strict=True):
                 if text is not None:
-                    spans = [(k, s, e) for k, v in base_spans(text).items() for s, e in v] + [(x["kind"], x["start"], x["stop"]) for x in more or []]
+                    spans = [(k, s, e) for k, v in base_spans(text).items() for s, e in v] + [(x["kind"], x["start"], x["stop"]) for x in added or []]
                     text = masked(text, spans) if spans else text
                 texts.append(text)
             columns = [*batch.columns[:-1]]

@@ -183,19 +183,19 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
     return {k: v / np.linalg.norm(v) for k, v in sorted(out.items()) if np.linalg.norm(v) > 0}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (the cosine, at least 0); the text alone decides."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two more columns, lang_pred and score (the cosine, at least 0) unless named otherwise; the text alone decides."""
     bound_batches(docs.sparkSession)
     langs = list(prototypes)
     shared = docs.sparkSession.sparkContext.broadcast((langs, np.stack([prototypes[k] for k in langs]).astype(np.float32) if langs else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = shared.value
+        known, matrix = shared.value
         profiles = None
         for batch in batches:
             preds, scores = [], []
             for (texts,) in _chunked(iter([batch.select([text_col]).rename_columns(["text"])]), []):
-                if not names:
+                if not known:
                     preds, scores = preds + ["und"] * len(texts), scores + [0.0] * len(texts)
                     continue
                 profiles = profiles or Profiles(matrix.shape[1])
@@ -203,12 +203,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 norms = np.linalg.norm(bundles, axis=1)
                 cosines = (bundles @ matrix.T) / np.where(norms > 0, norms, 1)[:, None]
                 best = cosines.argmax(axis=1)
-                preds += [names[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
+                preds += [known[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
                 scores += np.where(letters, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0).astype(float).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
 
     extra = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(tidy(run), f"{extra}, lang_pred string, score double")
+    return docs.mapInArrow(tidy(run), f"{extra}, `{names[0]}` string, `{names[1]}` double")
 
 
 def identify(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -22,6 +22,9 @@ order, whose components differ; (6) what a key still holds in different
 components is paired in full and verified, so no link that could join two
 components is lost.
 
+Sets of at most seven shingles are linked to equal sets and to those of one
+more shingle: their names meet the names of larger sets without one member.
+
 Exact copies share a fingerprint and are one node throughout. Documents
 without words have size 0 and are linked with nothing; null text counts as
 empty; repeated rows keep their rows; a null doc_id is ignored by the minimum.
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from intervalis.llm._batches import bound_batches, chunks, mix, row_key, stream, text_bytes, tidy, word_hashes
+from intervalis.llm._batches import all_of, bound_batches, chunks, free_names, mix, row_key, stream, text_bytes, tidy, word_hashes
 from intervalis.operators.graph import connected_components
 from intervalis.plans.scratch import materialize
 
@@ -48,6 +51,9 @@ PART_LOAD = 2.8
 BLOOM_WORDS = 1 << 17
 #: At most so many shingles are left out of the strings; each is in this many sets of one task at least.
 MOST_COMMON, COMMON_IN_TASK = 1 << 17, 6
+#: Sets of at most so many members have links that are exact names, not candidates.
+SMALL = 7
+PART, WHOLE, LACKING = 0, 1, 2
 _COEFFICIENTS = stream(2, 16) | np.uint64(1)
 
 
@@ -108,7 +114,7 @@ def part_keys(members: np.ndarray, common: np.ndarray) -> np.ndarray:
     kind always agrees with its partner in a part that is not empty.
     """
     n = len(members)
-    if n < 4:  # linked sets this small are equal
+    if n <= SMALL:  # see small_keys
         return members[:0]
     need, out, rare = n // 4 + 1, [], members[~_held_in(members, common)]
     for band in (size_band(n), size_band(n) - 1):
@@ -128,6 +134,24 @@ def part_keys(members: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def small_keys(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The name of a small set, and those of the sets that lack one of its members.
+
+    Linked sets of which one has at most SMALL members are equal or differ in
+    one member (and with fewer than 4 are equal), so the smaller one's name is
+    one of the larger one's second names.
+    """
+    n, none = len(members), members[:0]
+    if not 4 <= n <= SMALL + 1:
+        return none, none
+    terms = mix(members ^ np.uint64(0x5BD1E995))
+    total = np.add.reduce(terms)
+    with np.errstate(over="ignore"):
+        whole = mix(np.array([total + np.uint64(n)], dtype=np.uint64))
+        lacking = mix(total - terms + np.uint64(n - 1))
+    return whole if n <= SMALL else none, lacking if n > 4 else none
+
+
 def _rows(table: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(table, schema=schema)
 
@@ -172,15 +196,17 @@ def _keyed(common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, names = [], []
+            keys, names, kinds = [], [], []
             for members in shingle_sets(text_bytes(batch.column("text"))):
                 if len(members) < 4 or (name := fingerprint(members)) in seen:
                     continue
                 seen.add(name)
-                keys.append(part_keys(members, common))
-                names.append(np.full(len(keys[-1]), name, dtype=np.int64))
+                for kind, some in zip((PART, WHOLE, LACKING), (part_keys(members, common), *small_keys(members)), strict=True):
+                    keys.append(some)
+                    names.append(np.full(len(some), name, dtype=np.int64))
+                    kinds.append(np.full(len(some), kind, dtype=np.int8))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], names=["part", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(kinds))], names=["part", "fp", "kind"])
 
     return run
 
@@ -273,14 +299,16 @@ def _in_components(shared: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that with the least id, then the least hash of its text. Rows without words stay, but for repeated ones."""
+    """``docs`` with one row of each component: that with the least id, then the least hash of its text, then of all its columns. Rows without words stay, but for repeated ones."""
     key = row_key(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     named = docs.select(F.struct(F.col(id_col).alias("i"), key.alias("k")).alias("row"), F.col(text_col).alias("text"))
     found = jaccard_components(named, "row", "text")
-    stays = found.filter((F.col("n_shingles") == 0) | (F.col("row") == F.col("component_id"))).select(F.col("row.k").alias("stay_key")).distinct()
-    rows = docs.withColumn("row_key", key).join(stays, F.col("row_key") == F.col("stay_key"), "left_semi")
-    first = Window.partitionBy("row_key").orderBy(F.lit(1))
-    return rows.withColumn("row_number", F.row_number().over(first)).filter("row_number = 1").select(*docs.columns)
+    [stay] = free_names(docs, "stay_key")
+    stays = found.filter((F.col("n_shingles") == 0) | (F.col("row") == F.col("component_id"))).select(F.col("row.k").alias(stay)).distinct()
+    mine, number = free_names(docs, "row_key", "row_number")
+    rows = docs.withColumn(mine, key).join(stays, F.col(mine) == F.col(stay), "left_semi")
+    first = Window.partitionBy(mine).orderBy(all_of(docs))
+    return rows.withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1).select(*docs.columns)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,9 +332,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return _keyed(few.value)(batches)
 
     in_part = Window.partitionBy("part").orderBy("fp")
-    rows = texts.select("text").mapInArrow(tidy(keyed), "part long, fp long")
-    rows = rows.select("part", "fp", F.first("fp").over(in_part.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("fp").over(in_part).alias("before"), F.lead("fp").over(in_part).alias("after"))
+    rows = texts.select("text").mapInArrow(tidy(keyed), "part long, fp long, kind byte")
+    rows = rows.select("part", "fp", "kind", F.first("fp").over(in_part.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("fp").over(in_part).alias("before"), F.lead("fp").over(in_part).alias("after"))
     found = materialize(rows.filter("(after is null and head <> fp) or after <> fp"), "parity-parts")  # the last of each set, where a part has two
+    small = found.filter(F.col("kind") == WHOLE).select("part", F.col("fp").alias("a")).join(found.filter(F.col("kind") == LACKING).select("part", F.col("fp").alias("b")), "part").select("a", "b")
+    found = found.filter(F.col("kind") == PART)
     shared = found.select("part", "fp")
     pairs = found.select("fp", F.explode(F.array_distinct(F.array("head", "before"))).alias("a")).filter("a < fp").select("a", F.col("fp").alias("b"))
     near = materialize(_thinned(pairs, sets), "parity-pairs")
@@ -315,7 +345,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     tried = near.groupBy("b").agg(F.min(F.struct("gap", "a"))["a"].alias("a")).select("a", "b")
     tried = materialize(tried, "parity-tried")
-    links = materialize(_verify(tried, held), "parity-links")
+    links = materialize(_verify(tried, held).unionByName(small), "parity-links")
     label = connected_components(links, "a", "b")
 
     mixed = _in_components(shared, label).join(names, "fp", "left_semi")

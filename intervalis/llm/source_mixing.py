@@ -7,9 +7,9 @@ its quality weight w; within a source, documents are taken by ascending key.
 A target takes whole epochs of its source first, then the leading documents
 whose running sum of words is nearest to the rest.
 
-A source may hold a third of all rows: its keys are cut into as many even
-ranges as its row count asks for, sums per range are added up along the
-source, and only within a range are documents sorted. Sources are numbered
+A source may hold a third of all rows: each doubling of its keys is cut into as
+many ranges as its row count asks for (MOST_CUTS at most), sums per range are
+added up along the source, and only within a range are documents sorted. Sources are numbered
 and capped by distributed sorts and one small aggregation per round of capping.
 
 Null text has size 0; null source is one source, the last; rows with equal
@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from intervalis.llm._batches import row_key
+from intervalis.llm._batches import all_of, free_names, row_key
 from intervalis.plans.scratch import materialize
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
-RANGE_ROWS = 5000
+RANGE_ROWS, MOST_CUTS = 5000, 1 << 16
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,9 +40,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
 
     Weights go to the sources in the order of their code points, null last, and repeat.
     """
-    spark = sizes.sparkSession
-    ranked = sizes.orderBy(F.asc_nulls_last("source")).rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    ranked = spark.createDataFrame(ranked, "source string, source_size long, place long")
+    ordered = sizes.orderBy(F.asc_nulls_last("source")).select("*", F.monotonically_increasing_id().alias("at"))
+    ordered = materialize(ordered.select("*", F.shiftright("at", 33).alias("split"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("within")), "mix-ordered")
+    splits = ordered.groupBy("split").agg(F.count(F.lit(1)).alias("n"))  # one row for each task of the sort
+    ahead = splits.select("split", F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    ranked = ordered.join(ahead, "split").select("source", "source_size", (F.col("ahead") + F.col("within")).alias("place"))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
     table = materialize(ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).cast("double").alias("cap")), "mix-sources")
     total = float(table.agg(F.sum("source_size")).first()[0] or 0)
@@ -75,12 +77,12 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, id_col: str =
     by_source = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sizes")
     targets = source_targets(by_source.select("source", "source_size"), weights, most).withColumnRenamed("source", "s")
     plan = by_source.drop("source_size").join(targets, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("s"), "source_size", "target", F.ceil(F.col("n") / RANGE_ROWS).alias("ranges"),
+        F.col("source").alias("s"), "source_size", "target", F.least(F.ceil(F.col("n") / RANGE_ROWS), F.lit(MOST_CUTS)).alias("cuts"),
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
     )
     plan = materialize(plan, "mix-plan")
-    # 1 - exp(-key) is uniform at weight 1 and ascends with the key
-    placed = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges")))
+    # whatever the weights, at most about half of a source's keys lie within a factor of 2
+    placed = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("range", F.floor(F.log2("key") * F.col("cuts")))
     sums = placed.groupBy("source", "range").agg(F.sum("size").alias("part"))
     along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(F.col("source").alias("b_source"), F.col("range").alias("b_range"), F.coalesce(F.sum("part").over(along), F.lit(0)).alias("ahead"))
@@ -94,8 +96,11 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, id_col: str =
 
 
 def mixed(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    plan = mix_sources(docs, quality, id_col, text_col, source_col, **options).groupBy(F.col("text_key").alias("mix_key")).agg(F.sum("epochs").alias("mix_times")).filter("mix_times > 0")
-    rows = docs.withColumn("mix_row", row_key(F.col(id_col), F.col(source_col), F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.withColumn("mix_number", F.row_number().over(Window.partitionBy("mix_row").orderBy(F.lit(1)))).filter("mix_number = 1")
-    return rows.join(plan, F.col("mix_row") == F.col("mix_key")).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it; of rows equal in id, source and text, those with the least hash of all columns first."""
+    mine, number, its, its_number, times = free_names(docs, "mix_row", "mix_number", "mix_key", "mix_place", "mix_times")
+    plan = mix_sources(docs, quality, id_col, text_col, source_col, **options).select(F.col("text_key").alias(its), F.col("epochs").alias(times))
+    plan = plan.withColumn(its_number, F.row_number().over(Window.partitionBy(its).orderBy(F.desc(times)))).filter(F.col(times) > 0)
+    rows = docs.withColumn(mine, row_key(F.col(id_col), F.col(source_col), F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(mine).orderBy(all_of(docs))))
+    rows = rows.join(plan, (F.col(mine) == F.col(its)) & (F.col(number) == F.col(its_number)))
+    return rows.withColumn(mine, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

@@ -76,7 +76,17 @@ def test_linked_sets_share_a_key():
             b = c
         common = np.sort(rnd.sample(universe.tolist(), rnd.choice([0, n // 3, 2 * n, 3 * n])))
         keys = [set(parity_join.part_keys(np.sort(universe[sorted(s)]), np.array(common, dtype=np.uint64)).tolist()) for s in (a, b)]
-        assert a == b or keys[0] & keys[1]
+        (whole_a, less_a), (whole_b, less_b) = ([set(k.tolist()) for k in parity_join.small_keys(np.sort(universe[sorted(s)]))] for s in (a, b))
+        assert a == b or keys[0] & keys[1] or whole_a & less_b or whole_b & less_a
+
+
+def test_short_texts_that_differ_in_one_word_are_no_candidates(spark):
+    """Sets that all lack another member of one common set meet only through that set."""
+    base = "one two three four five six seven eight nine ten"
+    rows = [(k, f"{base} x{k}") for k in range(200)] + [(900, base)] + [(1000 + k, f"other words here than those before y{k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in parity_join.jaccard_components(docs).collect()}
+    assert {found[k] for k in range(200)} == {0} and found[900] == 0 and all(found[1000 + k] == 1000 + k for k in range(50))
 
 
 def test_empty_table(spark):

@@ -75,3 +75,16 @@ def test_packing_stage(stages):
 
 def test_run(spark, stages):
     assert P.run(spark, stages[1]).count() == stages[0][5].count()
+
+
+def test_clashing_columns_null_texts_and_empty_tables_pass_every_stage(spark, tmp_path):
+    rows = [(i, t, s, 1, 0.5, "x", "y", "z") for i, t, s in [(1, "the cat sat on the mat and saw it all", "a"), (2, None, "a"), (3, "", None), (1, "the cat sat on the mat and saw it all", "a"), (4, "the dog lay on the rug near the old door", "b"), (None, "call me at a.b@example.org or so", "b")]]
+    kind = "doc_id long, text string, source string, n_chars long, score double, row_key string, mix_row string, pii_extra string, lang string"
+    docs = spark.createDataFrame([(*r, "en") for r in rows], kind)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.filter("n_chars < 0")):
+        for _, stage in P.STAGES[:-1]:
+            before = table.count()
+            table = stage(spark, table, str(tmp_path))
+            assert table.columns == docs.columns and (before or not table.count())
+        assert (P.STAGES[-1][1](spark, table, str(tmp_path)).count() > 0) == (table.count() > 0)
