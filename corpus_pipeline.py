@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervalis.llm import bootstrap_pii, harmonic_packing, hyper_language, parity_join, source_mixing
+from intervalis.llm._batches import free_names
 from intervalis.llm.queries import quality_weights, tokenizer_path
 from intervalis.plans.scratch import materialize
 
@@ -23,8 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or unlike every language of the corpus, go."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     prototypes = hyper_language.learn(docs.filter(~held))
-    judged = hyper_language.predict(docs, prototypes)
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = free_names(docs, "lang_pred", "score")
+    judged = hyper_language.predict(docs, prototypes, names=(lang, score))
+    return judged.filter((F.col(lang) != "und") & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
