@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,17 +72,25 @@ def keep_by_priority(rows: Sequence[dict]) -> list[dict]:
 
 
 def _folded(df: DataFrame, key: str, fold, order: Sequence[str]) -> DataFrame:
-    """Apply a fold over the ordered rows of each key, with the same schema."""
+    """Apply a fold over the ordered rows of each key, with the same schema; a task reads many keys in one stream."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = df.schema
     arrow = to_arrow_schema(schema)
 
-    def one(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([(c, "ascending") for c in order]).to_pylist()
-        return pa.Table.from_pylist(fold(rows), schema=arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []  # the rows of the key that may go on in the next batch
+        for batch in batches:
+            out: list[dict] = []
+            for value, group in groupby(batch.to_pylist(), lambda r: r[key]):
+                if held and held[0][key] != value:
+                    out += fold(held)
+                    held = []
+                held += group
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        yield pa.RecordBatch.from_pylist(fold(held), schema=arrow)
 
-    return df.groupBy(key).applyInArrow(one, schema)
+    return df.repartition(key).sortWithinPartitions(key, *(F.asc_nulls_last(c) for c in order)).mapInArrow(run, schema)
 
 
 def priority_dedupe(detections: DataFrame) -> DataFrame:
@@ -118,12 +127,16 @@ def _merged(a: dict, b: dict) -> dict:
     return out
 
 
+def _is_garbage(s: dict) -> bool:
+    return bool(s.get("is_garbage")) or s["tier"] == "garbage"
+
+
 def _similar(a: dict, b: dict) -> bool:
     tiers = {a["tier"], b["tier"]}
     alike = all(bool(a.get(c)) == bool(b.get(c)) for c in ("is_key_moment", "is_best_take", "is_garbage"))
     return (
-        b["start_time"] - a["end_time"] <= 0.1 and a["shot_type"] == b["shot_type"] and (len(tiers) == 1 or tiers <= {"gold", "silver"})
-        and not a.get("is_garbage") and not b.get("is_garbage") and abs((a["score"] or 0.0) - (b["score"] or 0.0)) <= 2 and alike
+        abs(b["start_time"] - a["end_time"]) <= 0.1 and a["shot_type"] == b["shot_type"] and (len(tiers) == 1 or tiers <= {"gold", "silver"})
+        and not _is_garbage(a) and not _is_garbage(b) and abs((a["score"] or 0.0) - (b["score"] or 0.0)) <= 2 and alike
     )
 
 
@@ -132,11 +145,11 @@ def _same_family(a: dict, b: dict, with_shaky: bool = False) -> bool:
     return a["shot_type"] == b["shot_type"] or any({a["shot_type"], b["shot_type"]} <= f for f in families)
 
 
-def _relaxed(a: dict, b: dict, micro: dict) -> bool:
-    """Whether a micro segment may join its neighbour; a repeated one may join nearly any."""
-    if b["start_time"] - a["end_time"] > 0.15 or a.get("is_garbage") or b.get("is_garbage"):
+def _relaxed(a: dict, b: dict, micro: float) -> bool:
+    """Whether a micro segment may join its neighbour; if either is a repeated one below ``micro`` seconds, nearly any two may."""
+    if abs(b["start_time"] - a["end_time"]) > 0.15 or _is_garbage(a) or _is_garbage(b):
         return False
-    if micro.get("is_repeated_take"):
+    if any(_length(s) < micro and s.get("is_repeated_take") for s in (a, b)):
         return _same_family(a, b, True) or min(_length(a), _length(b)) < 1
     return _same_family(a, b)
 
@@ -161,9 +174,9 @@ def consolidated(rows: Sequence[dict], micro: float = 2.0) -> list[dict]:
         special = (s.get("is_key_moment") or s.get("is_best_take")) and not s.get("is_repeated_take")
         if _length(s) >= micro or (_length(s) >= 1 and special):
             out.append(s)
-        elif out and _relaxed(out[-1], s, s):
+        elif out and _relaxed(out[-1], s, micro):
             out[-1] = _merged(out[-1], s)
-        elif rest and _relaxed(s, rest[-1], s):
+        elif rest and _relaxed(s, rest[-1], micro):
             rest[-1] = _merged(s, rest[-1])
         elif out:
             out[-1] = dict(out[-1], end_time=s["end_time"])

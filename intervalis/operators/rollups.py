@@ -118,8 +118,9 @@ def face_histogram(segments: DataFrame) -> DataFrame:
 
 
 def by_framing(segments: DataFrame) -> DataFrame:
-    """Segments nested by framing type, best first."""
-    return segments.groupBy("framing_type").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), F.col("video_id"), F.col("index"), F.col("score")))).alias("segments"))
+    """Segments with their place in their framing type, best first: a framing type's list in order, as rows, whatever its length."""
+    along = Window.partitionBy("framing_type").orderBy(F.desc("score"), "video_id", "index")
+    return segments.select("framing_type", "video_id", "index", "score", F.row_number().over(along).cast("long").alias("place"))
 
 
 def repeated_stats(segments: DataFrame) -> DataFrame:

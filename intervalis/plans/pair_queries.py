@@ -91,6 +91,6 @@ REGISTER.add(
     "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
 )
 REGISTER.add(
-    "computed_key_lookup", lambda s, d: table(s, d, "supplier").select("s_suppkey", F.substring(F.md5("s_name"), 1, 12).alias("id")).join(table(s, d, "supplier").filter("s_suppkey <= 10").select(F.substring(F.md5("s_name"), 1, 12).alias("id")), "id").select("s_suppkey", "id"),
-    "SELECT s_suppkey, substr(md5(s_name), 1, 12) AS id FROM supplier WHERE s_suppkey <= 10",
+    "computed_key_lookup", lambda s, d: table(s, d, "supplier").select("s_suppkey", F.substring(F.md5("s_name"), 1, 12).alias("id")).join(table(s, d, "supplier").select(F.substring(F.md5("s_name"), 1, 12).alias("id"), "s_name"), "id").select("s_suppkey", "id", "s_name"),
+    "SELECT a.s_suppkey, substr(md5(a.s_name), 1, 12) AS id, b.s_name FROM supplier a JOIN supplier b ON substr(md5(a.s_name), 1, 12) = substr(md5(b.s_name), 1, 12)",
 )

@@ -81,7 +81,7 @@ REGISTER.add(
        count(*) FILTER (face_count > 0 AND coverage >= 0.05 AND coverage < 0.15) AS medium, count(*) FILTER (face_count > 0 AND coverage >= 0.15 AND coverage < 0.3) AS large, count(*) FILTER (face_count > 0 AND coverage >= 0.3) AS huge FROM seg""", SEGMENTS_SQL,
 )
 REGISTER.add("face_histogram", lambda s, d: R.face_histogram(segments(s, d)), "SELECT face_count, count(*) AS segments FROM seg GROUP BY face_count", SEGMENTS_SQL)
-REGISTER.add("by_framing_lists", lambda s, d: R.by_framing(segments(s, d)).select("framing_type", F.size("segments").cast("long").alias("n"), F.col("segments")[0]["score"].alias("top")), "SELECT framing_type, count(*) AS n, max(score) AS top FROM seg GROUP BY framing_type", SEGMENTS_SQL)
+REGISTER.add("by_framing_lists", lambda s, d: R.by_framing(segments(s, d)), "SELECT framing_type, video_id, index, score, row_number() OVER (PARTITION BY framing_type ORDER BY score DESC, video_id, index) AS place FROM seg", SEGMENTS_SQL)
 REGISTER.add("repeated_takes", lambda s, d: R.repeated_stats(segments(s, d)), "SELECT count(*) AS repeated, round_even(sum(duration), 2)::DOUBLE AS duration FROM seg WHERE is_repeated_take", SEGMENTS_SQL)
 REGISTER.add("tag_frequency", lambda s, d: R.tag_frequency(segments(s, d)), "SELECT tag, count(*) AS count FROM (SELECT unnest(tags) AS tag FROM seg) GROUP BY tag", SEGMENTS_SQL)
 REGISTER.add("word_frequency_top", lambda s, d: R.tag_frequency(table(s, d, "part").select(F.split("p_name", " ").alias("tags"))).limit(15), "SELECT tag, count(*) AS count FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY tag ORDER BY count DESC, tag LIMIT 15")
@@ -149,6 +149,12 @@ REGISTER.add(
        CASE WHEN brightness BETWEEN 0.35 AND 0.7 THEN 'bien_expuesto' WHEN brightness > 0.8 THEN 'sobreexpuesto' WHEN brightness < 0.2 THEN 'subexpuesto' END, CASE WHEN shot_type = 'ESTATICA' OR motion_std < 0.5 THEN 'estable' WHEN motion_std > 3 THEN 'tembloroso' END,
        CASE WHEN edges > 0.25 THEN 'complejo_visualmente' WHEN edges < 0.08 THEN 'minimalista' END, CASE WHEN face_count > 0 AND issues = 0 THEN 'rostro_bien_encuadrado' END]) AS tag FROM seg) WHERE tag IS NOT NULL GROUP BY tag""", SEGMENTS_SQL,
 )
+REGISTER.add(
+    "descriptions", lambda s, d: tagging.tag_segments(segments(s, d).withColumn("framing_type_display", F.col("framing_type"))).select("video_id", "index", "auto_description"),
+    """SELECT video_id, index, concat_ws(', ', framing_type, CASE WHEN face_count >= 2 THEN 'con ' || face_count || ' personas' WHEN face_count >= 1 THEN 'con persona' END,
+       CASE shot_type WHEN 'PANEO' THEN 'con paneo' WHEN 'TILT' THEN 'con tilt' WHEN 'ESTATICA' THEN 'estática' END,
+       CASE tier WHEN 'gold' THEN '(excelente)' WHEN 'silver' THEN '(buena)' WHEN 'discard' THEN '(descartable)' END) AS auto_description FROM seg""", SEGMENTS_SQL,
+)
 REGISTER.add("tag_by_category", lambda s, d: R.tags_by_category(tagging.tag_segments(segments(s, d).withColumn("framing_type_display", F.lit("")))).select("category", "total"))
 REGISTER.add(
     "key_moments", lambda s, d: tagging.key_moments(segments(s, d)),

@@ -98,8 +98,8 @@ REGISTER.add(
     "SELECT o_orderkey AS video_id, o_custkey FROM orders WHERE o_orderkey IN (SELECT video_id FROM seg WHERE list_contains(tags, 'entrevista'))", SEGMENTS_SQL,
 )
 REGISTER.add(
-    "pending_anti", lambda s, d: S.not_yet(table(s, d, "customer").select("c_custkey", "c_name"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"),
-    "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "pending_anti", lambda s, d: S.not_yet(table(s, d, "customer").select("c_custkey", "c_name"), table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"),
+    "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
 )
 REGISTER.add(
     "pending_union",
@@ -111,7 +111,7 @@ REGISTER.add(
     "SELECT video_id, index FROM seg WHERE tier IN ('gold', 'silver') AND NOT is_garbage AND NOT is_repeated_take AND face_count > 0 AND (coalesce(is_best_take, false) OR NOT (SELECT bool_or(coalesce(is_best_take, false)) FROM seg WHERE tier IN ('gold', 'silver') AND NOT is_garbage AND NOT is_repeated_take AND face_count > 0))", SEGMENTS_SQL,
 )
 REGISTER.add("legacy_export_filter", lambda s, d: segments(s, d).filter(F.col("tier").isin("gold", "bronze") & (F.col("duration") >= 20) & F.col("shot_type").isin("TILT")).select(*KEYS), "SELECT video_id, index FROM seg WHERE tier IN ('gold', 'bronze') AND duration >= 20 AND shot_type = 'TILT'", SEGMENTS_SQL)
-REGISTER.add("text_search", lambda s, d: S.text_search(table(s, d, "part"), "GREEN", "p_name").select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'green')")
+REGISTER.add("text_search", lambda s, d: S.text_search(table(s, d, "part"), "RED", "p_name").select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red')")
 REGISTER.add("available_filters", lambda s, d: S.available_filters(s))
 REGISTER.add("project_exclude", lambda s, d: S.project(table(s, d, "nation"), exclude=["n_regionkey", "unknown"]), "SELECT n_nationkey, n_name FROM nation")
 REGISTER.add(
