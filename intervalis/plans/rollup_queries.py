@@ -138,7 +138,6 @@ def _scored(s, d):
 
 
 REGISTER.add("weighted_score", _scored, f"SELECT video_id, index, ({_SCORED_SQL})::DOUBLE AS score FROM seg", SEGMENTS_SQL)
-REGISTER.add("evaluate_segments", lambda s, d: scoring.evaluate(segments(s, d)).select("video_id", "index", "shot_type", "score", "tier", "is_critically_blurry"))
 REGISTER.add(
     "tags_rules", lambda s, d: tagging.tag_segments(segments(s, d).withColumn("framing_type_display", F.lit(""))).select("video_id", "index", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")),
     """SELECT tag, count(*) AS n FROM (SELECT unnest([CASE WHEN face_count > 0 THEN 'persona' END, CASE WHEN face_count >= 2 THEN 'varias_personas' END, CASE WHEN face_count > 0 THEN 'rostro_visible' END, CASE WHEN face_count > 0 AND coverage >= 0.15 THEN 'primer_plano_rostro' END,

@@ -105,12 +105,6 @@ REGISTER.add(
     "detections_by_video", lambda s, d: detections_by_video(_spans(s, d)).select("video_id", F.size("detections").cast("long").alias("n"), F.concat_ws(",", "types_found").alias("types")),
     "SELECT video_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT kind)), ',') AS types FROM det GROUP BY video_id", FRAMES_SQL, _SPANS_SQL,
 )
-REGISTER.add("priority_dedupe", lambda s, d: intervals.priority_dedupe(_spans(s, d).withColumn("kind", F.when(F.col("kind") == "view", "sky_shot").otherwise("uniform_frame"))))
-REGISTER.add(
-    "consolidate_fold",
-    lambda s, d: intervals.consolidate(segments(s, d).select("video_id", "index", "start_time", "end_time", "duration", "score", "tier", "shot_type", "tags", "is_garbage", "is_key_moment", "is_best_take", "is_repeated_take", "face_count", "metrics"), micro=8.0)
-    .select("video_id", "index", "start_time", "end_time", "score", "tier", "merged_count"),
-)
 REGISTER.add(
     "guarded_garbage", lambda s, d: intervals.guard_garbage(segments(s, d)).select("video_id", "index", "tier", "is_key_moment", "is_repeated_take"),
     "SELECT video_id, index, tier, is_key_moment AND NOT is_garbage AS is_key_moment, is_repeated_take AND NOT is_garbage AS is_repeated_take FROM seg", SEGMENTS_SQL,
