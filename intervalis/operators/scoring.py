@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,7 +147,7 @@ def criteria(shot: Column, active: tuple[str, ...] = CATEGORIES, m=metric) -> Co
 def weighted_score(made: Column) -> Column:
     """Mean of the criteria by weight, added in their order; the neutral score without any."""
     total = F.aggregate(made, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, c: F.struct((a["s"] + c["score"] * c["weight"]).alias("s"), (a["w"] + c["weight"]).alias("w")))
-    return F.when(total["w"] > 0, F.try_divide(total["s"], total["w"])).otherwise(NO_CRITERION)
+    return F.transform(F.array(total), lambda t: F.when(t["w"] > 0, F.try_divide(t["s"], t["w"])).otherwise(NO_CRITERION))[0]  # bound, so that the sums are taken once
 
 
 def evaluate(segments: DataFrame, active: tuple[str, ...] = CATEGORIES) -> DataFrame:
@@ -169,18 +168,29 @@ def explanation(made: Column) -> Column:
     )
 
 
+#: Words of the criteria's names by category; the first category that fits takes a criterion.
+CATEGORY_WORDS = (("stability", "temblor|consistencia|velocidad|suavidad|estabilidad"), ("focus", "enfoque|focus"), ("exposure", "exposición|exposicion|luz|brillo"))
+
+
 def category_scores(made: Column, h: Column, v: Column) -> Column:
-    """struct(stability, focus, exposure, image_quality, framing): means of criteria by words of their names, 7 where there are none."""
+    """struct(stability, focus, exposure, image_quality, framing): means of criteria by words of their names, 7 where there are none.
+
+    One walk over the criteria; the sums are bound once, so that no field repeats it.
+    """
+    names = [name for name, _ in CATEGORY_WORDS]
+    sorted_out = F.transform(made, lambda c: F.struct(ladder(*((F.lower(c["name"]).rlike(words), name) for name, words in CATEGORY_WORDS)).alias("category"), c["score"].alias("score")))
+    start = F.struct(*(x for name in names for x in (F.lit(0.0).alias(f"s_{name}"), F.lit(0).alias(f"n_{name}"))))
+
+    def add(a: Column, c: Column) -> Column:
+        fits = {name: F.coalesce(c["category"] == name, F.lit(False)) for name in names}
+        return F.struct(*(x for name in names for x in (F.when(fits[name], a[f"s_{name}"] + c["score"]).otherwise(a[f"s_{name}"]).alias(f"s_{name}"), F.when(fits[name], a[f"n_{name}"] + 1).otherwise(a[f"n_{name}"]).alias(f"n_{name}"))))
 
-    def mean_of(words: tuple[str, ...], besides: tuple[str, ...] = ()) -> Column:
-        has = lambda c, ws: reduce(lambda a, b: a | b, [F.lower(c["name"]).contains(w) for w in ws], F.lit(False))
-        found = F.filter(made, lambda c: has(c, words) & ~has(c, besides))
-        return F.when(F.size(found) > 0, F.try_divide(F.aggregate(found, F.lit(0.0), lambda a, c: a + c["score"]), F.size(found))).otherwise(7.0)
+    def scores(t: Column) -> Column:
+        mean = {name: F.when(t[f"n_{name}"] > 0, F.try_divide(t[f"s_{name}"], t[f"n_{name}"])).otherwise(7.0) for name in names}
+        framing = F.when(h > 0, (h + v) / 2 * 10).otherwise(7.0)
+        return F.struct(*(mean[name].alias(name) for name in names), (mean["focus"] * 0.7 + mean["exposure"] * 0.3).alias("image_quality"), framing.alias("framing"))
 
-    steady = ("temblor", "consistencia", "velocidad", "suavidad", "estabilidad")
-    focus, light = mean_of(("enfoque", "focus"), steady), mean_of(("exposición", "exposicion", "luz", "brillo"), (*steady, "enfoque", "focus"))
-    framing = F.when(h > 0, (h + v) / 2 * 10).otherwise(7.0)
-    return F.struct(mean_of(steady).alias("stability"), focus.alias("focus"), light.alias("exposure"), (focus * 0.7 + light * 0.3).alias("image_quality"), framing.alias("framing"))
+    return F.transform(F.array(F.aggregate(sorted_out, start, add)), scores)[0]
 
 
 def status(score: Column) -> Column:

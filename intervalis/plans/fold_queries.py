@@ -164,10 +164,9 @@ REGISTER.add(
     lambda s, d: _judged(s, d).select("shot_type", F.explode("criteria").alias("c")).groupBy("shot_type", "c.name").agg(F.count(F.lit(1)).alias("n"), F.count_if("c.passed").alias("passed"), F.sum("c.value").alias("value"), F.sum("c.score").alias("score"), F.max("c.weight").alias("weight")),
     "SELECT shot AS shot_type, c.name AS name, count(*) AS n, count(*) FILTER (c.passed) AS passed, sum(c.value) AS value, sum(c.score) AS score, max(c.weight) AS weight FROM (SELECT shot, unnest(made) AS c FROM judged) GROUP BY ALL", SEGMENTS_SQL, _JUDGED_SQL,
 )
-_CATEGORIES = ("stability", "focus", "exposure", "image_quality", "framing")
 REGISTER.add(
     "category_scores",
-    lambda s, d: _judged(s, d).select("video_id", "index", scoring.category_scores(F.col("criteria"), F.col("metrics.h_balance"), F.col("metrics.v_balance")).alias("c")).select("video_id", "index", *(f"c.{c}" for c in _CATEGORIES), scoring.status(F.col("c.image_quality")).alias("status")),
+    lambda s, d: _judged(s, d).select("video_id", "index", F.inline(F.array(scoring.category_scores(F.col("criteria"), F.col("metrics.h_balance"), F.col("metrics.v_balance"))))).withColumn("status", scoring.status(F.col("image_quality"))),
     f"""SELECT *, CASE WHEN image_quality >= 8 THEN 'good' WHEN image_quality >= 6 THEN 'warning' WHEN image_quality >= 4 THEN 'poor' ELSE 'bad' END AS status FROM (
         SELECT *, focus * 0.7::DOUBLE + exposure * 0.3::DOUBLE AS image_quality FROM (SELECT video_id, index, {_mean_of(*_STEADY)} AS stability, {_mean_of("Enfoque", "Frames con enfoque")} AS focus,
         {_mean_of("Exposición")} AS exposure, CASE WHEN h_balance > 0 THEN (h_balance + v_balance) / 2 * 10 ELSE 7.0 END::DOUBLE AS framing FROM judged))""", SEGMENTS_SQL, _JUDGED_SQL,
