@@ -1,8 +1,10 @@
 """URL filters: fixed host and path rules first, association rules mined from labels for the rest.
 
 A URL becomes a set of tokens: labels of its host, path segments (digits as
-one 0), and names of its query arguments. FP-growth mines the combinations
-that labelled URLs share, the label being one more item; rules that lead to a
+one 0), and names of its query arguments. Tokens that
+always stand together count as one item, so that long templates don't multiply
+itemsets. FP-growth mines the combinations that labelled URLs share, the label
+being one more item; rules that lead to a
 label are kept above a support, a confidence and a lift, and where no shorter
 rule is as confident. Rules are matched by an inverted index: each stands under
 its rarest token, the distinct token sets of all URLs look their tokens up and
@@ -51,11 +53,29 @@ def url_tokens(host: F.Column, path: F.Column, query: F.Column) -> F.Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """Association rules of a table (tokens, verdict): antecedent, verdict, confidence, lift, support."""
+def token_classes(labelled: DataFrame) -> DataFrame:
+    """(token, leader): tokens that stand in exactly the same token sets share the least of them as leader.
+
+    A template's constant tokens would double the itemsets with each of them;
+    as one item they change no rule's figures. Sets of tokens are compared by
+    their number and 128 bits of hash sums, so nothing is gathered but the
+    tokens of a class, all of which stand in one URL.
+    """
+    sets = labelled.select("tokens").filter("tokens <> ''").distinct()
+    each = sets.select(F.explode(F.split("tokens", " ")).alias("token"), F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"))
+    marks = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    classes = marks.groupBy("n", "a", "b").agg(F.min("token").alias("leader"), F.collect_list("token").alias("members"))
+    return classes.select(F.explode("members").alias("token"), "leader")
+
+
+def mine_rules(labelled: DataFrame, classes: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+    """Association rules of a table (tokens, verdict): antecedent (leaders of ``classes``), verdict, confidence, lift, support."""
     spark = labelled.sparkSession
-    items = F.concat(F.filter(F.split("tokens", " "), lambda x: x != ""), F.array(F.concat(F.lit(LABEL), F.col("verdict"))))
-    rows = materialize(labelled.filter("verdict is not null").select(items.alias("items")), "url-items")
+    known = labelled.filter("verdict is not null")
+    sets = known.select("tokens").filter("tokens <> ''").distinct()
+    leaders = sets.select("tokens", F.explode(F.split("tokens", " ")).alias("leader")).join(classes.select("leader").distinct(), "leader").groupBy("tokens").agg(F.collect_list("leader").alias("leaders"))
+    items = F.concat(F.coalesce("leaders", F.array().cast("array<string>")), F.array(F.concat(F.lit(LABEL), F.col("verdict"))))
+    rows = materialize(known.join(leaders, "tokens", "left").select(items.alias("items")), "url-items")
     if not (n := rows.count()):
         return spark.createDataFrame([], RULES)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(rows)
@@ -71,17 +91,22 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count:
     return rules.join(idle.select("rule", "verdict").distinct(), ["rule", "verdict"], "left_anti").drop("rule")
 
 
-def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(tokens, verdict, confidence, matched) for the token sets that a rule matches; ``token_sets`` has distinct rows."""
-    parts = rules.select("antecedent", "verdict", "confidence", "support", F.explode("antecedent").alias("token"))
-    frequency = token_sets.select(F.explode(F.split("tokens", " ")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+def match_rules(token_sets: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """(tokens, verdict, confidence, matched) for the token sets that a rule matches; ``token_sets`` has distinct rows.
+
+    A rule fits where every leader of it is there by any token of its class.
+    """
+    parts = rules.select("antecedent", "verdict", "confidence", "support", F.explode("antecedent").alias("leader"))
+    asked = classes.join(parts.select("leader").distinct(), "leader")
+    tokens = token_sets.select("tokens", F.explode(F.split("tokens", " ")).alias("token"))
+    held = tokens.join(asked, "token").groupBy("tokens").agg(F.collect_set("leader").alias("leaders"))
+    frequency = held.select(F.explode("leaders").alias("leader")).groupBy("leader").agg(F.count(F.lit(1)).alias("f"))
     index = (
-        parts.join(frequency, "token")
-        .groupBy("antecedent", "verdict", "confidence", "support").agg(F.min(F.struct("f", "token"))["token"].alias("token"), F.count(F.lit(1)).alias("present"))
+        parts.join(frequency, "leader")
+        .groupBy("antecedent", "verdict", "confidence", "support").agg(F.min(F.struct("f", "leader"))["leader"].alias("leader"), F.count(F.lit(1)).alias("present"))
         .filter(F.col("present") == F.size("antecedent"))
     )
-    looked_up = token_sets.select("tokens", F.explode(F.split("tokens", " ")).alias("token")).join(index, "token")
-    fits = looked_up.filter(F.size(F.array_except("antecedent", F.split("tokens", " "))) == 0)
+    fits = held.select("tokens", "leaders", F.explode("leaders").alias("leader")).join(index, "leader").filter(F.size(F.array_except("antecedent", "leaders")) == 0)
     best = F.max(F.struct("confidence", "support", F.size("antecedent").alias("n"), "verdict", F.array_join(F.array_sort("antecedent"), " ").alias("matched")))
     return fits.groupBy("tokens").agg(best.alias("best")).select("tokens", "best.verdict", "best.confidence", "best.matched")
 
@@ -96,8 +121,10 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, fixed: Sequence[tuple[str,
     parts = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), parts["host"].alias("host"), parts["path"].alias("path"), url_tokens(*parts.values()).alias("tokens"))
     known = url_parts(F.col("url"))
-    rules = materialize(mine_rules(labelled.select(url_tokens(*known.values()).alias("tokens"), "verdict"), **thresholds), "url-rules")
-    found = match_rules(rows.select("tokens").filter("tokens <> ''").distinct(), rules).withColumnsRenamed({"tokens": "found_tokens", "verdict": "method"})
+    labels = labelled.select(url_tokens(*known.values()).alias("tokens"), "verdict")
+    classes = materialize(token_classes(labels.filter("verdict is not null")), "url-classes")
+    rules = materialize(mine_rules(labels, classes, **thresholds), "url-rules")
+    found = match_rules(rows.select("tokens").filter("tokens <> ''").distinct(), rules, classes).withColumnsRenamed({"tokens": "found_tokens", "verdict": "method"})
     host, path = F.col("host"), F.col("path")
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for decision, h, p in sorted(fixed, key=lambda r: len(r[1] + r[2])):  # the longest is asked first

@@ -65,3 +65,13 @@ def test_no_labels_and_no_pages(spark):
     none = spark.createDataFrame([], "url string, verdict string")
     assert [(r.rule, r.verdict) for r in U.judge_urls(pages, none, URL_RULES).collect()] == [("com/", "allow")]
     assert U.judge_urls(pages.filter("page_id < 0"), none).count() == 0
+
+
+def test_a_template_of_many_constant_tokens_is_one_item(spark):
+    deep = "/".join(f"x{chr(97 + k)}" for k in range(26))
+    labelled = [(f"http://trap.net/{deep}/{k}", "block") for k in range(30)] + [(f"http://a.org/{k % 3}/p{'abc'[k % 3]}", "allow") for k in range(60)]
+    pages = [(0, f"http://trap.net/{deep}/99"), (1, "http://else.edu/xc"), (2, "http://a.org/pa"), (3, "http://z.edu/"), (4, "http://q.edu/" + "/".join(f"{k}y" for k in range(20_000)))]
+    labels, rows = spark.createDataFrame(labelled, "url string, verdict string"), spark.createDataFrame(pages, "page_id long, url string")
+    rules = U.mine_rules(labels.select(U.url_tokens(*U.url_parts(U.F.col("url")).values()).alias("tokens"), "verdict"), U.token_classes(labels.select(U.url_tokens(*U.url_parts(U.F.col("url")).values()).alias("tokens"))), min_count=5)
+    assert 0 < rules.count() < 20
+    assert {r.page_id: r.verdict for r in U.judge_urls(rows, labels, min_count=5).collect()} == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow"}
