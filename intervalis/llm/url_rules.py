@@ -124,7 +124,8 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, fixed: Sequence[tuple[str,
     labels = labelled.select(url_tokens(*known.values()).alias("tokens"), "verdict")
     classes = materialize(token_classes(labels.filter("verdict is not null")), "url-classes")
     rules = materialize(mine_rules(labels, classes, **thresholds), "url-rules")
-    found = match_rules(rows.select("tokens").filter("tokens <> ''").distinct(), rules, classes).withColumnsRenamed({"tokens": "found_tokens", "verdict": "method"})
+    # written, so that the join of a very common URL is split and not tied to the aggregation of its token set
+    found = materialize(match_rules(rows.select("tokens").filter("tokens <> ''").distinct(), rules, classes), "url-found").withColumnsRenamed({"tokens": "found_tokens", "verdict": "method"})
     host, path = F.col("host"), F.col("path")
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for decision, h, p in sorted(fixed, key=lambda r: len(r[1] + r[2])):  # the longest is asked first
