@@ -74,6 +74,7 @@ def mine_rules(labelled: DataFrame, classes: DataFrame, min_support: float = MIN
     known = labelled.filter("verdict is not null")
     sets = known.select("tokens").filter("tokens <> ''").distinct()
     leaders = sets.select("tokens", F.explode(F.split("tokens", " ")).alias("leader")).join(classes.select("leader").distinct(), "leader").groupBy("tokens").agg(F.collect_list("leader").alias("leaders"))
+    leaders = materialize(leaders, "url-leaders")  # as the join of a very common URL is split only where it is apart from an aggregation
     items = F.concat(F.coalesce("leaders", F.array().cast("array<string>")), F.array(F.concat(F.lit(LABEL), F.col("verdict"))))
     rows = materialize(known.join(leaders, "tokens", "left").select(items.alias("items")), "url-items")
     if not (n := rows.count()):
@@ -124,7 +125,6 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, fixed: Sequence[tuple[str,
     labels = labelled.select(url_tokens(*known.values()).alias("tokens"), "verdict")
     classes = materialize(token_classes(labels.filter("verdict is not null")), "url-classes")
     rules = materialize(mine_rules(labels, classes, **thresholds), "url-rules")
-    # written, so that the join of a very common URL is split and not tied to the aggregation of its token set
     found = materialize(match_rules(rows.select("tokens").filter("tokens <> ''").distinct(), rules, classes), "url-found").withColumnsRenamed({"tokens": "found_tokens", "verdict": "method"})
     host, path = F.col("host"), F.col("path")
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
