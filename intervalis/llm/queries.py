@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervalis.llm import backoff_lm, bootstrap_pii, compact_windows, cover_top_k, harmonic_packing, hyper_language, parity_join, prefix_forest, source_mixing, url_rules
+from intervalis.llm import backoff_lm, bootstrap_pii, compact_windows, cover_top_k, harmonic_packing, hyper_language, interaction_audit, parity_join, prefix_forest, source_mixing, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op1_url_filters": op1_url_filters,
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_filter_interactions": op12_filter_interactions,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": r"""
@@ -132,6 +137,34 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT q.vec_id AS query_id, d.vec_id, sum(q.x * d.x)::BIGINT AS score FROM e q JOIN e d ON q.i = d.i AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL)
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
         FROM s QUALIFY rank <= 5""",
+    "op12_filter_interactions": r"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        fails AS (
+            SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+                   regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f
+            FROM docs),
+        counts AS (
+            SELECT part, list_sum(list_transform(f, lambda x, i: CASE WHEN x THEN 1 << (i - 1) ELSE 0 END))::INT AS mask, count(*) AS n,
+                   count(*) FILTER (EXISTS (FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)) AS good,
+                   count(*) FILTER (EXISTS (FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)) AS toxic
+            FROM fails d GROUP BY ALL),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+        orders(o) AS (SELECT '' UNION ALL SELECT o || x FROM orders, letters WHERE NOT contains(o, x)),
+        steps AS (
+            SELECT o AS filter_order, k AS step, x, bit, (SELECT coalesce(sum(y.bit), 0)::INT FROM letters y WHERE contains(o[1:k - 1], y.x)) AS before
+            FROM orders, range(1, 6) AS r(k), letters WHERE len(o) = 5 AND o[k:k] = x),
+        per AS (
+            SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept,
+                   coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS removed, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0) AS redundant,
+                   coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails, coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS good_lost,
+                   coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS toxic_lost
+            FROM counts, steps GROUP BY ALL)
+        SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+               good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley
+        FROM per""",
     "op8_ngram_jaccard_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings", "pages"):
+    for t in ("documents", "labels", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, result = entry.queries()[name](spark, SF), con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in result.description]
@@ -28,4 +28,4 @@ def test_one_row_for_each_row(spark, name, table):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{k}" for k in range(1, 11))
+    assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{k}" for k in range(1, 14))
