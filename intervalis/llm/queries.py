@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervalis.llm import backoff_lm, bootstrap_pii, compact_windows, cover_top_k, harmonic_packing, hyper_language, interaction_audit, parity_join, prefix_forest, source_mixing, url_rules
+from intervalis.llm import backoff_lm, bootstrap_pii, compact_windows, cover_top_k, harmonic_packing, hyper_language, interaction_audit, parity_join, prefix_forest, prefix_trie, source_mixing, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,19 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+#: A rebuilt conversation takes at most so many first turns of the first of its five.
+HEADS = 8
+
+
+def rebuilt_paths(conversations: DataFrame) -> DataFrame:
+    """(id, path): conversations whose first turns are those of conversation id - id % 5."""
+    return prefix_trie.with_heads(prefix_trie.paths(conversations, F.col("id") - F.col("id") % 5), HEADS)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(rebuilt_paths(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op1_url_filters": op1_url_filters,
@@ -103,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_lm_scoring": op10_lm_scoring,
     "op12_filter_interactions": op12_filter_interactions,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": r"""
@@ -165,6 +179,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
                good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley
         FROM per""",
+    "op13_conversation_trie": """
+        WITH own AS (
+            SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+                                 ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        crc_table AS (SELECT b, list_reduce([b::UBIGINT] || [x::UBIGINT FOR x IN range(8)], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) AS r(b)),
+        crc_list AS (SELECT list(v ORDER BY b) AS vs FROM crc_table),
+        heads AS (
+            SELECT conv_id, p, xor(list_reduce([4294967295::UBIGINT] || [ascii(s)::UBIGINT FOR s IN string_split(conv_id::VARCHAR, '')],
+                   lambda c, x: xor(c >> 8, vs[(xor(c, x) & 255)::INT + 1])), 4294967295::UBIGINT) % 9 AS h
+            FROM own, crc_list),
+        built AS (
+            SELECT c.conv_id, list_concat(coalesce(b.p, [])[1:c.h::INT], c.p[c.h::INT + 1:]) AS p
+            FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+        members AS (SELECT conv_id, len(p) = d AS ends, d, p[1:d::INT] AS node, p[1:greatest(d::INT - 1, 0)] AS up, strlen(p[d::INT].t) AS b FROM built, range(len(p) + 1) AS r(d)),
+        nodes AS (
+            SELECT d, node, CASE WHEN d > 0 THEN md5(up::VARCHAR) END AS up, md5(node::VARCHAR) AS name, min(conv_id) AS conv_id, count(*) AS n, any_value(b) AS b,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM members GROUP BY d, node, members.up),
+        kids AS (SELECT up, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+        below AS (
+            SELECT m.name, m.d, x.name AS other, any_value(x.n) AS n, any_value(x.b) AS b, any_value(x.d) AS xd, any_value(x.leaf) AS leaf
+            FROM (SELECT conv_id, md5(node::VARCHAR) AS name, d FROM members) m
+            JOIN (SELECT y.conv_id, y.name, y.d, n.n, n.b, k.n IS NULL AS leaf FROM (SELECT conv_id, md5(node::VARCHAR) AS name, d FROM members) y
+                  JOIN nodes n USING (name, d) LEFT JOIN kids k ON k.up = y.name AND k.d = y.d) x ON x.conv_id = m.conv_id AND x.d >= m.d
+            GROUP BY m.name, m.d, x.name, x.d),
+        sums AS (SELECT name, d, count(*) FILTER (leaf) AS n_leaves, coalesce(sum((n - 1) * b) FILTER (xd > 0), 0) AS saved FROM below GROUP BY ALL)
+        SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.n, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums s ON s.name = n.name AND s.d = n.d LEFT JOIN nodes q ON q.name = n.up AND q.d = n.d - 1 LEFT JOIN kids k ON k.up = n.name AND k.d = n.d""",
     "op8_ngram_jaccard_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
