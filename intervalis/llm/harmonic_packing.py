@@ -41,10 +41,15 @@ _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++
 _PROBE = "It's\n\n  a probe: été, 12345 naïve-words 東京!?\n don't   end \U0001f600 "
 
 
-def _ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
-    """Byte strings of a byte-level vocabulary, whose files show each byte as a printable character."""
+def shown_bytes() -> dict[str, int]:
+    """The byte behind each printable character of a byte-level vocabulary's file."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+def _ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """Byte strings of a byte-level vocabulary."""
+    byte_of = shown_bytes()
     return {bytes(byte_of[c] for c in word): i for word, i in vocabulary.items() if all(c in byte_of for c in word)}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervalis.llm import backoff_lm, bootstrap_pii, compact_windows, cover_top_k, harmonic_packing, hyper_language, interaction_audit, parity_join, prefix_forest, prefix_trie, source_mixing, url_rules
+from intervalis.llm import backoff_lm, bootstrap_pii, compact_windows, config_packing, cover_top_k, harmonic_packing, hyper_language, interaction_audit, parity_join, prefix_forest, prefix_trie, source_mixing, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def word_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config_packing.pack_best(_table(spark, sf_dir, "documents"), word_tokenizer_path())
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -115,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_filter_interactions": op12_filter_interactions,
     "op13_conversation_trie": op13_conversation_trie,
 }
