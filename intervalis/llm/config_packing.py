@@ -64,7 +64,7 @@ class Knapsack:
 
     def __init__(self, lengths: np.ndarray, most: np.ndarray, prices: np.ndarray, capacity: int):
         self.items: list[tuple[int, int]] = []  # (place of the length, copies)
-        for k, m in enumerate(most.tolist()):
+        for k, m in enumerate(np.minimum(most, capacity // lengths).tolist()):
             part = 1
             while m > 0:  # bounded copies as parts 1, 2, 4, ... and a rest
                 self.items.append((k, min(part, m)))
