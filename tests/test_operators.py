@@ -21,32 +21,32 @@ FRAMES = "video_id string, frame_idx int, timestamp double, brightness double, v
 
 @pytest.fixture(scope="module")
 def frames(spark):
-    """Sixty frames at 10 fps: five black ones, a slow start, movement, a still end."""
+    """Forty-eight frames at 8 fps of a lamp that is switched on after six: then a slow pan, a fast one, rest."""
     rows = []
-    for i in range(60):
-        black = i < 5
-        motion = None if black else 0.3 if i < 10 else 2.0 if i < 50 else 0.1
-        rows.append(("v", i, i / 10, 0.01 if black else 0.45, 2.0 if black else 500.0, 0.1, motion, 0.0, None if black else 0.7 if i < 50 else 0.2, (black, False, False, False, False, False)))
+    for i in range(48):
+        dark = i < 6
+        motion = None if dark else 0.25 if i < 12 else 3.5 if i < 36 else 0.05
+        rows.append(("v", i, i / 8, 0.005 if dark else 0.625, 1.0 if dark else 900.0, 0.2, motion, 0.0, None if dark else 0.9 if i < 36 else 0.1, (dark, False, False, False, False, False)))
     return spark.createDataFrame(rows, FRAMES)
 
 
 def test_garbage_of_a_dark_start(spark, frames):
     black = timeseries.uniform_runs(frames)
-    assert [(r.kind, r.start_time, r.end_time, r.n, round(r.confidence, 6)) for r in black.collect()] == [("black_frame", 0.0, 0.5, 5, 0.5)]
+    assert [(r.kind, r.start_time, r.end_time, r.n) for r in black.collect()] == [("black_frame", 0.0, 0.75, 6)]
     long = frames.withColumn("duration", F.lit(6.0))
     flash = timeseries.exposure_flash(long)
-    assert [(r.kind, r.start_time, r.end_time) for r in flash.collect()] == [("exposure_flash", 0.0, 1.0)]
-    assert timeseries.dead_air(long).count() == 0 == timeseries.dead_air(long, end=True).count() == timeseries.abrupt_cuts(long).count() == timeseries.accidental_runs(long).count()
+    assert [(r.kind, r.start_time) for r in flash.collect()] == [("exposure_flash", 0.0)]
     both = black.select("video_id", "kind", "start_time", "end_time").unionByName(flash.select("video_id", "kind", "start_time", "end_time")).withColumn("ordinal", F.when(F.col("kind") == "black_frame", 0).otherwise(1))
     assert [r.kind for r in intervals.priority_dedupe(both).collect()] == ["black_frame"]
 
 
 def test_dead_air_is_a_prefix_and_a_suffix(spark, frames):
-    rows = frames.withColumn("motion_magnitude", F.when((F.col("frame_idx") < 15) | (F.col("frame_idx") >= 45), 0.1).otherwise(2.0)).withColumn("duration", F.lit(10.0))
-    assert collected(timeseries.dead_air(rows), "kind", "start_time", "n") == [("pre_roll", 0.0, 15)]
-    assert timeseries.dead_air(rows).first().end_time == pytest.approx(1.5)
+    rows = frames.withColumn("motion_magnitude", F.when((F.col("frame_idx") < 16) | (F.col("frame_idx") >= 32), 0.05).otherwise(4.0)).withColumn("duration", F.lit(10.0))
+    assert collected(timeseries.dead_air(rows), "kind", "start_time", "n") == [("pre_roll", 0.0, 13)]  # up to 1.5 s
     late = rows.withColumn("timestamp", F.col("timestamp") + 4)
-    assert collected(timeseries.dead_air(late, end=True), "start_time", "end_time", "n") == [(8.5, 10.0, 15)]
+    assert collected(timeseries.dead_air(late, end=True), "start_time", "end_time", "n") == [(8.5, 10.0, 12)]
+    longer = rows.withColumn("duration", F.lit(40.0))
+    assert collected(timeseries.dead_air(longer), "n") == [(16,)]
 
 
 def plain_segments(rows, threshold=0.4):
@@ -102,17 +102,32 @@ def test_consolidation(spark):
 
 
 # --- rules ------------------------------------------------------------------------------------
-@pytest.mark.parametrize(("faces", "coverage", "edges", "kind"), [(0.0, 0.0, 0.03, "PLANO_GENERAL_EXTREMO"), (1.0, 0.25, 0.1, "PRIMER_PLANO"), (1.0, 0.40, 0.1, "PRIMERÍSIMO_PLANO"), (2.0, 0.1, 0.1, "PLANO_DOS"), (3.5, 0.05, 0.1, "PLANO_GRUPO"), (0.0, 0.0, 0.2, "PLANO_DETALLE")])
+@pytest.mark.parametrize(
+    ("faces", "coverage", "edges", "kind"),
+    [
+        # each bound from below, on it, and above
+        (0.49, 0.9, 0.1501, "PLANO_DETALLE"), (0.49, 0.9, 0.15, "PLANO_GENERAL"), (0.49, 0.9, 0.08, "PLANO_GENERAL"), (0.49, 0.9, 0.0799, "PLANO_GENERAL_EXTREMO"),
+        (0.5, 0.0399, 0.5, "PLANO_GENERAL"), (0.5, 0.04, 0.5, "PLANO_MEDIO"), (0.7, 0.1499, 0.0, "PLANO_MEDIO"), (0.7, 0.15, 0.0, "PRIMER_PLANO"),
+        (1.4, 0.3499, 0.0, "PRIMER_PLANO"), (1.4, 0.35, 0.0, "PRIMERÍSIMO_PLANO"), (1.5, 0.35, 0.0, "PLANO_DOS"), (2.49, 0.0, 0.0, "PLANO_DOS"), (2.5, 0.9, 0.9, "PLANO_GRUPO"),
+    ],
+)
 def test_framing(spark, faces, coverage, edges, kind):
     assert spark.range(1).select(scoring.framing_type(F.lit(faces), F.lit(coverage), F.lit(edges)).alias("f")).first().f.framing_type == kind
 
 
 def test_face_geometry(spark):
-    boxes = [(200, 50, 0.12, []), (200, 2, 0.01, ["face_cut_top", "no_headroom"]), (200, 5, 0.02, ["face_cut_top", "no_headroom"]), (200, 100, 0.35, ["too_much_headroom"])]
-    for x, y, headroom, issues in boxes:
-        assert spark.range(1).select(scoring.face_issues(*map(F.lit, (x, y, 80, 100, 480, 270, headroom, 0.5))).alias("i")).first().i == issues
-    for sharp, band in ((200, "excellent"), (120, "good"), (70, "acceptable"), (45, "soft"), (20, "blurry")):
-        assert spark.range(1).select(scoring.face_focus(F.lit(sharp)).alias("b")).first().b == band
+    """A 60 x 40 box in 320 x 200: each side just outside and just on the margin of ten pixels, and both bounds of headroom and place."""
+    x, y, headroom, place = 130, 80, 0.1, 0.5
+    cases = [((x, y, headroom, place), []), ((9, y, headroom, place), ["face_cut_left"]), ((10, y, headroom, place), []), ((250, y, headroom, place), []), ((251, y, headroom, place), ["face_cut_right"])]
+    cases += [((x, 9, headroom, place), ["face_cut_top"]), ((x, 10, headroom, place), []), ((x, 150, headroom, place), []), ((x, 151, headroom, place), ["face_cut_bottom"])]
+    cases += [((x, y, 0.029, place), ["no_headroom"]), ((x, y, 0.03, place), []), ((x, y, 0.3, place), []), ((x, y, 0.301, place), ["too_much_headroom"])]
+    cases += [((x, y, headroom, 0.199), ["off_center"]), ((x, y, headroom, 0.2), []), ((x, y, headroom, 0.8), []), ((9, 9, 0.0, 0.801), ["face_cut_top", "face_cut_left", "no_headroom", "off_center"])]
+    rows = spark.createDataFrame([(k, *map(float, c)) for k, (c, _) in enumerate(cases)], "k int, x double, y double, headroom double, place double")
+    found = rows.select("k", scoring.face_issues(F.col("x"), F.col("y"), F.lit(60), F.lit(40), F.lit(320), F.lit(200), F.col("headroom"), F.col("place")).alias("i")).orderBy("k").collect()
+    assert [r.i for r in found] == [want for _, want in cases]
+    bands = {150.0: "excellent", 149.9: "good", 100.0: "good", 99.9: "acceptable", 60.0: "acceptable", 59.9: "soft", 40.0: "soft", 39.9: "blurry", 0.0: "blurry"}
+    found = spark.createDataFrame([(s,) for s in bands], "s double").select("s", scoring.face_focus(F.col("s")).alias("b")).collect()
+    assert {r.s: r.b for r in found} == bands
 
 
 METRICS = "struct<brightness_mean:double,contrast_mean:double,sharpness_mean:double,motion_mean:double,motion_std:double,edge_density:double>"
@@ -133,8 +148,10 @@ def test_tags(spark):
 
 
 def test_key_moments(spark):
-    rows = [{"score": s, "start_time": t, "framing_type": "DESCONOCIDO" if k == 3 else "MEDIUM_SHOT"} for k, (s, t) in enumerate([(6.5, 0.0), (7.5, 5.0), (8.5, 10.0), (7.0, 15.0), (6.0, 20.0)])]
-    assert collected(tagging.key_moments(segment_rows(spark, rows)), "index", "moment") == [(1, "contenido_unico"), (2, "mejor_calidad")]
+    """The best of two equal scores comes first by index; a take, garbage and an unknown frame without faces are out."""
+    rows = [{"score": 9.25, "start_time": 1.0, "take_group_id": 4}, {"score": 7.75, "start_time": 3.0}, {"score": 7.75, "start_time": 6.0}, {"score": 9.5, "start_time": 8.0, "is_garbage": True}]
+    rows += [{"score": 7.0, "start_time": 9.0, "framing_type": "DESCONOCIDO"}, {"score": 7.0, "start_time": 11.0}, {"score": 6.99, "start_time": 12.0}, {"score": 9.0, "start_time": 13.0, "tier": "Discard"}]
+    assert collected(tagging.key_moments(segment_rows(spark, rows)), "index", "moment") == [(1, "mejor_calidad"), (2, "contenido_unico"), (5, "contenido_unico")]
     assert tagging.moments_of(tagging.key_moments(segment_rows(spark, rows)), "best_quality").count() == 1
 
 
@@ -151,12 +168,12 @@ TAKES = "video_id string, index int, start_time double, duration double, brightn
 
 def test_takes(spark):
     row = lambda i, dur, b, s, score, framing="MEDIUM", scene=0, motion=1.0: ("v", i, 20.0 * i, dur, b, 0.5, 0.1, s, motion, framing, scene, 0.0, 0.0, score, "gold", False)
-    rows = spark.createDataFrame([row(0, 5.0, 0.5, 100.0, 7.0), row(1, 5.2, 0.51, 100.0, 8.0), row(2, 5.1, 0.5, 101.0, 9.0), row(3, 20.0, 0.05, 400.0, 9.5, "WIDE", 3, 9.0)], TAKES)
+    rows = spark.createDataFrame([row(0, 8.0, 0.3, 60.0, 3.5), row(1, 8.25, 0.31, 60.0, 4.5), row(2, 8.125, 0.3, 61.0, 6.25), row(3, 31.0, 0.9, 300.0, 6.5, "CLOSE", 7, 11.0)], TAKES)
     pairs = similarity.take_pairs(rows)
     assert collected(pairs, "segment_a", "segment_b", "relation") == [(0, 1, "same_take"), (0, 2, "same_take"), (1, 2, "same_take")]
     groups = similarity.take_groups(rows, pairs)
     assert {(r["index"], r.group_id, r.best_take, r.take_count) for r in groups.collect()} == {(i, 0, 2, 3) for i in range(3)}
-    assert groups.first().discard_duration == pytest.approx(10.2)
+    assert groups.first().discard_duration == pytest.approx(16.25)
     flagged = {r["index"]: r for r in similarity.recommend(similarity.flag_takes(rows, groups)).collect()}
     assert [flagged[i].recommendation for i in range(4)] == ["skip", "skip", "use", "use"] and flagged[3].is_best_take is None and flagged[2].take_alternatives == 2
     near = similarity.take_pairs(rows.withColumn("start_time", F.col("index") * 5.0))
