@@ -19,16 +19,16 @@ DATA_ROWS, QUERY_ROWS, SAMPLE_ROWS = 8192, 1024, 4096
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, nonzero: bool = False) -> DataFrame:
-    """(id, v array<double>): rows with an id and a finite vector; of rows with one id, that with the least vector."""
+    """(row, id, v array<double>): rows with an id and a finite vector. ``row`` numbers them, for ids that repeat; it holds once the table is written."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("v", lambda x: x != 0) if nonzero else F.lit(True)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & some).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & some).withColumn("row", F.monotonically_increasing_id())
 
 
 def sample(rows: DataFrame) -> np.ndarray:
     """At most SAMPLE_ROWS vectors, the same in every run: those whose ids' hashes are least."""
-    return matrix(pa.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()], pa.list_(pa.float64())))
+    return matrix(pa.array([r.v for r in rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE_ROWS).collect()], pa.list_(pa.float64())))
 
 
 def matrix(lists: pa.Array | pa.ChunkedArray, width: int = 0) -> np.ndarray:
@@ -50,7 +50,7 @@ def two_matrices(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def dealt(rows: DataFrame, per_block: int) -> DataFrame:
     """``rows`` (with a grp) and the block of each: a group is cut into as many blocks as its size asks for."""
     cuts = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("cuts"))
-    return rows.join(cuts, "grp").withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), "cuts")).drop("cuts")
+    return rows.join(cuts, "grp").withColumn("block", F.pmod(F.xxhash64("row", F.lit(9)), "cuts")).drop("cuts")
 
 
 def in_pairs(queries: DataFrame, data: DataFrame, pairs: DataFrame, search: Callable, schema: str) -> DataFrame:
@@ -62,6 +62,6 @@ def in_pairs(queries: DataFrame, data: DataFrame, pairs: DataFrame, search: Call
 
 
 def best(found: DataFrame, order: list, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the first k of each query, ties to the smaller vec_id."""
-    along = Window.partitionBy("query_id").orderBy(*order, "vec_id")
-    return found.withColumn("rank", F.row_number().over(along)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """(query_row, query_id, rank, vec_id, score): the first k of each query row, ties to the smaller vec_id."""
+    along = Window.partitionBy("query_row").orderBy(*order, "vec_id")
+    return found.withColumn("rank", F.row_number().over(along)).filter(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")

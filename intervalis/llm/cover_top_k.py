@@ -12,8 +12,8 @@ gives kth scores; whole pairs of blocks that cannot beat them are never joined.
 
 Components become floor(256 x); products are exact integers (beyond 2^63 they
 wrap). Shorter vectors end in zeros. Null vectors, null or non-finite
-components and null ids take no part; of rows with one id, that with the least
-vector counts; an empty table or query set gives no rows.
+components and null ids take no part; rows that share an id
+are rows of their own, as queries and as candidates; an empty table or query set gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from intervalis.plans.scratch import materialize
 
 CENTRES, LEAF, CRUMBLES = 32, 64, 32
 _NONE = np.iinfo(np.int64).min
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 class Node:
@@ -70,10 +70,10 @@ def upper_bound(a: Node, b: Node) -> float:
 
 
 class Search:
-    """The k best data rows of every query so far."""
+    """The k best data rows of every query so far; rows are told apart by their numbers, ids may repeat."""
 
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, least: np.ndarray):
-        self.q, self.qi, self.d, self.di, self.k = queries, query_ids, data, data_ids, k
+    def __init__(self, queries: np.ndarray, query_rows: np.ndarray, data: np.ndarray, data_rows: np.ndarray, data_ids: np.ndarray, k: int, least: np.ndarray):
+        self.q, self.qr, self.d, self.dr, self.di, self.k = queries, query_rows, data, data_rows, data_ids, k
         self.exact = np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * max(1, data.shape[1]) < 2**53
         self.scores = np.full((len(queries), k), _NONE)
         self.ids = np.zeros((len(queries), k), dtype=np.int64)
@@ -98,7 +98,7 @@ class Search:
             products = self.q[rows] @ self.d[cols].T
         else:
             products = self.q[rows].astype(np.int64) @ self.d[cols].astype(np.int64).T
-        own = self.qi[rows][:, None] == self.di[cols]
+        own = self.qr[rows][:, None] == self.dr[cols]
         floor = self.worst[rows]
         if len(cols) > self.k + 1:  # one may be the query itself
             floor = np.maximum(floor, np.partition(products, len(cols) - self.k - 1, axis=1)[:, len(cols) - self.k - 1].astype(np.int64))
@@ -120,12 +120,12 @@ class Search:
 def _searched(k: int):
     def run(queries: pa.Table, data: pa.Table) -> pa.Table:
         q, d = V.two_matrices(queries, data)
-        ids, least = queries["id"].to_numpy(), queries["least"].fill_null(_NONE).to_numpy()
-        search = Search(q, ids, d, data["id"].to_numpy(), k, least.astype(np.int64))
+        ids, own, least = queries["id"].to_numpy(), queries["row"].to_numpy(), queries["least"].fill_null(_NONE).to_numpy()
+        search = Search(q, own, d, data["row"].to_numpy(), data["id"].to_numpy(), k, least.astype(np.int64))
         if len(q) and len(d):
             search.pairs(cover_tree(q), cover_tree(d))
         r, c = np.nonzero(search.scores != _NONE)
-        return pa.table({"query_id": ids[r], "vec_id": search.ids[r, c], "score": search.scores[r, c]}, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+        return pa.table({"query_row": own[r], "query_id": ids[r], "vec_id": search.ids[r, c], "score": search.scores[r, c]}, schema=pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
 
     return run
 
@@ -151,7 +151,7 @@ def _assigned(centres: np.ndarray):
             squares = (points**2).sum(axis=1)[:, None] + (own**2).sum(axis=1) - 2 * points @ own.T
             grp = squares.argmin(axis=1)
             reach = np.linalg.norm(points - own[grp], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(grp, pa.int64()), pa.array(reach)], names=["id", "v", "grp", "reach"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("v"), pa.array(grp, pa.int64()), pa.array(reach)], names=["row", "id", "v", "grp", "reach"])
 
     return run
 
@@ -161,13 +161,13 @@ def top_k_products(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: s
     spark = vectors.sparkSession
     bound_batches(spark)
     rows = V.usable(vectors, id_col, vector_col)
-    rows = rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    rows = rows.select("row", "id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
     rows = materialize(rows, "cover-rows")
     centres = spark.sparkContext.broadcast(_net(V.sample(rows)))
 
     def assigned(some: DataFrame, most: int) -> DataFrame:
         """To the nearest of the first centres, which are a coarser net."""
-        return some.mapInArrow(lambda batches: _assigned(centres.value[:most])(batches), "id long, v array<double>, grp long, reach double")
+        return some.mapInArrow(lambda batches: _assigned(centres.value[:most])(batches), "row long, id long, v array<double>, grp long, reach double")
 
     placed = materialize(V.dealt(assigned(rows, CENTRES), V.DATA_ROWS), "cover-placed")
     queries = rows.filter(is_query)
@@ -175,14 +175,14 @@ def top_k_products(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: s
     d_blocks = placed.select(F.col("grp").alias("d_grp"), F.col("block").alias("d_block")).distinct()
     q_blocks = asked.select(F.col("grp").alias("q_grp"), F.col("block").alias("q_block")).distinct()
     home = q_blocks.join(d_blocks.filter("d_block = 0"), F.col("q_grp") == F.col("d_grp"))
-    schema = "id long, v array<double>, grp long, block long, least long, reach double"
-    first = materialize(V.in_pairs(asked.select("id", "v", "grp", "block", F.lit(None).cast("long").alias("least")), placed.select("id", "v", "grp", "block"), home, _searched(k), FOUND), "cover-first")
+    schema = "row long, id long, v array<double>, grp long, block long, least long, reach double"
+    first = materialize(V.in_pairs(asked.select("row", "id", "v", "grp", "block", F.lit(None).cast("long").alias("least")), placed.select("row", "id", "v", "grp", "block"), home, _searched(k), FOUND), "cover-first")
 
-    kth = V.best(first, [F.desc("score")], k).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-    asked = materialize(asked.join(kth, "id", "left").selectExpr(*(c.split()[0] for c in schema.split(", "))), "cover-queries")
+    kth = V.best(first, [F.desc("score")], k).filter(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").alias("least"))
+    asked = materialize(asked.join(kth, "row", "left").selectExpr(*(c.split()[0] for c in schema.split(", "))), "cover-queries")
     pairs = q_blocks.join(_allowed(spark, placed, asked, centres.value), "q_grp").join(d_blocks, "d_grp").filter("q_grp <> d_grp or d_block <> 0")
-    second = V.in_pairs(asked.drop("reach"), placed.select("id", "v", "grp", "block"), pairs.select("q_grp", "q_block", "d_grp", "d_block"), _searched(k), FOUND)
-    return V.best(first.unionByName(second), [F.desc("score")], k)
+    second = V.in_pairs(asked.drop("reach"), placed.select("row", "id", "v", "grp", "block"), pairs.select("q_grp", "q_block", "d_grp", "d_block"), _searched(k), FOUND)
+    return V.best(first.unionByName(second), [F.desc("score")], k).drop("query_row")
 
 
 def _allowed(spark, placed: DataFrame, asked: DataFrame, centres: np.ndarray) -> DataFrame:

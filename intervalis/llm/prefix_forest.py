@@ -14,7 +14,7 @@ block first, which gives the kth distances with which they enter the others.
 Candidates' distances are exact.
 
 Null, zero and non-finite vectors and null ids take no part; shorter vectors
-end in zeros; of rows with one id, that with the least vector counts; ties go
+end in zeros; rows that share an id are rows of their own; ties go
 to the smaller id; an empty table or query set gives no rows.
 """
 
@@ -30,7 +30,7 @@ from intervalis.llm._batches import bound_batches
 from intervalis.plans.scratch import materialize
 
 TREES, BITS, MEET = 64, 24, 0.92
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
 def hyperplanes(width: int, trees: int, bits: int, seed: int = 5) -> np.ndarray:
@@ -84,9 +84,10 @@ def _searched(shared, k: int, trees: int, bits: int, meet: float):
         planes = hyperplanes(q.shape[1], trees, bits)
         q_codes, forest = strings(q, mean, planes, bits), Forest(strings(d, mean, planes, bits), bits)
         radius = np.linalg.norm(q - mean, axis=1)
-        squares, ids, own_ids = (d**2).sum(axis=1), data["id"].to_numpy(), queries["id"].to_numpy()
+        squares, ids, rows = (d**2).sum(axis=1), data["id"].to_numpy(), data["row"].to_numpy()
+        own_ids, own_rows = queries["id"].to_numpy(), queries["row"].to_numpy()
         near = queries["least"].fill_null(np.inf).to_numpy().copy()
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
         kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
         waiting = np.arange(len(q))
         for level in range(bits, -1, -1):  # all trees ascend together
@@ -99,7 +100,7 @@ def _searched(shared, k: int, trees: int, bits: int, meet: float):
                 if level and (level > stop_level(near[i], radius[i], trees, meet) if known else reached[j] < 4 * k):
                     continue
                 at = forest.members(low[j], high[j])
-                at = at[ids[at] != own_ids[i]]
+                at = at[rows[at] != own_rows[i]]
                 about = squares[at] - 2 * (d[at] @ q[i])
                 if len(at) > k:
                     at = at[about <= np.partition(about, k - 1)[k - 1] + 1e-9 * (1 + np.abs(about).max())]
@@ -110,10 +111,11 @@ def _searched(shared, k: int, trees: int, bits: int, meet: float):
                     near[i] = min(near[i], exact[order[-1]])
             waiting = np.array([i for i in waiting if not np.isfinite(near[i]) or level > stop_level(near[i], radius[i], trees, meet)], dtype=np.int64)
         for i, (found, exact) in enumerate(kept):
+            out["query_row"] += [own_rows[i]] * len(found)
             out["query_id"] += [own_ids[i]] * len(found)
             out["vec_id"] += found.tolist()
             out["score"] += exact.tolist()
-        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+        return pa.table(out, schema=pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     return run
 
@@ -126,13 +128,13 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "
     placed = materialize(V.dealt(rows, V.DATA_ROWS), "forest-rows")
     some = V.sample(placed)
     mean = spark.sparkContext.broadcast(some.mean(axis=0) if len(some) else np.zeros(0))
-    data = placed.select("id", "v", "grp", "block")
-    asked = materialize(V.dealt(placed.filter(is_query).select("id", "v", "grp"), V.QUERY_ROWS), "forest-queries").select("id", "v", "grp", "block")
+    data = placed.select("row", "id", "v", "grp", "block")
+    asked = materialize(V.dealt(placed.filter(is_query).select("row", "id", "v", "grp"), V.QUERY_ROWS), "forest-queries").select("row", "id", "v", "grp", "block")
     d_blocks = placed.select(F.col("grp").alias("d_grp"), F.col("block").alias("d_block")).distinct()
     q_blocks = asked.select(F.col("grp").alias("q_grp"), F.col("block").alias("q_block")).distinct()
     pairs = q_blocks.join(d_blocks, F.col("q_grp") == F.col("d_grp"))
     search = _searched(mean, k, trees, bits, meet)
     first = materialize(V.in_pairs(asked.withColumn("least", F.lit(None).cast("double")), data, pairs.filter("d_block = 0"), search, FOUND), "forest-first")
-    kth = V.best(first, ["score"], k).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-    second = V.in_pairs(asked.join(kth, "id", "left"), data, pairs.filter("d_block <> 0"), search, FOUND)
-    return V.best(first.unionByName(second), ["score"], k)
+    kth = V.best(first, ["score"], k).filter(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").alias("least"))
+    second = V.in_pairs(asked.join(kth, "row", "left"), data, pairs.filter("d_block <> 0"), search, FOUND)
+    return V.best(first.unionByName(second), ["score"], k).drop("query_row")

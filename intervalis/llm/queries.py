@@ -156,11 +156,11 @@ ORACLE_SQL: dict[str, str] = {
         FROM placed""",
     "op4_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        e AS (SELECT vec_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM v),
-        s AS (SELECT q.vec_id AS query_id, d.vec_id, sum(q.x * d.x)::BIGINT AS score FROM e q JOIN e d ON q.i = d.i AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL)
-        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        e AS (SELECT r, vec_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM v),
+        s AS (SELECT q.r, q.vec_id AS query_id, d.vec_id, sum(q.x * d.x)::BIGINT AS score FROM e q JOIN e d ON q.i = d.i AND q.r <> d.r WHERE q.vec_id % 50 = 0 GROUP BY q.r, q.vec_id, d.r, d.vec_id)
+        SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
         FROM s QUALIFY rank <= 5""",
     "op12_filter_interactions": r"""
         WITH RECURSIVE docs AS (
