@@ -116,7 +116,7 @@ def _stream(make, mode):
 
     def run(spark, d):
         name = f"stream_{uuid.uuid4().hex}"
-        return streams.drained(make(_events_stream(spark, d)), name, f"{shared_folder(spark)}/{name}", mode)
+        return streams.drained(make(_events_stream(spark, d)), f"{shared_folder(spark)}/{name}", mode)
 
     return run
 
@@ -141,4 +141,24 @@ REGISTER.add(
     """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS stop, count(*) AS n, sum(value) AS total FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM
        (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s""",
 )
-REGISTER.add("stream_dedupe", _stream(lambda e: streams.deduplicated(e.unionByName(e)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "update"), None)
+REGISTER.add(
+    "stream_dedupe", _stream(lambda e: streams.deduplicated(e.unionByName(e)).select("event_id", "event_type"), "append"),
+    "SELECT DISTINCT event_id, event_type FROM events",
+)
+_LATE, _IDLE = 3600, 43200
+
+
+def _frames_of(events):
+    """The columns of the frames view, on a stream."""
+    k, v = F.col("event_id"), F.col("value")
+    return events.select(F.col("user_id").alias("video_id"), k.alias("frame_idx"), "ts", (v / 50).alias("motion_magnitude"), (k % 7).cast("double").alias("motion_direction"), (v / 500).alias("brightness"))
+
+
+_READY = f"""mark AS (SELECT floor(max(timestamp) * 1000) / 1000 - {_LATE} AS w FROM frm),
+    ready AS (SELECT *, max(timestamp) OVER (PARTITION BY video_id) + {_IDLE} <= w AS silent FROM frm, mark QUALIFY timestamp <= w)"""
+REGISTER.add(
+    "stream_segments", _stream(lambda e: streams.change_points(_frames_of(e), f"{_LATE} seconds", _IDLE * 1000).withColumns({c: F.col(c) - 1704067200 for c in ("start_time", "end_time")}), "append"),
+    f"""WITH RECURSIVE {FRAMES_SQL}, {_READY}, {_FOLD.replace("AS c FROM frm", "+ CASE WHEN silent THEN 0 ELSE 1 END AS c FROM ready")}
+        SELECT f.video_id, f.done_start AS first_row, f.i AS last_row, a.timestamp AS start_time, z.timestamp AS end_time, f.done_n::INT AS n_rows
+        FROM fold f JOIN ord a ON a.video_id = f.video_id AND a.i = f.done_start JOIN ord z ON z.video_id = f.video_id AND z.i = f.i WHERE f.done_start IS NOT NULL""",
+)

@@ -38,49 +38,117 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 
 
 def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """One row of each event_id."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-class ChangePoints(StatefulProcessor):
-    """Segments of each user's values between change points.
+class OpenSegments(StatefulProcessor):
+    """Segments of each video's frames between change points, by event time.
 
-    State is the open segment: its first time, number of rows and their sum.
-    Rows of one batch are taken in the order of (ts, event_id); batches must
-    come in order. A segment is emitted when its closing row arrives; that row
-    opens the next one.
+    Rows wait until the watermark has passed them, so files may come in any order; those that
+    come later than that are dropped before they get here. State is the waiting rows and the open
+    segment: its start, number of rows and the sums of three metrics. A timer wakes a video for its
+    next waiting row, or, when it has been silent for ``idle_ms``, to close it: its last row ends the
+    last segment, and its state goes.
     """
 
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "start double, n int, total double")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, id long, motion double, direction double, brightness double")
+        self.open = handle.getValueState("open", "start long, first long, n int, motion double, direction double, brightness double, row long, last long")
+
+    def _advance(self, key, watermark_ms: int) -> list[tuple]:
+        """Takes the rows that the watermark has passed, in order; returns the segments they close."""
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        ripe = [r for r in rows if r[0] <= watermark_ms * 1000]
+        rest = rows[len(ripe) :]
+        state, out = (self.open.get() if self.open.exists() else None), []
+        for at, _, *metrics in ripe:
+            now = [0.0 if m is None or math.isnan(m) else m for m in metrics[:2]] + [0.5 if metrics[2] is None or math.isnan(metrics[2]) else metrics[2]]
+            if state is None:
+                state = (at, 0, 1, *now, 0, at)
+                continue
+            start, first, n, sm, sd, sb, row, _ = state
+            am, ad, ab = sm / n, sd / n, sb / n
+            row += 1
+            if n + 1 >= MIN_ROWS and 0.4 * abs(now[0] - am) / (am + 0.1) + 0.4 * abs(now[1] - ad) / (math.pi + 0.1) + 0.2 * abs(now[2] - ab) > CHANGE_SCORE:
+                out.append((key[0], first, row, start / 1e6, at / 1e6, n + 1))
+                state = (at, row, 1, *now, row, at)
+            else:
+                state = (start, first, n + 1, sm + now[0], sd + now[1], sb + now[2], row, at)
+        if state and not rest and state[7] + self.idle_ms * 1000 <= watermark_ms * 1000:
+            start, first, n, *_, row, last = state
+            if n >= MIN_ROWS:
+                out.append((key[0], first, row, start / 1e6, last / 1e6, n))
+            state = None
+        if state:
+            self.open.update(tuple(state))
+        elif self.open.exists():
+            self.open.clear()
+        if rest:
+            self.waiting.put(rest)
+        elif rows:
+            self.waiting.clear()
+        if rest or state:
+            self.handle.registerTimer(-(-rest[0][0] // 1000) if rest else -(-state[7] // 1000) + self.idle_ms)
+        return out
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["video_id", "first_row", "last_row", "start_time", "end_time", "n_rows"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, n, total = self.open.get() if self.open.exists() else (None, 0, 0.0)
-        out = []
-        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        for at, value in zip(batch["at"], batch["value"], strict=True):
-            value = 0.0 if value is None or math.isnan(value) else float(value)
-            start = at if n == 0 else start
-            far = n + 1 >= MIN_ROWS and n > 0 and 0.4 * abs(value - total / n) / (total / n + 0.1) > CHANGE_SCORE
-            n, total = n + 1, total + value
-            if far:
-                out.append((int(key[0]), float(start), float(at), n))
-                start, n, total = at, 1, value
-        self.open.update((float(start), n, total))
-        yield pd.DataFrame(out, columns=["user_id", "start_time", "end_time", "n_rows"])
+        for batch in rows:
+            values = batch[["at", "frame_idx", "motion_magnitude", "motion_direction", "brightness"]].astype(object)
+            self.waiting.appendList([tuple(None if pd.isna(x) else x for x in r) for r in values.itertuples(index=False, name=None)])
+        yield self._frame(self._advance(key, timerValues.getCurrentWatermarkInMs()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._frame(self._advance(key, timerValues.getCurrentWatermarkInMs()))
 
     def close(self) -> None:
         pass
 
 
-def change_points(events: DataFrame) -> DataFrame:
-    """(user_id, start_time, end_time, n_rows) of closed segments, with keyed state (needs the RocksDB state store)."""
-    rows = events.select("user_id", "event_id", "value", F.unix_micros("ts").cast("double").alias("at"))
-    rows = rows.withColumn("at", F.col("at") / 1e6)
-    return rows.groupBy("user_id").transformWithStateInPandas(ChangePoints(), "user_id long, start_time double, end_time double, n_rows int", "append", "none")
+def change_points(frames: DataFrame, late: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
+    """(video_id, first_row, last_row, start_time, end_time, n_rows) of closed segments (needs the RocksDB state store).
+
+    ``frames``: video_id, frame_idx, ts (timestamp), motion_magnitude, motion_direction, brightness. Rows are
+    taken in the order of (ts, frame_idx), whatever files they come in, if they come within ``late``. A video
+    that has been silent for ``idle_ms`` of event time is closed; should it go on, it counts as a new one.
+    """
+    rows = frames.withWatermark("ts", late).select(F.col("video_id").cast("string").alias("video_id"), "ts", F.unix_micros("ts").alias("at"), F.col("frame_idx").cast("long").alias("frame_idx"), *(F.col(c).cast("double").alias(c) for c in ("motion_magnitude", "motion_direction", "brightness")))
+    return rows.groupBy("video_id").transformWithStateInPandas(OpenSegments(idle_ms), "video_id string, first_row long, last_row long, start_time double, end_time double, n_rows int", "append", "eventTime")
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return its result table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there and return its result, written as Parquet beside its checkpoint.
+
+    Appended rows go to a file sink, which keeps each batch once; in complete mode every batch writes the whole
+    result anew, and the last one counts.
+    """
+    spark, out = stream.sparkSession, f"{checkpoint}-result"
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        if mode == "append":
+            writer.format("parquet").option("path", out).start().awaitTermination()
+            return spark.read.schema(stream.schema).parquet(out)
+        last: list[int] = []
+
+        def written(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/{number}")
+            last.append(number)
+
+        writer.foreachBatch(written).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{out}/{last[-1]}") if last else spark.createDataFrame([], stream.schema)
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)

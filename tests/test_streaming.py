@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,26 +19,51 @@ def folder(spark, tmp_path):
 
 
 def test_windows_equal_the_batch(spark, folder, tmp_path):
-    found = streams.drained(streams.tumbling(streams.read_events(spark, folder), "1 day"), "t1", f"{tmp_path}/c1")
+    found = streams.drained(streams.tumbling(streams.read_events(spark, folder), "1 day"), f"{tmp_path}/c1")
     batch = spark.read.parquet(folder).groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     assert sorted(map(tuple, found.select("start", "event_type", "n", "total").collect())) == sorted(map(tuple, batch.collect()))
 
 
 def test_duplicates_go(spark, folder, tmp_path):
     events = streams.read_events(spark, folder)
-    out = streams.drained(streams.deduplicated(events.unionByName(events)).select("event_id"), "t2", f"{tmp_path}/c2", "append")
+    out = streams.drained(streams.deduplicated(events.unionByName(events)).select("event_id"), f"{tmp_path}/c2", "append")
     assert out.count() == 120 and out.distinct().count() == 120
 
 
-def test_stateful_change_points_equal_the_fold(spark, folder, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = streams.drained(streams.change_points(streams.read_events(spark, folder)), "t3", f"{tmp_path}/c3", "append").collect()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+def frames(spark, tmp_path, rows, files):
+    """Frames in files, read in the order of their names' writing."""
+    schema = "video_id string, frame_idx long, t double, motion_magnitude double, motion_direction double, brightness double"
+    df = spark.createDataFrame(rows, schema).selectExpr("video_id", "frame_idx", "timestamp_micros(cast(t * 1e6 as long)) ts", "motion_magnitude", "motion_direction", "brightness")
+    for low, high in files:
+        df.filter((F.col("frame_idx") >= low) & (F.col("frame_idx") < high)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/frames")
+        time.sleep(1.1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/frames")
+
+
+def batch_segments(rows):
     want = []
-    for user in range(3):
-        rows = spark.read.parquet(folder).filter(F.col("user_id") == user).orderBy("ts", "event_id").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "value").collect()
-        folded = fold_change_points([(r.at, r.value, 0.0, 0.0) for r in rows])
-        want += [(user, rows[a].at, rows[b].at) for a, b in folded if b < len(rows) - 1]
-    assert sorted((r.user_id, r.start_time, r.end_time) for r in out if (r.user_id, r.start_time, r.end_time) in want) == sorted(want) and len(want) > 3
+    for video in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == video), key=lambda r: (r[2], r[1]))
+        want += [(video, a, b, own[a][2], own[b][2], b - a + 1) for a, b in fold_change_points([(r[2], *r[3:]) for r in own])]
+    return sorted(want)
+
+
+def test_segments_of_files_out_of_order_equal_the_batch(spark, tmp_path):
+    """The second file holds times before the first one's; a last row, far ahead, lets timers close the silent videos."""
+    rnd = random.Random(2)
+    rows = [(v, k, 1e6 + float(k ^ 40 if k < 120 else k), rnd.choice([None, rnd.random() * 5, 9.0]), rnd.choice([0.0, 3.0]), rnd.choice([None, rnd.random()])) for v in "abc" for k in range(200) if v != "c" or k < 60]
+    ahead = ("z", 1000, 1_090_000.0, 1.0, 0.0, 0.5)
+    stream = frames(spark, tmp_path, [*rows, ahead], [(80, 120), (0, 80), (120, 200), (1000, 1001)])
+    out = streams.drained(streams.change_points(stream, "5 minutes", 600_000), f"{tmp_path}/c3", "append").collect()
+    want = batch_segments(rows)
+    assert sorted(tuple(r) for r in out) == want and len(want) > 20
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """Rows behind the watermark change nothing: what comes out is the batch result without them."""
+    rows = [("a", k, 1e6 + 10.0 * k, 1.0 if k % 12 < 6 else 8.0, 0.0, 0.5) for k in range(100)]
+    late = [("a", 500 + k, 1e6 + 100.0 + k, 50.0, 3.0, 0.9) for k in range(5)]
+    ahead = [("z", 900, 1_009_000.0, 1.0, 0.0, 0.5), ("z", 2000, 99_000_000.0, 1.0, 0.0, 0.5)]
+    stream = frames(spark, tmp_path, [*rows, *late, *ahead], [(0, 100), (900, 901), (500, 505), (2000, 2001)])
+    out = streams.drained(streams.change_points(stream, "60 seconds", 20_000_000), f"{tmp_path}/c4", "append").collect()
+    assert sorted(tuple(r) for r in out if r.video_id == "a") == batch_segments(rows)
