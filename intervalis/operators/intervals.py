@@ -154,37 +154,71 @@ def _relaxed(a: dict, b: dict, micro: float) -> bool:
     return _same_family(a, b)
 
 
-def consolidated(rows: Sequence[dict], micro: float = 2.0) -> list[dict]:
-    """Ordered segments with similar neighbours merged, then short ones joined to a neighbour."""
-    rows = [dict(r, merged_count=r.get("merged_count") or 1) for r in sorted(rows, key=lambda r: r["start_time"])]
-    if not rows:
-        return []
-    merged = [rows[0]]
-    for s in rows[1:]:
-        if _similar(merged[-1], s):
-            merged[-1] = _merged(merged[-1], s)
+class Consolidation:
+    """The fold of one video's ordered segments: similar neighbours merge, then short ones join a neighbour.
+
+    It holds three rows: the run of similar ones that grows, the merged one that waits for the next, and the
+    last one before it, which may still take a short neighbour in.
+    """
+
+    def __init__(self, micro: float = 2.0):
+        self.micro = micro
+        self.growing: dict | None = None
+        self.waiting: dict | None = None
+        self.before: dict | None = None
+        self.runs = 0
+
+    def push(self, row: dict) -> list[dict]:
+        """Takes the next row; returns rows that no later one changes."""
+        row = dict(row, merged_count=row.get("merged_count") or 1)
+        if self.growing is None:
+            self.growing, self.runs = row, 1
+        elif _similar(self.growing, row):
+            self.growing = _merged(self.growing, row)
         else:
-            merged.append(s)
-    if len(merged) == 1:
-        return merged
-    out: list[dict] = []
-    rest = merged[::-1]
-    while rest:
-        s = rest.pop()
+            done, self.growing, self.runs = self.growing, row, self.runs + 1
+            return self._next(done)
+        return []
+
+    def finish(self) -> list[dict]:
+        """The rest, when no rows follow."""
+        if self.growing is None:
+            return []
+        if self.runs == 1:
+            return [self.growing]
+        out = self._next(self.growing) + self._settle(None)
+        return out + [dict(s, duration=_length(s)) for s in (self.before,) if s]
+
+    def _next(self, run: dict) -> list[dict]:
+        if self.waiting is None:
+            self.waiting = run
+            return []
+        return self._settle(run)
+
+    def _settle(self, following: dict | None) -> list[dict]:
+        """Decides on the waiting row, knowing the one that follows, which waits then."""
+        s, self.waiting, out = self.waiting, following, []
         special = (s.get("is_key_moment") or s.get("is_best_take")) and not s.get("is_repeated_take")
-        if _length(s) >= micro or (_length(s) >= 1 and special):
-            out.append(s)
-        elif out and _relaxed(out[-1], s, micro):
-            out[-1] = _merged(out[-1], s)
-        elif rest and _relaxed(s, rest[-1], micro):
-            rest[-1] = _merged(s, rest[-1])
-        elif out:
-            out[-1] = dict(out[-1], end_time=s["end_time"])
-        elif rest:
-            rest[-1] = dict(rest[-1], start_time=s["start_time"])
+        if _length(s) >= self.micro or (_length(s) >= 1 and special):
+            out, self.before = [self.before] if self.before else [], s
+        elif self.before and _relaxed(self.before, s, self.micro):
+            self.before = _merged(self.before, s)
+        elif following and _relaxed(s, following, self.micro):
+            self.waiting = _merged(s, following)
+        elif self.before:
+            self.before = dict(self.before, end_time=s["end_time"])
+        elif following:
+            self.waiting = dict(following, start_time=s["start_time"])
         else:
-            out.append(s)
-    return [dict(s, duration=_length(s)) for s in out]
+            self.before = s
+        return [dict(x, duration=_length(x)) for x in out]
+
+
+def consolidated(rows: Sequence[dict], micro: float = 2.0) -> list[dict]:
+    """Ordered segments with similar neighbours merged, then short ones joined to a neighbour."""
+    fold = Consolidation(micro)
+    out = [done for r in sorted(rows, key=lambda r: r["start_time"]) for done in fold.push(r)]
+    return out + fold.finish()
 
 
 def consolidate(segments: DataFrame, micro: float = 2.0) -> DataFrame:

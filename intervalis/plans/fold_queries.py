@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from intervalis.operators import intervals, scoring
+from intervalis.operators import intervals, scoring, table_functions
 from intervalis.plans.register import Register
 from intervalis.plans.series_queries import _SPANS_SQL, _spans
 from intervalis.plans.views import FRAMES_SQL, SEGMENTS_SQL, segments
@@ -93,6 +93,18 @@ REGISTER.add(
     _CONSOLIDATED,
 )
 
+
+
+def _by_function(s, d):
+    """``consolidate_fold`` through the table function, from SQL."""
+    table_functions.register(s)
+    segments(s, d).select(*_FOLDED).createOrReplaceTempView("segments_to_fold")
+    rows = s.sql(f"SELECT * FROM consolidated_segments(TABLE(segments_to_fold), {_MICRO})")
+    return rows.select("video_id", "index", "start_time", "end_time", "score", "tier", F.col("merged_count").cast("int").alias("merged_count"), F.array_join("tags", ",").alias("tag_list"), F.col("metrics.sharpness_mean").alias("sharpness"))
+
+
+REGISTER.add("consolidate_function", _by_function, _CONSOLIDATED)
+
 # --- criteria ---------------------------------------------------------------------------------
 #: Metrics of a segment from its number k, in words that Spark and the SQL share.
 _METRICS = {

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from intervalis.operators import intervals, timeseries
+from intervalis.operators import intervals, table_functions, timeseries
 from intervalis.operators.rollups import detections_by_video
 from intervalis.plans.register import Register
 from intervalis.plans.scratch import shared_folder
@@ -66,6 +66,16 @@ REGISTER.add(
     f"""WITH RECURSIVE {FRAMES_SQL}, {_FOLD} SELECT f.video_id, f.done_start::INT AS first_row, f.i::INT AS last_row, a.timestamp AS start_time, z.timestamp AS end_time, f.done_n::INT AS n_rows
         FROM fold f JOIN ord a ON a.video_id = f.video_id AND a.i = f.done_start JOIN ord z ON z.video_id = f.video_id AND z.i = f.i WHERE f.done_start IS NOT NULL""",
 )
+
+
+def _by_function(s, d):
+    """``change_point_segments`` through the table function, from SQL."""
+    table_functions.register(s)
+    frames(s, d).createOrReplaceTempView("frames_to_cut")
+    return s.sql("SELECT * FROM change_points(TABLE(frames_to_cut))").withColumns({c: F.col(c).cast("int") for c in ("first_row", "last_row")})
+
+
+REGISTER.add("change_point_function", _by_function, REGISTER.sql["change_point_segments"])
 REGISTER.add(
     "history_buffer", lambda s, d: timeseries.history(frames(s, d), "video_id", ["timestamp", "frame_idx"], "motion_magnitude").select("video_id", "frame_idx", F.size("history").cast("long").alias("n"), F.element_at("history", 1).alias("oldest")),
     "SELECT video_id, frame_idx, count(*) OVER w AS n, first_value(motion) OVER w AS oldest FROM frm WINDOW w AS (PARTITION BY video_id ORDER BY timestamp, frame_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", FRAMES_SQL,
