@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from intervalis.operators.ranking import ranked
 from intervalis.operators.scoring import ladder
 from intervalis.operators.search import tier_rank
 
@@ -119,8 +120,8 @@ def face_histogram(segments: DataFrame) -> DataFrame:
 
 def by_framing(segments: DataFrame) -> DataFrame:
     """Segments with their place in their framing type, best first: a framing type's list in order, as rows, whatever its length."""
-    along = Window.partitionBy("framing_type").orderBy(F.desc("score"), "video_id", "index")
-    return segments.select("framing_type", "video_id", "index", "score", F.row_number().over(along).cast("long").alias("place"))
+    thin = segments.select("framing_type", "video_id", "index", "score")
+    return ranked(thin, ["framing_type"], [F.desc("score"), F.asc("video_id"), F.asc("index")])
 
 
 def repeated_stats(segments: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from intervalis.functions import scalars
 from intervalis.operators import search as S
+from intervalis.operators.ranking import PageIndex
 from intervalis.plans.register import Register
 from intervalis.plans.views import SEGMENTS_SQL, segments, table
 from intervalis.sources.documents import field, pending
@@ -64,6 +65,10 @@ REGISTER.add(
     "search_page", lambda s, d: S.page_of(_ordered(s, d), S.parse_query(_NESTED | {"include_fields": ["index", "take_group_id", "score"]})),
     f"SELECT video_id * 1000 + index AS index, take_group_id, score FROM seg WHERE {_NESTED_SQL} ORDER BY take_group_id DESC NULLS FIRST, 1 LIMIT 40 OFFSET 80", SEGMENTS_SQL,
 )
+REGISTER.add(
+    "search_deep_page", lambda s, d: PageIndex(_ordered(s, d), S.Query(sort_by="score", descending=True, page_size=50, include=("index", "score"))).page(71),
+    "SELECT video_id * 1000 + index AS index, score FROM seg ORDER BY score DESC NULLS FIRST, 1 LIMIT 50 OFFSET 3500", SEGMENTS_SQL,
+)
 REGISTER.add(
     "search_sort_nulls_last", lambda s, d: S.page_of(_ordered(s, d), S.Query(sort_by="take_group_id", page=2, page_size=100, include=("index", "take_group_id"))),
     "SELECT video_id * 1000 + index AS index, take_group_id FROM seg ORDER BY take_group_id ASC NULLS LAST, 1 LIMIT 100 OFFSET 100", SEGMENTS_SQL,
