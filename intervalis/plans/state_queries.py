@@ -1,13 +1,18 @@
-"""Queries of as-of joins and mergeable sketches."""
+"""Queries of as-of joins, mergeable sketches and streams of documents."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from intervalis.operators import sketches
 from intervalis.operators.asof import asof_join
 from intervalis.plans.register import Register
-from intervalis.plans.views import FRAMES_SQL, frames, table
+from intervalis.plans.scratch import shared_folder
+from intervalis.plans.views import FRAMES_SQL, SEGMENTS_SQL, frames, segments, table
+from intervalis.sources import documents
+from intervalis.streaming.streams import drained
 
 REGISTER = Register()
 
@@ -51,3 +56,21 @@ REGISTER.add(
     """SELECT project_id, count(*) AS n, count(DISTINCT event_id % 7001) AS distinct_exact, true AS distinct_near, true AS median_near, true AS q90_near
        FROM (SELECT user_id % 5 AS project_id, event_id FROM events UNION ALL SELECT -1, event_id FROM events) GROUP BY project_id""",
 )
+
+
+def _stream_documents(s, d):
+    """Segments written as analysis documents of 512 orders each, and read back as a stream."""
+    part = F.struct("start_time", "end_time", "duration", "score", F.upper("tier").alias("tier"), "tags")
+    rows = segments(s, d).withColumn("doc", F.floor(F.col("video_id") / 512))
+    videos = rows.groupBy("doc", "filename").agg(F.sort_array(F.collect_list(part)).alias("segments")).withColumn("v", F.struct(F.lit(True).alias("success"), "filename", F.lit(60.0).alias("duration"), "segments"))
+    docs = videos.groupBy("doc").agg(F.collect_list("v").alias("analyses")).select("doc", F.to_json(F.struct(F.concat(F.lit("p"), "doc").alias("project_id"), "analyses")).alias("value"))
+    path = f"{shared_folder(s)}/documents-{uuid.uuid4().hex}"
+    docs.write.partitionBy("doc").text(path)
+    read = documents.exploded(documents.stream_analyses(s, path))
+    return drained(read.select("project_id", "filename", "start_time", "end_time", "score", "tier", F.array_join("tags", ",").alias("tag_list"), "file_duration"), f"{path}-state", "append")
+
+
+REGISTER.add(
+    "stream_documents", _stream_documents,
+    "SELECT 'p' || video_id // 512 AS project_id, filename, start_time::DOUBLE AS start_time, end_time::DOUBLE AS end_time, score::DOUBLE AS score, tier, array_to_string(tags, ',') AS tag_list, 60.0::DOUBLE AS file_duration FROM seg", SEGMENTS_SQL,
+)

@@ -53,6 +53,17 @@ def read_analyses(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return docs.select(name.alias("analysis_id"), F.col("_metadata.file_modification_time").alias("modified"), "*")
 
 
+def stream_analyses(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
+    """``read_analyses`` as a stream: every document is read once, in the order of modification, across restarts too.
+
+    The checkpoint keeps which files (by path) were read up to which round; folders below ``path`` are read as
+    well. A document that is written anew under its old name isn't read again.
+    """
+    docs = spark.readStream.schema(ANALYSIS_DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).json(path)
+    name = F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.json)?$", 1)
+    return docs.select(name.alias("analysis_id"), F.col("_metadata.file_modification_time").alias("modified"), "*")
+
+
 def videos_of(documents: DataFrame) -> DataFrame:
     rows = documents.select("analysis_id", "project_id", F.explode("analyses").alias("v")).filter("v.success")
     return rows.select("analysis_id", "project_id", F.concat_ws("/", "analysis_id", "v.filename").alias("video_id"), "v.*").drop("success")
@@ -60,10 +71,16 @@ def videos_of(documents: DataFrame) -> DataFrame:
 
 def segments_of(documents: DataFrame) -> DataFrame:
     """The segments of all successful videos, with their video's columns, an immutable segment_id and the index within all of a document's."""
+    rows = exploded(documents)
+    along = Window.partitionBy("analysis_id").orderBy("video_id", "start_time", "pos")
+    return rows.withColumn("index", F.row_number().over(along) - 1).drop("pos")
+
+
+def exploded(documents: DataFrame) -> DataFrame:
+    """``segments_of`` without the index, which needs all of a document's rows: for streams."""
     videos = videos_of(documents).select("analysis_id", "project_id", "video_id", "filename", "path", F.col("duration").alias("file_duration"), F.posexplode("segments").alias("pos", "s"))
     rows = videos.select("*", "s.*").drop("s").withColumn("tier", F.lower("tier"))
-    along = Window.partitionBy("analysis_id").orderBy("video_id", "start_time", "pos")
-    return rows.withColumn("segment_id", F.concat_ws("#", "video_id", "pos")).withColumn("index", F.row_number().over(along) - 1).drop("pos")
+    return rows.withColumn("segment_id", F.concat_ws("#", "video_id", "pos"))
 
 
 def decorated(segments: DataFrame) -> DataFrame:
