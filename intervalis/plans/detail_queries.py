@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from intervalis.functions import scalars
 from intervalis.operators import rollups, scoring, timeline
 from intervalis.plans.register import Register
 from intervalis.plans.rollup_queries import _CLIPS_SQL, _clips
+from intervalis.plans.scratch import shared_folder
 from intervalis.plans.views import FRAMES_SQL, SEGMENTS_SQL, frames, segments, table
+from intervalis.sources import timeline_files
 
 REGISTER = Register()
 
@@ -122,14 +126,26 @@ REGISTER.add(
 # --- timelines --------------------------------------------------------------------------------
 _PLACED_SQL = """placed AS (SELECT *, row_number() OVER w AS position, coalesce(sum(clip_length) OVER (PARTITION BY project_id ORDER BY filename, start_time, clip_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS began
     FROM clips WINDOW w AS (PARTITION BY project_id ORDER BY filename, start_time, clip_no))"""
-REGISTER.add(
-    "clip_items", lambda s, d: timeline.clip_items(timeline.layout(_clips(s, d), "sequence")).select("project_id", "clip_no", "item"),
-    """SELECT project_id, clip_no, printf('<clipitem id="clip_%d"><name>%s</name><start>%d</start><end>%d</end><in>%d</in><out>%d</out>%s<labels><label2>%s</label2></labels></clipitem>', position, filename, trunc(began * 30)::BIGINT,
+_ITEMS_SQL = """SELECT project_id, clip_no, printf('<clipitem id="clip_%d"><name>%s</name><start>%d</start><end>%d</end><in>%d</in><out>%d</out>%s<labels><label2>%s</label2></labels></clipitem>', position, filename, trunc(began * 30)::BIGINT,
        trunc((began + clip_length) * 30)::BIGINT, trunc(clip_in * 30)::BIGINT, trunc(clip_out * 30)::BIGINT,
        CASE WHEN row_number() OVER (PARTITION BY project_id, filename ORDER BY position) = 1 THEN printf('<file id="%s"><name>%s</name><pathurl>file://localhost/%s</pathurl></file>', translate(filename, '. -', '___'), filename, filename)
             ELSE printf('<file id="%s"/>', translate(filename, '. -', '___')) END,
-       CASE tier WHEN 'gold' THEN 'Forest' WHEN 'silver' THEN 'Iris' WHEN 'bronze' THEN 'Mango' ELSE 'Rose' END) AS item FROM placed""", SEGMENTS_SQL, _CLIPS_SQL, _PLACED_SQL,
+       CASE tier WHEN 'gold' THEN 'Forest' WHEN 'silver' THEN 'Iris' WHEN 'bronze' THEN 'Mango' ELSE 'Rose' END) AS item FROM placed"""
+REGISTER.add(
+    "clip_items", lambda s, d: timeline.clip_items(timeline.layout(_clips(s, d), "sequence")).select("project_id", "clip_no", "item"),
+    _ITEMS_SQL, SEGMENTS_SQL, _CLIPS_SQL, _PLACED_SQL,
 )
+
+
+def _timeline_files(s, d):
+    """Every project's document, written as a file and read back."""
+    path = f"{shared_folder(s)}/timelines-{uuid.uuid4().hex}"
+    timeline_files.write_timelines(timeline.layout(_clips(s, d), "sequence"), path)
+    read = timeline_files.read_timelines(s, path).filter("kind = 'clip'")
+    return read.select(F.regexp_extract("file", r"^p-(.*)\.xml$", 1).cast("long").alias("project_id"), F.col("text").alias("item"))
+
+
+REGISTER.add("timeline_files", _timeline_files, _ITEMS_SQL.replace("clip_no, ", "", 1), SEGMENTS_SQL, _CLIPS_SQL, _PLACED_SQL)
 REGISTER.add(
     "markers",
     lambda s, d: timeline.markers(timeline.layout(_clips(s, d), "sequence").select("*", (F.col("clip_no") % 13).cast("double").alias("motion"), (F.col("clip_no") % 29 * 5).cast("double").alias("sharpness"), (F.col("clip_no") % 20 / 20).alias("brightness"))).select("project_id", F.col("position").cast("int").alias("position"), "frame", "comment"),
