@@ -133,7 +133,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mixing": r"""
         WITH RECURSIVE docs AS (
             SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS size,
-                   -ln((('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710657.0)
+                   -ln((('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710657.0)
                        / coalesce((SELECT CASE WHEN max(toxic) = 1 THEN 0.5 WHEN min(quality) = 1 THEN 2.0 ELSE 0.5 END FROM labels l WHERE l.doc_id = d.doc_id HAVING count(*) > 0), 1.0) AS key
             FROM documents d),
         sources AS (

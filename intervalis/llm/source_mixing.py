@@ -65,7 +65,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, id_col: str =
     sizes, not the texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text)))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 1) / float(2**48 + 1)
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"), (-F.log(u)).alias("key"), row_key(F.col(id_col), F.col(source_col), text).alias("text_key")

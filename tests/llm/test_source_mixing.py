@@ -46,7 +46,7 @@ def test_mix_equals_brute_force(spark, monkeypatch, rows_a_range):
     sizes, keyed = {}, {}
     for i, t, s, q in rows:
         sizes[s] = sizes.get(s, 0) + size(t)
-        u = (int(hashlib.md5(f"mix|{'' if i is None else i}".encode()).hexdigest()[:12], 16) + 1) / (2**48 + 1)
+        u = (int(hashlib.md5(f"mix|{'' if i is None else i}|{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:12], 16) + 1) / (2**48 + 1)
         keyed.setdefault(s, []).append((-math.log(u) / (q if q and q > 0 else 1.0), -1 if i is None else i, size(t)))
     target, want = brute_targets(sizes), []
     for s, docs_ in keyed.items():
@@ -71,3 +71,11 @@ def test_better_documents_come_earlier(spark):
 
 def test_empty_table(spark):
     assert M.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_rows_of_one_id_spread_over_the_keys(spark):
+    """Null or repeated ids of different texts have keys of their own, so no range holds them all."""
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i}", "a") for i in range(200)], "doc_id long, text string, source string")
+    found = M.mix_sources(docs).collect()
+    assert len(found) == 200 and len({r.key for r in found}) == 200
+    assert sorted((r.doc_id or 0, r.taken) for r in found) == sorted((r.doc_id or 0, r.taken) for r in M.mix_sources(docs.repartition(3)).collect())
