@@ -119,8 +119,8 @@ def part_keys(members: np.ndarray, common: np.ndarray) -> np.ndarray:
     need, out, rare = n // 4 + 1, [], members[~_held_in(members, common)]
     for band in (size_band(n), size_band(n) - 1):
         top = (1 << band) - 1
-        if band != size_band(n) and n * 4 > top * 5:
-            continue  # its smallest partner is still in its own band
+        if band != size_band(n) and (n * 4 > top * 5 or top <= SMALL):
+            continue  # its smallest partner is still in its own band, or those below have no parts
         parts = max(4, int((top + 1) / PART_LOAD) + 2)
         seed = mix(np.array([band, band + 1000, band + 2000], dtype=np.uint64))
         _, keys = _parts(rare, parts, seed[0])

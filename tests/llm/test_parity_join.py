@@ -91,3 +91,16 @@ def test_short_texts_that_differ_in_one_word_are_no_candidates(spark):
 
 def test_empty_table(spark):
     assert parity_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sets_just_above_the_small_ones_emit_no_dead_keys():
+    """Eight members: keys of their own band only, an empty part's in one of a thousand, and enough for a partner with one member more."""
+    rng = np.random.default_rng(4)
+    none, beyond = np.zeros(0, dtype=np.uint64), 0
+    for _ in range(4000):
+        mine = np.unique(rng.integers(0, 2**64, 8, dtype=np.uint64))
+        keys = parity_join.part_keys(mine, none)
+        beyond += len(keys) > len(mine) // 4 + 1
+        more = np.sort(np.append(mine, rng.integers(0, 2**64, 1, dtype=np.uint64)))
+        assert set(keys.tolist()) & set(parity_join.part_keys(more, none).tolist())
+    assert beyond < 12
