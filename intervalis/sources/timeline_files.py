@@ -61,7 +61,7 @@ class _Documents:
     def add(self, project: str | None, ends: int, track: int, item: str) -> None:
         if self.out is None or project != self.project:
             self.close()
-            self.out, self.project, self.projects = self.store.open_output_stream(f"{self.folder}/{file_name(project)}"), project, self.projects + 1
+            self.out, self.project, self.projects = self.store.open_output_stream(f"{self.folder}/{file_name(project)}", buffer_size=1 << 20), project, self.projects + 1
             name = quote(project or "", safe="")
             self.line(f'<xmeml version="4"><sequence id="{name}"><duration>{ends}</duration><rate><timebase>{self.timebase}</timebase></rate><media><video>')
         if track != self.track:
