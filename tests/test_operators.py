@@ -248,6 +248,18 @@ def test_layouts_and_xml(spark):
     tree.fromstring(xml)
 
 
+@pytest.mark.parametrize("mode", ["sequence", "by_tier"])
+def test_pieces_are_the_document(spark, mode):
+    rows = [(f"p{k % 2}", f"v{k % 5}.mp4", "/x", float(k), k + 1.5, ("gold", "silver", "bronze")[k % 3], 8.0, k, 0.0) for k in range(40)]
+    clips = spark.createDataFrame(rows, "project_id string, filename string, path string, start_time double, end_time double, tier string, score double, clip_no int, file_duration double")
+    placed = timeline.layout(timeline.with_handles(clips.repartition(5), 0.5), mode)
+    whole = {r.project_id: r.xml for r in timeline.sequence_xml(placed).collect()}
+    pieces = {}
+    for r in sorted(timeline.sequence_parts(placed).collect(), key=lambda r: (r.project_id, r.track, r.step, r.timeline_start or 0.0, r.position or 0)):
+        pieces[r.project_id] = pieces.get(r.project_id, "") + r.text
+    assert pieces == whole and len(whole) == 2
+
+
 def test_documents(spark, tmp_path):
     doc = {"timestamp": "t", "project_id": "p", "stats": {"total": 1.5}, "analyses": [{"success": True, "filename": "a.mp4", "duration": 9.0, "segments": [{"start_time": 2.0, "end_time": 4.0, "duration": 2.0, "tier": "GOLD", "score": 8.0, "tags": ["x"]}, {"start_time": 0.0, "end_time": 2.0, "duration": 2.0, "tier": "silver"}]}, {"success": False, "filename": "b.mp4"}]}
     (tmp_path / "one.json").write_text(json.dumps(doc, indent=1))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from intervalis.operators import search
-from intervalis.operators.ranking import PageIndex, ranked
+from intervalis.operators.ranking import PageIndex, ranked, running
+from intervalis.plans.scratch import TASK_ROWS, dealt
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +50,25 @@ def test_a_deep_page_reads_its_range_only(rows):
     assert len(re.findall(r"= \d+|IN \(\d+,\d+\)", pruned)) == 1
     empty = PageIndex(rows.filter("index < 0"), search.Query())
     assert empty.found == 0 and empty.page(1).count() == 0
+
+
+@pytest.mark.parametrize("keys", [[], ["framing_type"], ["framing_type", "tier"]])
+@pytest.mark.parametrize("ranges", [1, 9, None])
+def test_running_sums_equal_the_window(rows, keys, ranges):
+    order = [F.desc_nulls_last("score"), F.asc("index")]
+    got = {r["index"]: (r.place, r.before) for r in running(rows, keys, order, "score", ranges=ranges).collect()}
+    along = Window.partitionBy(*keys).orderBy(*order)
+    before = F.coalesce(F.sum("score").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    assert got == {r["index"]: (r.n, r.b) for r in rows.select("index", F.row_number().over(along).alias("n"), before.alias("b")).collect()}
+    assert running(rows.filter("index < 0"), keys, order, "score").count() == 0
+
+
+def test_a_long_timeline_is_sorted_in_ranges(rows):
+    placed = running(rows, ["framing_type"], [F.asc("index")], "score", ranges=9)
+    assert placed.filter("framing_type = 'hot'").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_tasks_grow_with_the_rows(spark):
+    few = spark.range(100)
+    assert dealt(few, 100, "id") is few
+    assert dealt(few, 9 * TASK_ROWS + 1, "id").rdd.getNumPartitions() == 10
