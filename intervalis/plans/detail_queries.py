@@ -10,7 +10,7 @@ from intervalis.functions import scalars
 from intervalis.operators import rollups, scoring, timeline
 from intervalis.plans.register import Register
 from intervalis.plans.rollup_queries import _CLIPS_SQL, _clips
-from intervalis.plans.scratch import shared_folder
+from intervalis.plans.scratch import dealt, shared_folder
 from intervalis.plans.views import FRAMES_SQL, SEGMENTS_SQL, frames, segments, table
 from intervalis.sources import timeline_files
 
@@ -82,9 +82,16 @@ def _faces(s, d):
     return table(s, d, "lineitem").select(
         c("l_orderkey").alias("video_id"), (c("l_linenumber") % 3).alias("frame_idx"), c("l_extendedprice").alias("face_no"), (c("l_extendedprice") / 1000000).alias("coverage"), (c("l_partkey") % 100 / 100).alias("x"), (c("l_suppkey") % 10 / 10).alias("y"),
         (c("l_quantity") > 25).alias("in_focus"), (c("l_suppkey") % 3).alias("issues"), (c("l_partkey") % 4 > 0).alias("eyes_open"),
+        c("_metadata.row_index").alias("row"), F.xxhash64("_metadata.file_path").bitwiseAND((1 << 62) - 1).alias("file"),
     )
 
 
+def _faces_by_frame(s, d):
+    """Of faces with equal coverage the first row of the table is primary: the price, which numbers the faces, gives their coverage too."""
+    rows = _faces(s, d)
+    return scoring.faces_by_frame(dealt(rows, rows.count(), "video_id", "frame_idx"), ("row", "file"))
+
+
 _FACES_SQL = "fac AS (SELECT l_orderkey AS video_id, l_linenumber % 3 AS frame_idx, l_extendedprice AS face_no, l_extendedprice / 1000000 AS coverage, l_partkey % 100 / 100 AS x, l_suppkey % 10 / 10 AS y, l_quantity > 25 AS in_focus, l_suppkey % 3 AS issues, l_partkey % 4 > 0 AS eyes_open FROM lineitem)"
 REGISTER.add(
     "primary_face", lambda s, d: scoring.primary_face(_faces(s, d)).select("video_id", "frame_idx", "face_no", "face_score"),
@@ -92,7 +99,7 @@ REGISTER.add(
        QUALIFY row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY face_score DESC, face_no) = 1""", _FACES_SQL,
 )
 REGISTER.add(
-    "faces_by_frame", lambda s, d: scoring.faces_by_frame(_faces(s, d)),
+    "faces_by_frame", _faces_by_frame,
     """SELECT video_id, frame_idx, count(*)::INT AS face_count, max(coverage) AS primary_face_coverage, count(*) FILTER (in_focus) AS faces_in_focus, bool_and(in_focus) AS all_faces_in_focus, NOT bool_and(eyes_open) AS any_eyes_closed,
        sum(issues)::BIGINT AS framing_issues_count, max_by(in_focus, coverage) AS primary_face_in_focus FROM fac GROUP BY ALL""", _FACES_SQL,
 )
