@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intervalis.operators.scoring import ladder
+from intervalis.plans.scratch import dealt, materialize
 
 FRAME = ["video_id", "frame_idx"]
 #: Least tracked and least found points of a frame with motion, least found points of a camera model, and its tolerance in pixels.
@@ -81,11 +82,16 @@ def camera_models(points: DataFrame, hypotheses: int = HYPOTHESES) -> DataFrame:
     A hypothesis deals the frame's points into four slots and takes the first of each, by a drawn number;
     the map goes from the points' old places to the unit square (the adjugate of s) and on to the new ones (d).
     """
-    rows = points.filter("nx is not null and ny is not null").withColumn("hypothesis", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1)))).withColumn("hypothesis", F.col("hypothesis").cast("long"))
-    rows = rows.withColumn("drawn", _draw(F.col("point_no").cast("long"), F.col("frame_idx").cast("long"), F.col("hypothesis")))
-    one = F.struct("drawn", "x", "y", "nx", "ny")
-    picked = rows.groupBy(*FRAME, "hypothesis").agg(*(F.min(F.when(F.col("drawn") % 4 == k, one)).alias(f"p{k}") for k in range(4))).filter(" and ".join(f"p{k} is not null" for k in range(4)))
-    old, new = [(F.col(f"p{k}.x"), F.col(f"p{k}.y")) for k in range(4)], [(F.col(f"p{k}.nx"), F.col(f"p{k}.ny")) for k in range(4)]
+    residue = F.pmod(F.col("point_no").cast("long"), F.lit(1_000_003))
+    # points of one residue have one drawn number in every hypothesis, others never: the least of them stands for all, so that no drawn numbers tie
+    rows = points.filter("nx is not null and ny is not null").groupBy(*FRAME, residue.alias("residue")).agg(F.min(F.struct("x", "y", "nx", "ny")).alias("p")).select(*FRAME, "residue", "p.*")
+    rows = rows.withColumn("hypothesis", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hypotheses - 1).cast("long"))))
+    rows = rows.withColumn("drawn", _draw(F.col("residue"), F.col("frame_idx").cast("long"), F.col("hypothesis")))
+    slot = [F.when(F.col("drawn") % 4 == k, F.col("drawn")) for k in range(4)]
+    # numbers only, column by column: aggregates of structs would sort all points of all hypotheses
+    firsts = [x for k in range(4) for x in (F.min(slot[k]).alias(f"r{k}"), *(F.min_by(c, slot[k]).alias(f"{c}{k}") for c in ("x", "y", "nx", "ny")))]
+    picked = rows.groupBy(*FRAME, "hypothesis").agg(*firsts).filter(" and ".join(f"r{k} is not null" for k in range(4)))
+    old, new = [(F.col(f"x{k}"), F.col(f"y{k}")) for k in range(4)], [(F.col(f"nx{k}"), F.col(f"ny{k}")) for k in range(4)]
     sound = picked.filter(_areas(old) & _areas(new))
     return sound.select(*FRAME, "hypothesis", *(c.alias(f"s{k}") for k, c in enumerate(_from_square(old))), *(c.alias(f"d{k}") for k, c in enumerate(_from_square(new))))
 
@@ -114,10 +120,13 @@ def camera_motion(points: DataFrame, hypotheses: int = HYPOTHESES, tolerance: fl
     points, or without a sound hypothesis, have none: 0.
     """
     shape = [f"{side}{k}" for side in "sd" for k in range(9)]
-    models = camera_models(points, hypotheses).groupBy(*FRAME).agg(F.collect_list(F.struct("hypothesis", *shape)).alias("models"))  # as many as hypotheses, at most
+    tasks = dealt(points, points.count(), *FRAME)
+    points = points.repartition(*FRAME) if tasks is points else tasks  # all that follows goes by frame, so points move once a use
+    models = materialize(camera_models(points, hypotheses).groupBy(*FRAME).agg(F.collect_list(F.struct("hypothesis", *shape)).alias("models")), "camera-models")  # as many as hypotheses, at most
     found = _vectors(points).filter("angle is not null")
-    tried = found.join(models, FRAME).withColumn("m", F.explode("models")).groupBy(*FRAME, F.col("m.hypothesis").alias("hypothesis")).agg(F.count_if(_fits("m", tolerance)).alias("inliers"), F.any_value("m").alias("m"))
-    chosen = tried.groupBy(*FRAME).agg(F.max(F.struct("inliers", (-F.col("hypothesis")).alias("first"), "m")).alias("won")).select(*FRAME, F.col("won.m").alias("m"))
+    tried = found.join(models, FRAME).withColumn("m", F.explode("models")).groupBy(*FRAME, F.col("m.hypothesis").alias("hypothesis")).agg(F.count_if(_fits("m", tolerance)).alias("inliers"))
+    best = tried.groupBy(*FRAME).agg(F.max(F.col("inliers") * hypotheses + (hypotheses - 1 - F.col("hypothesis"))).alias("best"))
+    chosen = best.join(models, FRAME).withColumn("m", F.explode("models")).filter(F.col("m.hypothesis") == hypotheses - 1 - F.col("best") % hypotheses).select(*FRAME, "m")
     inside = _fits("m", tolerance)
     split = found.join(chosen, FRAME).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("inliers"), F.avg(F.when(inside, F.col("moved"))).alias("camera"), F.avg(F.when(~inside, F.col("moved"))).alias("object"))
     rows = flow_statistics(points).join(split, FRAME, "left")

@@ -155,3 +155,14 @@ def test_frame_classes(spark):
     assert [r.shot_type for r in rows] == [c[-1] for c in cases]
     assert rows[8].characteristics == ["shallow_dof", "face_in_focus", "foreground_blur"] and rows[13].characteristics == ["low_detail"] and rows[9].confidence == 0.7
     assert found.filter(F.size("characteristics") == 0).count() == 2
+
+
+def test_points_of_all_hypotheses_are_not_sorted(spark):
+    """Equal point numbers and shuffled rows change nothing, and no aggregate above the hypotheses needs its input in order."""
+    rnd = random.Random(5)
+    rows = [("v", f, rnd.randrange(40), float(x := rnd.randrange(480)), float(y := rnd.randrange(270)), x + 2.0 + rnd.randrange(3), y - 1.0) for f in range(4) for _ in range(60)]
+    points = spark.createDataFrame(rows, POINTS)
+    got = [sorted(motion.camera_models(p, 12).collect()) for p in (points.repartition(5), points.orderBy(F.desc("x")).coalesce(1))]
+    assert got[0] == got[1] and got[0]
+    plan = motion.camera_models(points, 12)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan[: plan.index("Generate")]
