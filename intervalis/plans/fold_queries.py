@@ -116,9 +116,15 @@ _METRICS = {
 }
 
 
-def _judged(s, d):
+def _judged(s, d, also=None):
     rows = segments(s, d).select("video_id", "index", (F.col("video_id") * 31 + F.col("index") * 7).alias("k"))
-    return scoring.evaluate(rows.withColumn("metrics", F.struct(*(F.expr(f"CAST({x} AS DOUBLE)").alias(n) for n, x in _METRICS.items()))))
+    return scoring.evaluate(rows.withColumn("metrics", F.struct(*(F.expr(f"CAST({x} AS DOUBLE)").alias(n) for n, x in _METRICS.items()))), also=also)
+
+
+def _categories(s, d):
+    h, v = F.col("metrics.h_balance"), F.col("metrics.v_balance")
+    rows = _judged(s, d, lambda made: scoring.categorised(made, h, v)).withColumn("image_quality", F.col("focus") * 0.7 + F.col("exposure") * 0.3)
+    return rows.select("video_id", "index", "stability", "focus", "exposure", "image_quality", "framing", scoring.status(F.col("image_quality")).alias("status"))
 
 
 def _made(name: str, value: str, score: str, weight: float, passed: str, when: str = "true") -> str:
@@ -164,7 +170,7 @@ def _mean_of(*names: str) -> str:
 _STEADY = ("Estabilidad de cámara", "Consistencia", "Velocidad uniforme", "Estabilidad vertical", "Estabilidad horizontal", "Suavidad", "Sin temblor", "Nivel de temblor", "Consistencia de enfoque", "Consistencia de luz")
 REGISTER.add(
     "evaluate_segments",
-    lambda s, d: _judged(s, d).withColumn("x", scoring.explanation(F.col("criteria"))).select("video_id", "index", "shot_type", "score", "tier", "is_critically_blurry", F.col("x.passed").cast("int").alias("passed"), F.col("x.failed").cast("int").alias("failed"), "x.worst"),
+    lambda s, d: _judged(s, d, scoring.explained).select("video_id", "index", "shot_type", "score", "tier", "is_critically_blurry", "passed", "failed", "worst"),
     """SELECT video_id, index, shot AS shot_type, CASE WHEN blurry THEN least(mean, 3.0) ELSE mean END AS score,
        CASE WHEN blurry THEN 'discard' WHEN mean >= 8 THEN 'gold' WHEN mean >= 6 THEN 'silver' WHEN mean >= 4 THEN 'bronze' ELSE 'discard' END AS tier, blurry AS is_critically_blurry, passed, failed, worst
        FROM (SELECT *, sharpness_mean < 30 AS blurry, list_sum(list_transform(made, lambda c: c.score * c.weight)) / list_sum(list_transform(made, lambda c: c.weight)) AS mean,
@@ -178,7 +184,7 @@ REGISTER.add(
 )
 REGISTER.add(
     "category_scores",
-    lambda s, d: _judged(s, d).select("video_id", "index", F.inline(F.array(scoring.category_scores(F.col("criteria"), F.col("metrics.h_balance"), F.col("metrics.v_balance"))))).withColumn("status", scoring.status(F.col("image_quality"))),
+    _categories,
     f"""SELECT *, CASE WHEN image_quality >= 8 THEN 'good' WHEN image_quality >= 6 THEN 'warning' WHEN image_quality >= 4 THEN 'poor' ELSE 'bad' END AS status FROM (
         SELECT *, focus * 0.7::DOUBLE + exposure * 0.3::DOUBLE AS image_quality FROM (SELECT video_id, index, {_mean_of(*_STEADY)} AS stability, {_mean_of("Enfoque", "Frames con enfoque")} AS focus,
         {_mean_of("Exposición")} AS exposure, CASE WHEN h_balance > 0 THEN (h_balance + v_balance) / 2 * 10 ELSE 7.0 END::DOUBLE AS framing FROM judged))""", SEGMENTS_SQL, _JUDGED_SQL,

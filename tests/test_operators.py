@@ -255,6 +255,24 @@ def test_of_equal_faces_the_first_row_leads(spark, tmp_path):
     assert {(r.video_id, r.frame_idx): r.primary_face_in_focus for r in QUERIES["faces_by_frame"](spark, str(tmp_path)).collect()} == want
 
 
+@pytest.mark.parametrize("active", [scoring.CATEGORIES, ("focus",), ()])
+def test_criteria_apart_give_what_the_array_gives(spark, active):
+    rnd = random.Random(3)
+    names = "camera_motion_mean motion_mean motion_std sharpness_mean blurry_frame_pct brightness_mean contrast_mean h_balance v_balance avg_face_count eyes_closed_frame_pct".split()
+    rows = [(k, tuple(rnd.choice([None, rnd.random() * s]) for s in (2, 2, 1, 200, 60, 1, 1, 1, 1, 2, 40))) for k in range(60)]
+    df = spark.createDataFrame(rows, f"k int, metrics struct<{', '.join(f'{n}: double' for n in names)}>")
+    h, v = F.col("metrics.h_balance"), F.col("metrics.v_balance")
+    got = scoring.evaluate(df, active, lambda made: scoring.explained(made) | scoring.categorised(made, h, v))
+    made = F.col("criteria")
+    both = got.withColumns({"x": scoring.explanation(made), "y": scoring.category_scores(made, h, v), "z": scoring.weighted_score(made)}).collect()
+    for r in both:
+        assert (r.passed, r.failed, r.worst) == (r.x.passed, r.x.failed, r.x.worst)
+        assert (r.stability, r.focus, r.exposure, r.framing) == pytest.approx((r.y.stability, r.y.focus, r.y.exposure, r.y.framing))
+        assert r.score == pytest.approx(min(r.z, 3.0) if r.is_critically_blurry else r.z)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan
+
+
 # --- timelines, documents, scalars ------------------------------------------------------------
 def test_layouts_and_xml(spark):
     clips = spark.createDataFrame([("p", "a b.mp4", "/x/a b.mp4", 1.0, 3.0, "gold", 8.0, 1, 0.0), ("p", "a b.mp4", "/x/a b.mp4", 5.0, 6.0, "silver", 6.0, 2, 6.2), ("p", "c&d.mp4", "/x/c&d.mp4", 0.2, 2.2, "gold", 9.0, 3, 0.0)], "project_id string, filename string, path string, start_time double, end_time double, tier string, score double, clip_no int, file_duration double").withColumn("shot_type", F.lit("TILT"))
