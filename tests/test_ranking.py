@@ -72,3 +72,12 @@ def test_tasks_grow_with_the_rows(spark):
     few = spark.range(100)
     assert dealt(few, 100, "id") is few
     assert dealt(few, 9 * TASK_ROWS + 1, "id").rdd.getNumPartitions() == 10
+
+
+def test_islands_are_cut_by_tasks_that_grow(spark, monkeypatch):
+    from intervalis.operators import intervals
+    from intervalis.plans import scratch
+
+    monkeypatch.setattr(scratch, "TASK_ROWS", 10)
+    clips = spark.range(95).selectExpr("concat('f', id % 30) AS filename", "'gold' AS tier", "double(id) AS start_time", "id + 0.5D AS end_time", "1.0D AS score", "id AS clip_no")
+    assert "hashpartitioning(filename" in (plan := intervals.clip_islands(clips)._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
