@@ -81,3 +81,10 @@ def test_islands_are_cut_by_tasks_that_grow(spark, monkeypatch):
     monkeypatch.setattr(scratch, "TASK_ROWS", 10)
     clips = spark.range(95).selectExpr("concat('f', id % 30) AS filename", "'gold' AS tier", "double(id) AS start_time", "id + 0.5D AS end_time", "1.0D AS score", "id AS clip_no")
     assert "hashpartitioning(filename" in (plan := intervals.clip_islands(clips)._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
+
+
+def test_found_rows_are_sorted_in_ranges_that_grow(rows, monkeypatch):
+    monkeypatch.setattr(search, "TASK_ROWS", 100)
+    found = search.quick_search(rows, "score", True)
+    assert found.rdd.getNumPartitions() == 30
+    assert found.collect() == rows.orderBy(*search.sort_keys(rows.schema, "score", True)).collect()
