@@ -12,10 +12,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, arrow_udtf, udtf
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
+from intervalis.operators.consolidation import ArrowConsolidation
 from intervalis.operators.intervals import Consolidation
 from intervalis.operators.timeseries import CHANGE_SCORE, MIN_ROWS
 
@@ -106,3 +108,37 @@ def register(spark: SparkSession) -> None:
     """Makes the functions known to the session's SQL."""
     spark.udtf.register("change_points", udtf(ChangePoints))
     spark.udtf.register("consolidated_segments", udtf(ConsolidatedSegments))
+
+
+#: Blocks of videos that the Arrow function is called for: a call must have many rows, and a task several blocks.
+BLOCKS = 2048
+
+
+def register_consolidation(spark: SparkSession, name: str, schema: StructType) -> str:
+    """Makes ``consolidated_segments`` for tables of one schema known to SQL, over Arrow batches; returns the clauses that follow TABLE(...).
+
+    An Arrow table function cannot analyse its argument, so its schema is given, and the call says how rows are
+    dealt: whole blocks of videos, each in order. Two arguments: the table and what is short, in seconds.
+    """
+    names = [f.name for f in schema if f.name != "merged_count"] + ["merged_count"]
+    fields = [schema[n] if n != "merged_count" else StructField(n, LongType()) for n in names]
+
+    class ConsolidatedBlocks:
+        def __init__(self):
+            self.fold = None
+
+        def _tables(self, done: list[pa.RecordBatch]) -> Iterator[pa.Table]:
+            for batch in done:
+                yield pa.Table.from_batches([batch]).select(names)
+
+        def eval(self, segments: pa.RecordBatch, micro: pa.Array) -> Iterator[pa.Table]:
+            if self.fold is None:
+                self.fold = ArrowConsolidation(micro[0].as_py())
+            yield from self._tables(self.fold.push(segments))
+
+        def terminate(self) -> Iterator[pa.Table]:
+            if self.fold is not None:
+                yield from self._tables(self.fold.finish())
+
+    spark.udtf.register(name, arrow_udtf(ConsolidatedBlocks, returnType=StructType(fields)))
+    return f"PARTITION BY pmod(xxhash64(video_id), {BLOCKS}) ORDER BY (video_id, start_time NULLS LAST, index NULLS LAST)"

@@ -97,9 +97,10 @@ REGISTER.add(
 
 def _by_function(s, d):
     """``consolidate_fold`` through the table function, from SQL."""
-    table_functions.register(s)
-    segments(s, d).select(*_FOLDED).createOrReplaceTempView("segments_to_fold")
-    rows = s.sql(f"SELECT * FROM consolidated_segments(TABLE(segments_to_fold), {_MICRO})")
+    found = segments(s, d).select(*_FOLDED)
+    found.createOrReplaceTempView("segments_to_fold")
+    dealt = table_functions.register_consolidation(s, "consolidated_blocks", found.schema)
+    rows = s.sql(f"SELECT * FROM consolidated_blocks(TABLE(segments_to_fold) {dealt}, {_MICRO}D)")
     return rows.select("video_id", "index", "start_time", "end_time", "score", "tier", F.col("merged_count").cast("int").alias("merged_count"), F.array_join("tags", ",").alias("tag_list"), F.col("metrics.sharpness_mean").alias("sharpness"))
 
 

@@ -3,9 +3,10 @@ import random
 import pyarrow as pa
 import pytest
 
-from intervalis.operators import intervals
+from intervalis.operators import intervals, table_functions
 from intervalis.operators.consolidation import ArrowConsolidation
 
+SCHEMA = "video_id string, index int, start_time double, end_time double, duration double, score double, tier string, shot_type string, is_garbage boolean, is_key_moment boolean, is_best_take boolean, is_repeated_take boolean, face_count int, tags array<string>, metrics struct<a:double,b:double>"
 TYPES = {
     "video_id": pa.string(), "index": pa.int32(), **dict.fromkeys(("start_time", "end_time", "duration", "score"), pa.float64()), "tier": pa.string(), "shot_type": pa.string(),
     **dict.fromkeys(("is_garbage", "is_key_moment", "is_best_take", "is_repeated_take"), pa.bool_()), "face_count": pa.int32(), "tags": pa.list_(pa.string()), "metrics": pa.struct([("a", pa.float64()), ("b", pa.float64())]),
@@ -46,3 +47,14 @@ def test_batches_equal_the_fold_by_rows(seed, size):
         most = max(most, fold.held.num_rows)
     got += fold.finish()
     assert plain(r for b in got for r in b.to_pylist()) == plain(want) and most <= 3
+
+
+def test_table_function_over_batches_equals_the_one_by_rows(spark):
+    table_functions.register(spark)
+    data = spark.createDataFrame(clips(3, 900), SCHEMA)
+    data.repartition(5).createOrReplaceTempView("clips_to_fold")
+    dealt = table_functions.register_consolidation(spark, "folded_clips", data.schema)
+    got = spark.sql(f"SELECT * FROM folded_clips(TABLE(clips_to_fold) {dealt}, 1.5D)")
+    want = spark.sql("SELECT * FROM consolidated_segments(TABLE(clips_to_fold), 1.5)")
+    assert got.columns == want.columns
+    assert plain(r.asDict(recursive=True) for r in got.collect()) == plain(r.asDict(recursive=True) for r in want.collect())
