@@ -88,3 +88,13 @@ def test_found_rows_are_sorted_in_ranges_that_grow(rows, monkeypatch):
     found = search.quick_search(rows, "score", True)
     assert found.rdd.getNumPartitions() == 30
     assert found.collect() == rows.orderBy(*search.sort_keys(rows.schema, "score", True)).collect()
+
+
+def test_an_index_holds_the_columns_of_its_pages_only(rows):
+    wide = rows.withColumn("metrics", F.struct((F.col("score") % 3).alias("brightness_mean"))).withColumn("text", F.repeat("tier", 100))
+    for query in (search.Query(sort_by="metrics.brightness_mean", descending=True, page_size=40, include=("text",)), search.Query(sort_by="no_such", page_size=40, exclude=("text", "metrics", "framing_type"))):
+        index = PageIndex(wide, query, ranges=8)
+        written = index.rows.columns
+        assert "metrics" not in written and "framing_type" not in written and len(written) <= 5
+        plain = search.page_of(wide, search.Query(query.filters, query.sort_by, query.descending, 30, 40, query.include, query.exclude))
+        assert index.page(30).columns == plain.columns and index.page(30).collect() == plain.collect()
