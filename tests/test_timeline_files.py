@@ -80,3 +80,27 @@ def test_a_lost_attempt_is_not_read(spark, tmp_path):
     os.makedirs(stray)
     open(f"{stray}/p-hot.xml", "w").write('<clipitem id="clip_1"></clipitem>\n')
     assert T.read_timelines(spark, path).filter("kind = 'clip'").count() == 30
+
+
+def test_a_project_is_rendered_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Ranges of 50 clips: the third of all that is one project's lies in several, and no clip or place is lost."""
+    monkeypatch.setattr(T, "TASK_ROWS", 50)
+    seen = []
+    whole = T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, name: seen.append((name, whole(df, name))) or seen[-1][1])
+    path, rows = str(tmp_path / "out"), placed(spark)
+    T.write_timelines(rows, path)
+    blocks = dict(seen)["timeline-blocks"]
+    assert blocks.filter("project = 'hot'").select(F.input_file_name()).distinct().count() >= 2
+    want = [r["item"] for r in timeline.clip_items(rows).filter("project_id = 'hot'").orderBy("track", "timeline_start", "position").collect()]
+    found = [r.text for r in T.read_timelines(spark, path).filter("file = 'p-hot.xml'").collect()]
+    assert [x for x in found if x.startswith("<clipitem")] == want and len(want) == 134
+    manifest = json.loads(open(f"{path}/{T.MANIFEST}").read())
+    assert manifest["clips"] == 400 and manifest["projects"] == 6
+
+
+def test_a_timeline_beyond_two_billion_frames(spark, tmp_path):
+    path = str(tmp_path / "out")
+    late = placed(spark, 12).withColumns({c: F.col(c) + 1e8 for c in ("timeline_start", "timeline_end")})
+    T.write_timelines(late, path)
+    assert min(int(e.text) for root in read_files(path).values() for e in root.iter("start")) >= 3_000_000_000
