@@ -58,15 +58,19 @@ REGISTER.add(
 )
 
 
+#: Bytes of documents that a round of the stream reads.
+_ROUND = 1 << 30
+
+
 def _stream_documents(s, d):
-    """Segments written as analysis documents of 512 orders each, and read back as a stream."""
+    """Segments written as analysis documents of 512 orders each, a file a document in one folder, and read back as a stream."""
     part = F.struct("start_time", "end_time", "duration", "score", F.upper("tier").alias("tier"), "tags")
     rows = segments(s, d).withColumn("doc", F.floor(F.col("video_id") / 512))
     videos = rows.groupBy("doc", "filename").agg(F.sort_array(F.collect_list(part)).alias("segments")).withColumn("v", F.struct(F.lit(True).alias("success"), "filename", F.lit(60.0).alias("duration"), "segments"))
-    docs = videos.groupBy("doc").agg(F.collect_list("v").alias("analyses")).select("doc", F.to_json(F.struct(F.concat(F.lit("p"), "doc").alias("project_id"), "analyses")).alias("value"))
+    docs = videos.groupBy("doc").agg(F.collect_list("v").alias("analyses")).select(F.to_json(F.struct(F.concat(F.lit("p"), "doc").alias("project_id"), "analyses")).alias("value"))
     path = f"{shared_folder(s)}/documents-{uuid.uuid4().hex}"
-    docs.write.partitionBy("doc").text(path)
-    read = documents.exploded(documents.stream_analyses(s, path))
+    docs.write.option("maxRecordsPerFile", 1).text(path)
+    read = documents.exploded(documents.stream_analyses(s, path, bytes_per_trigger=_ROUND))
     return drained(read.select("project_id", "filename", "start_time", "end_time", "score", "tier", F.array_join("tags", ",").alias("tag_list"), "file_duration"), f"{path}-state", "append")
 
 

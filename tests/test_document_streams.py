@@ -39,3 +39,16 @@ def test_the_stream_equals_the_batch(spark, tmp_path):
     stream = documents.exploded(documents.stream_analyses(spark, str(tmp_path))).drop("pos")
     got = drained(stream, str(tmp_path / "state"), "append")
     assert sorted(map(str, got.select("segment_id", "start_time", "score", "file_duration").collect())) == sorted(map(str, batch.select("segment_id", "start_time", "score", "file_duration").collect()))
+
+
+def test_rounds_by_bytes_hold_many_small_documents(spark, tmp_path):
+    """300 documents of some hundred bytes are one round, not three of a hundred; with a small bound they are many."""
+    folder = str(tmp_path / "docs")
+    os.makedirs(folder)
+    for k in range(300):
+        write(folder, f"d{k}", "p", [k / 2, 3.0])
+    for bound, rounds in ((1 << 30, range(1, 2)), (20_000, range(4, 301))):
+        state = str(tmp_path / f"state-{bound}")
+        rows = drained(documents.exploded(documents.stream_analyses(spark, folder, bytes_per_trigger=bound)).select("analysis_id", "score"), state, "append")
+        assert rows.count() == 600 and rows.select("analysis_id").distinct().count() == 300
+        assert len([n for n in os.listdir(f"{state}/commits") if n.isdigit()]) in rounds
