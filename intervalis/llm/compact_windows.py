@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,6 +62,8 @@ JOIN_GAP = 24
 HEADS = 3
 #: Windows that a task joins at a time, and pairs of texts that one task verifies at a time.
 JOIN_ROWS, BLOCK_PAIRS = 1 << 20, 2048
+#: Windows of a signature that are paired in full in one block, and pairs that are compared at a time.
+BLOCK_WINDOWS, COMPARED = 1024, 1 << 21
 _POSITION_BITS = 26
 _SCATTER = 0x2C1B3C7  # odd: equal hashes are ordered by scattered positions, so that repetition makes no deep tree
 _UNSCATTER = pow(_SCATTER, -1, 1 << _POSITION_BITS)
@@ -129,7 +132,11 @@ def _bits_ahead(bits: np.ndarray) -> np.ndarray:
 
 
 def signatures(found: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, centres, text numbers and contexts of the compact windows of the texts' grams."""
+    """Keys, centres, text numbers and contexts of the compact windows of the texts' grams.
+
+    A stretch of one word has windows of odd keys, and two of even keys of their own, at its first and its last gram:
+    two stretches share no longer run, nor one that goes beyond both, than where their beginnings or their ends meet.
+    """
     core = core_shingles(least)
     gram = max(1, min(GRAM_WORDS - WORDS + 1, core - 2))  # in shingles
     long = np.array([k for k, s in enumerate(found) if len(s) >= least], dtype=np.int64)
@@ -140,11 +147,19 @@ def signatures(found: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndar
     offsets = sorted({*range(0, gram, WORDS), gram - 1})  # these shingles hold all words of the gram
     content = mix(sum((joined[o : len(joined) - gram + 1 + o] * c for o, c in zip(offsets, _COEFFICIENTS, strict=False)), np.uint64(gram)))
     centre = compact_windows(mix(content), core - gram + 1, begins, begins + sizes - gram + 1)[:, 1]
+    turns = np.flatnonzero(np.append(True, joined[1:] != joined[:-1]))
+    turns = np.append(np.union1d(turns, begins), len(joined))
+    stretch = np.searchsorted(turns, centre, side="right") - 1
+    even = turns[stretch + 1] - centre >= gram
+    keys = (content[centre] & ~np.uint64(1)) | even.astype(np.uint64)
+    first, last = (np.unique(v[even]) for v in (turns[stretch], turns[stretch + 1] - gram))
+    edges = [mix(content[v] + np.uint64(k)) & ~np.uint64(1) for k, v in enumerate((first, last), 1)]
+    keys, centre = np.concatenate([keys, *edges]), np.concatenate([centre, first, last])
     owner = np.searchsorted(begins, centre, side="right") - 1
     bits = joined >> np.uint64(63)
     ahead = np.append(_bits_ahead(bits), np.zeros(gram, np.uint64))[centre + gram]
     behind = np.append(_bits_ahead(bits[::-1]), np.uint64(0))[len(joined) - centre]
-    return content[centre], centre - begins[owner], long[owner], (behind << np.uint64(SIDE)) | ahead
+    return keys, centre - begins[owner], long[owner], (behind << np.uint64(SIDE)) | ahead
 
 
 def shared_words(x: np.ndarray, y: np.ndarray, gram_words: int) -> np.ndarray:
@@ -261,7 +276,8 @@ def _anchors(windows: Windows, rows: np.ndarray, others: np.ndarray) -> tuple[np
 
 
 _ROW = pa.schema([("sig", pa.int64()), ("fp", pa.int64()), ("at", pa.int32()), ("context", pa.int64()), ("b", pa.int64()), ("j", pa.int32())])
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("context", pa.int64())])
+_IS_WINDOW = -1  # in place of j: the row is a window of a shared signature, not a pair
 
 
 def _lengths(least: int) -> tuple[int, int, int]:
@@ -270,7 +286,7 @@ def _lengths(least: int) -> tuple[int, int, int]:
 
 
 def _keyed(least: int):
-    """A task's windows, but for those that are linked to others of it: these are pairs (fp, b), dealt to any key."""
+    """A task's windows, but for those that are linked to others of it: these are pairs (fp, b), dealt to any key, as are the windows (signature b) that shared one in the task."""
 
     def joined(parts: list[Windows]) -> Iterator[pa.RecordBatch]:
         every = Windows.of(parts)
@@ -282,6 +298,9 @@ def _keyed(least: int):
         a, b, i, j = _anchors(windows, rows, others)
         spread = mix(a.view(np.uint64) + mix(b.view(np.uint64) + i.astype(np.uint64))).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(a), pa.array(i.astype(np.int32)), pa.nulls(len(a), pa.int64()), pa.array(b), pa.array(j.astype(np.int32))], schema=_ROW)
+        windows = windows.take(np.flatnonzero(windows.sig & np.uint64(1) == 0))
+        spread = mix(windows.fp.view(np.uint64) + mix(windows.sig + windows.at.astype(np.uint64))).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(windows.fp), pa.array(windows.at.astype(np.int32)), pa.array(windows.context.view(np.int64)), pa.array(windows.sig.view(np.int64)), pa.array(np.full(len(windows), _IS_WINDOW, np.int32))], schema=_ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -306,19 +325,24 @@ def _keyed(least: int):
 
 
 def _linked(least: int):
-    """Pairs of windows from rows in the order of their signatures; a signature of very many rows is read in pieces, each with its first row."""
+    """Pairs of windows from rows in the order of their signatures, and the windows of shared ones; a signature of very many rows is read in pieces, each with its first row."""
 
-    def pairs(every: Windows) -> pa.RecordBatch:
+    def pairs(every: Windows) -> Iterator[pa.RecordBatch]:
         windows, _ = every.shared()
         rows, others, _ = windows.links(*_lengths(least))
         a, b, i, j = _anchors(windows, rows, others)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], schema=_PAIR)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.nulls(len(a), pa.int64())], schema=_PAIR)
+        windows = windows.take(np.flatnonzero(windows.sig & np.uint64(1) == 0))
+        yield _window_rows(pa.array(windows.sig.view(np.int64)), pa.array(windows.fp), pa.array(windows.at.astype(np.int32)), pa.array(windows.context.view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[Windows] = []
         for batch in batches:
             done = batch.filter(batch.column("b").is_valid())
-            yield pa.RecordBatch.from_arrays([done.column(c) for c in ("fp", "b", "at", "j")], schema=_PAIR)
+            paired = pa.array(done.column("j").to_numpy() != _IS_WINDOW)
+            met, windows = done.filter(paired), done.filter(pc.invert(paired))
+            yield pa.RecordBatch.from_arrays([met.column(c) for c in ("fp", "b", "at", "j", "context")], schema=_PAIR)
+            yield _window_rows(*(windows.column(c) for c in ("b", "fp", "at", "context")))
             rest = batch.filter(batch.column("b").is_null())
             if rest.num_rows:
                 parts.append(Windows(rest.column("sig").to_numpy().view(np.uint64), rest.column("fp").to_numpy(), rest.column("at").to_numpy().astype(np.int64), rest.column("context").to_numpy().view(np.uint64)))
@@ -326,13 +350,56 @@ def _linked(least: int):
                 windows = Windows.of(parts)
                 last = int(np.flatnonzero(windows.sig != windows.sig[-1]).max(initial=-1)) + 1
                 if last:
-                    yield pairs(windows.take(np.arange(last)))
+                    yield from pairs(windows.take(np.arange(last)))
                     parts = [windows.take(np.arange(last, len(windows)))]
                 else:
-                    yield pairs(windows)
+                    yield from pairs(windows)
                     parts = [windows.take(np.arange(1))]
         if parts:
-            yield pairs(Windows.of(parts))
+            yield from pairs(Windows.of(parts))
+
+    return run
+
+
+def _window_rows(sig: pa.Array, fp: pa.Array, at: pa.Array, context: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([sig, fp, at, pa.array(np.full(len(at), _IS_WINDOW, np.int32)), context], schema=_PAIR)
+
+
+def _rest(least: int):
+    """Pairs (a, b, i, j) of all windows of a block (rows in the order of signature and block) that lie in different classes and leave room for a passage."""
+    core_words, gram_words, _ = _lengths(least)
+    schema = pa.schema([(f.name, f.type) for f in _PAIR][:4])
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        sig, one, two, block, fp, at, context, label = (table[c].to_numpy() for c in ("sig", "one", "two", "block", "fp", "at", "context", "label"))
+        every = Windows(sig.view(np.uint64), fp, at.astype(np.int64), context.view(np.uint64))
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+        ends = np.append(np.flatnonzero(new)[1:], len(sig))[np.cumsum(new) - 1]
+        later = np.cumsum(ends - np.arange(len(sig)) - 1)  # each row meets those after it in its block
+        low = 0
+        while low < len(sig):
+            high = max(low + 1, int(np.searchsorted(later, (later[low - 1] if low else 0) + COMPARED, side="right")))
+            counts = ends[low:high] - np.arange(low, high) - 1
+            x = np.repeat(np.arange(low, high), counts)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts) + x + 1
+            meets = (fp[x] != fp[y]) & (label[x] != label[y]) & ((one[x] == two[x]) | (block[x] != block[y]))
+            x, y = x[meets], y[meets]
+            far = shared_words(every.context[x], every.context[y], gram_words) >= core_words
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(_anchors(every, x[far], y[far]), schema, strict=True)], schema=schema)
+            low = high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        for batch in batches:
+            parts.append(batch)
+            if sum(p.num_rows for p in parts) >= JOIN_ROWS:
+                table = pa.Table.from_batches(parts)
+                keys = [table[c].to_numpy() for c in ("sig", "one", "two")]
+                last = int(np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys])).max(initial=-1)) + 1
+                yield from pairs(table.slice(0, last))
+                parts = table.slice(last).to_batches()
+        if parts:
+            yield from pairs(pa.Table.from_batches(parts))
 
     return run
 
@@ -572,13 +639,38 @@ def _bitmap_of(names: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def candidates(texts: DataFrame, least: int) -> DataFrame:
-    """(a, b, i, j): pairs of different texts, by name, with shared windows' places; texts have ``least`` shingles or more."""
+def candidates(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, i, j): pairs of different texts, by name, with shared windows' places; and (sig, fp, at, context), the windows of shared signatures. Texts have ``least`` shingles or more."""
     windows = texts.select("text").mapInArrow(tidy(_keyed(least)), "sig long, fp long, at int, context long, b long, j int")
-    pairs = windows.repartition("sig").sortWithinPartitions("sig").mapInArrow(tidy(_linked(least)), "a long, b long, i int, j int")
+    pairs = windows.repartition("sig").sortWithinPartitions("sig").mapInArrow(tidy(_linked(least)), "a long, b long, i int, j int, context long")
+    found = materialize(_thinned(pairs, "context"), "windows-anchors")
+    paired = F.col("j") != _IS_WINDOW
+    return found.filter(paired).drop("context"), found.filter(~paired).select(F.col("a").alias("sig"), F.col("b").alias("fp"), F.col("i").alias("at"), "context")
+
+
+def _thinned(pairs: DataFrame, *more: str) -> DataFrame:
+    """Of pairs (a, b, i, j) on one diagonal and at most JOIN_GAP apart one is enough."""
     shift = (F.col("i") - F.col("j")).alias("shift")
-    anchors = pairs.groupBy("a", "b", shift, F.floor(F.col("i") / JOIN_GAP).alias("near")).agg(F.min("i").alias("i"))
-    return materialize(anchors.select("a", "b", "i", (F.col("i") - F.col("shift")).alias("j")), "windows-anchors")
+    kept = pairs.groupBy("a", "b", shift, F.floor(F.col("i") / JOIN_GAP).alias("near"), *more).agg(F.min("i").alias("i"))
+    return kept.select("a", "b", "i", (F.col("i") - F.col("shift")).cast("int").alias("j"), *more)
+
+
+def _unmet(windows: DataFrame, merged: DataFrame, label: DataFrame, least: int) -> DataFrame:
+    """(a, b, i, j): all pairs of windows of one signature whose places lie in different classes of spans, or in none, and leave room for a passage.
+
+    A signature of many windows is cut into blocks, and every two blocks are a key, so that neither is held by one task.
+    """
+    spans = merged.withColumn("node", F.struct("fp", "part")).join(label, "node", "left").select("fp", F.col("start_word").alias("at"), F.struct(F.col("end_word").alias("until"), F.xxhash64(F.coalesce("component", "node")).alias("class")).alias("span"))
+    rows = windows.withColumn("at", F.col("at").cast("long")).unionByName(spans, allowMissingColumns=True)
+    before = F.last("span", ignorenulls=True).over(Window.partitionBy("fp").orderBy("at", F.col("sig").isNotNull()))
+    own = F.xxhash64("fp", "at", F.lit(5))
+    placed = rows.withColumn("before", before).filter("sig is not null").withColumn("label", F.when(F.col("before.until") > F.col("at"), F.col("before.class")).otherwise(own))
+    several = placed.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK_WINDOWS).cast("int").alias("blocks"))
+    dealt = placed.join(several.filter("least < most").select("sig", "blocks"), "sig").withColumn("block", F.pmod(F.xxhash64("fp", "at"), "blocks").cast("int"))
+    with_all = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = with_all.select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "fp", "at", "context", "label")
+    key = ("sig", "one", "two")
+    return keyed.repartition(*key).sortWithinPartitions(*key).mapInArrow(tidy(_rest(least)), "a long, b long, i int, j int")
 
 
 def _verified(anchors: DataFrame, held: DataFrame, least_words: int) -> DataFrame:
@@ -618,6 +710,17 @@ def _components(found: DataFrame, merged: DataFrame) -> DataFrame:
     return connected_components(edges.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst")))
 
 
+def _classes(found: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The merged spans of all texts, and the component of each that a passage links."""
+    merged = materialize(_merged(_sides(found).unionByName(whole).distinct()), "windows-merged")
+    return merged, _components(found, merged)
+
+
+def _besides(pairs: DataFrame, met: DataFrame) -> DataFrame:
+    key = ("a", "b", (F.col("i") - F.col("j")).alias("shift"), F.floor(F.col("i") / JOIN_GAP).alias("near"))
+    return pairs.select(*key, "i", "j").join(met.select(*key), ["a", "b", "shift", "near"], "left_anti").select("a", "b", "i", "j")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """Per document and maximal span of words that repeats in another one: id, start_word, end_word (exclusive), first_id.
 
@@ -625,19 +728,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     bound_batches(docs.sparkSession)
     rows, least = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), least_words - WORDS + 1
-    anchors = candidates(rows, least)
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap_of(anchors.select(F.explode(F.array("a", "b")).alias("fp"))))
+    anchors, windows = candidates(rows, least)
 
-    def again(batches):
-        return _read_again(least, shared.value)(batches)
+    def again(pairs: DataFrame) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(_bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("fp"))))
+        return rows.mapInArrow(tidy(lambda batches: _read_again(least, shared.value)(batches)), f"id {dict(rows.dtypes)['id']}, n_words long, fp long, members binary")
 
-    read = materialize(rows.mapInArrow(tidy(again), f"id {dict(rows.dtypes)['id']}, n_words long, fp long, members binary"), "windows-texts")
+    read = materialize(again(anchors), "windows-texts")
     thin = read.select("id", "n_words", "fp").filter("fp is not null")
     found = _verified(anchors, read.select("fp", "members").filter("members is not null"), least_words)
     classes = thin.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words"))
     whole = classes.filter("copies > 1").select("fp", F.lit(0).alias("s"), F.col("n_words").cast("int").alias("e"))
-    merged = materialize(_merged(_sides(found).unionByName(whole).distinct()), "windows-merged")
-    label = _components(found, merged)
+    merged, label = _classes(found, whole)
+    rest = materialize(_besides(_thinned(_unmet(windows, merged, label, least)), anchors), "windows-rest")
+    if not rest.isEmpty():
+        found = found.unionByName(_verified(rest, again(rest).select("fp", "members").filter("members is not null"), least_words))
+        merged, label = _classes(found, whole)
     passage = merged.withColumn("me", F.struct("fp", "part")).join(label, F.col("me") == F.col("node"), "left").withColumn("component", F.coalesce("component", "me"))
     first = passage.join(classes.select("fp", "least_id"), "fp").groupBy("component").agg(F.min("least_id").alias("first_id"))
     passage = passage.join(first, "component").select("fp", "start_word", "end_word", "first_id")

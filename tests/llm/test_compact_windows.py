@@ -154,5 +154,29 @@ def test_texts_of_one_signature_meet_whatever_else_they_matched(spark, monkeypat
     assert len(want) > 40 and got == want
 
 
+def test_a_pair_that_no_middle_window_and_no_neighbour_meets_is_linked(spark, monkeypatch):
+    """Forty texts share a notice, and every two of them a passage that goes on behind a changed word."""
+    rnd = random.Random(3)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    notice, texts = fresh(40), []
+    for _ in range(20):
+        right = fresh(16)
+        texts += [fresh(20) + notice + fresh(1) + right + fresh(20) for _ in range(2)]
+    monkeypatch.setattr(C, "BLOCK_WINDOWS", 16, raising=False)
+    monkeypatch.setattr(C, "COMPARED", 1000, raising=False)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = sorted(map(tuple, C.repeated_passages(docs).collect()))
+    assert [r[::3] for r in found] == [(k, k - k % 2) for k in range(40)]
+    assert {(s, e) for _, s, e, _ in found} == {(20, 77)}
+
+
+@pytest.mark.parametrize("lengths", [(60, 80), (49, 30)])
+def test_stretches_of_one_word_meet_at_their_ends(lengths):
+    texts = [f"a{n} b{n} c{n} ".encode() + b"x " * n + f"d{n} e{n}".encode() for n in lengths]
+    keys, at, owner, _ = C.signatures(list(C.sequences(texts * 5)), 46) if min(lengths) > 45 else C.signatures(list(C.sequences([t + b" f" * 30 for t in texts])), 46)
+    own = [(int(k), int(p)) for k, p, o in zip(keys, at, owner, strict=True) if o == 0 and k % 2 == 0]
+    assert {p for _, p in own} >= {3, 3 + lengths[0] - 14} and any(k % 2 for k in keys.tolist())
+
+
 def test_empty_table(spark):
     assert C.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
