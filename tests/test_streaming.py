@@ -1,6 +1,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,41 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = frames(spark, tmp_path, [*rows, *late, *ahead], [(0, 100), (900, 901), (500, 505), (2000, 2001)])
     out = streams.drained(streams.change_points(stream, "60 seconds", 20_000_000), f"{tmp_path}/c4", "append").collect()
     assert sorted(tuple(r) for r in out if r.video_id == "a") == batch_segments(rows)
+
+
+def test_a_batch_of_rows_is_one_value_of_the_state_and_waits_for_its_timer():
+    class State:
+        def __init__(self):
+            self.held, self.reads = [], 0
+
+        def exists(self):
+            return bool(self.held)
+
+        def get(self):
+            self.reads += 1
+            return iter(self.held)
+
+        def appendList(self, rows):
+            self.held += rows
+
+    class Handle:
+        timers, waiting, open = [], State(), State()
+
+        def getListState(self, *_):
+            return self.waiting
+
+        def getValueState(self, *_):
+            return self.open
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    held, work = Handle(), streams.OpenSegments(1000)
+    work.init(held)
+    batch = pd.DataFrame({"at": range(5_000, 6_000), "frame_idx": range(1000), "motion_magnitude": 1.0, "motion_direction": None, "brightness": 0.5})
+    assert list(work.handleInputRows(("a",), iter([batch, batch]), Times())) == []
+    assert len(held.waiting.held) == 2 and held.waiting.reads == 0 and held.timers == [5]
