@@ -15,7 +15,8 @@ its centre. The bits that agree bound the run that two windows share, and only
 joins that leave room for 25 words go on. Within a signature, a window meets
 the ones nearest to what most agree on, and those before it in the orders of what follows and of what
 goes before the centre if they share more; so a group of copies costs a few
-pairs for each member, never all pairs. A task joins its own windows first and
+pairs for each member. Windows that lie in different classes of spans after that, or in none, are
+paired in full in blocks, verified and classed again. A task joins its own windows first and
 hands on one of those whose bits show one passage, so a passage in a third of
 all texts arrives at its key once a task.
 
