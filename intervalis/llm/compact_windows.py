@@ -16,7 +16,9 @@ joins that leave room for 25 words go on. Within a signature, a window meets
 the ones nearest to what most agree on, and those before it in the orders of what follows and of what
 goes before the centre if they share more; so a group of copies costs a few
 pairs for each member. Windows that lie in different classes of spans after that, or in none, are
-paired in full in blocks, verified and classed again. A task joins its own windows first and
+paired in full in blocks, verified and classed again. Up to HEADS windows of a signature have all met before. A
+stretch of one word is one shingle of a passage of several runs, which has other windows too: at its edges only
+runs that are a passage alone are paired. A task joins its own windows first and
 hands on one of those whose bits show one passage, so a passage in a third of
 all texts arrives at its key once a task.
 
@@ -66,6 +68,8 @@ JOIN_ROWS, BLOCK_PAIRS = 1 << 20, 2048
 #: Windows of a signature that are paired in full in one block, and pairs that are compared at a time.
 BLOCK_WINDOWS, COMPARED = 1024, 1 << 21
 _POSITION_BITS = 26
+#: The bit of a key that tells windows at the edges of stretches of one word.
+EDGE = np.uint64(2)
 _SCATTER = 0x2C1B3C7  # odd: equal hashes are ordered by scattered positions, so that repetition makes no deep tree
 _UNSCATTER = pow(_SCATTER, -1, 1 << _POSITION_BITS)
 
@@ -135,8 +139,9 @@ def _bits_ahead(bits: np.ndarray) -> np.ndarray:
 def signatures(found: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, centres, text numbers and contexts of the compact windows of the texts' grams.
 
-    A stretch of one word has windows of odd keys, and two of even keys of their own, at its first and its last gram:
+    A stretch of one word has windows of odd keys, and two of even keys of their own (EDGE), at its first and its last gram:
     two stretches share no longer run, nor one that goes beyond both, than where their beginnings or their ends meet.
+    The context of these begins beyond ``edge_shingles``.
     """
     core = core_shingles(least)
     gram = max(1, min(GRAM_WORDS - WORDS + 1, core - 2))  # in shingles
@@ -152,17 +157,29 @@ def signatures(found: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndar
     turns = np.append(np.union1d(turns, begins), len(joined))
     stretch = np.searchsorted(turns, centre, side="right") - 1
     even = turns[stretch + 1] - centre >= gram
-    keys = (content[centre] & ~np.uint64(1)) | even.astype(np.uint64)
+    keys = (content[centre] & ~(EDGE | np.uint64(1))) | even.astype(np.uint64)
     first, last = (np.unique(v[even]) for v in (turns[stretch], turns[stretch + 1] - gram))
-    edges = [mix(content[v] + np.uint64(k)) & ~np.uint64(1) for k, v in enumerate((first, last), 1)]
-    keys, centre = np.concatenate([keys, *edges]), np.concatenate([centre, first, last])
+    edges = [mix(content[v] + np.uint64(k)) & ~np.uint64(1) | EDGE for k, v in enumerate((first, last), 1)]
+    between, more = first[1:] - last[:-1] - gram, edge_shingles(least, gram) - gram
+    of_text = np.searchsorted(begins, first, side="right")
+    apart, loose = np.flatnonzero((between > gram) & (between < least + SIDE) & (of_text[1:] == of_text[:-1])), np.zeros(len(first), bool)
+    loose[apart] = loose[apart + 1] = True  # runs of one stretch and few words on its sides may be a passage together
+    weak = [mix(content[v[loose]] + np.uint64(k)) & ~(EDGE | np.uint64(1)) for k, v in enumerate((first, last), 3)]
+    extra, before = (np.repeat([0, more * a, more * b, 0], [len(centre), len(first), len(last), 2 * loose.sum()]) for a, b in ((1, 0), (0, 1)))
+    keys, centre = np.concatenate([keys, *edges, *weak]), np.concatenate([centre, first, last, first[loose], last[loose]])
     owner = np.searchsorted(begins, centre, side="right") - 1
     bits = joined >> np.uint64(63)
-    ahead = np.append(_bits_ahead(bits), np.zeros(gram, np.uint64))[centre + gram]
-    behind = np.append(_bits_ahead(bits[::-1]), np.uint64(0))[len(joined) - centre]
+    none = np.zeros(gram + least, np.uint64)
+    ahead = np.append(_bits_ahead(bits), none)[centre + gram + extra]
+    behind = np.append(_bits_ahead(bits[::-1]), none)[len(joined) - centre + before]
     return keys, centre - begins[owner], long[owner], (behind << np.uint64(SIDE)) | ahead
 
 
+def edge_shingles(least: int, gram: int) -> int:
+    """Shingles of a stretch that the contexts of its edge windows leave out, so that they reach as far as ``least`` shingles."""
+    return max(gram, least - SIDE)
+
+
 def shared_words(x: np.ndarray, y: np.ndarray, gram_words: int) -> np.ndarray:
     """At least the words of the run around two windows' centres, for runs that end within their contexts."""
     apart, low = x ^ y, np.uint64((1 << SIDE) - 1)
@@ -213,6 +230,17 @@ class Windows:
         some = self.take(order[several])
         return some.take(np.lexsort((some.at, some.fp, some.sig))), order[~several]
 
+    def room(self, rows: np.ndarray, others: np.ndarray, core_words: int, gram_words: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """At least the words that pairs of one signature share around their centres, and whether these leave room for a passage that is found here.
+
+        A stretch of one word is one shingle to a passage of several runs, so such a passage has a run with other windows
+        (or stretches near each other, which have windows of other keys): windows at an edge meet for a passage of one run.
+        """
+        edge = self.sig[rows] & EDGE != 0
+        more = edge_shingles(least, gram_words - WORDS + 1) + WORDS - 1 - gram_words
+        shared = shared_words(self.context[rows], self.context[others], gram_words) + np.where(edge, more, 0)
+        return shared, shared >= np.where(edge, least + WORDS - 1, core_words)
+
     def _middle(self, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The HEADS rows of each signature whose contexts differ least from the bits that three quarters of its rows agree on: originals rather than changed copies."""
         out = first + np.minimum(np.arange(HEADS)[:, None], sizes - 1)
@@ -229,6 +257,18 @@ class Windows:
         out[:, many] = rows[np.lexsort((rows, off, group))[at + np.minimum(np.arange(HEADS)[:, None], width - 1)]]
         return out
 
+    def any_of(self, flag: np.ndarray) -> np.ndarray:
+        """Of ordered rows: whether the flag holds for any row of the signature."""
+        if not len(self):
+            return flag
+        new = np.concatenate(([True], self.sig[1:] != self.sig[:-1]))
+        return np.logical_or.reduceat(flag, np.flatnonzero(new))[np.cumsum(new) - 1]
+
+    def unequal(self) -> Windows:
+        """Of ordered rows one of each place of a text."""
+        new = np.concatenate(([True], (self.sig[1:] != self.sig[:-1]) | (self.fp[1:] != self.fp[:-1]) | (self.at[1:] != self.at[:-1])))
+        return self.take(np.flatnonzero(new[: len(self)]))
+
     def links(self, core_words: int, gram_words: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of ordered rows: pairs (row, other row) to verify, and which rows others have yet to meet: those of the middle one's text, and those not surely similar to it."""
         n = len(self)
@@ -241,13 +281,14 @@ class Windows:
         of_head = self.fp == self.fp[head]
         other = np.where(of_head, np.where(self.fp[begin] != self.fp, begin, end), head)
         apart = self.fp[other] != self.fp
-        shared = np.where(apart, shared_words(self.context, self.context[other], gram_words), 0)
-        meets = apart & (shared >= core_words) & (every != head)
+        shared, enough = self.room(every, other, core_words, gram_words, least)
+        shared = np.where(apart, shared, 0)
+        meets = apart & enough & (every != head)
         sure = meets & surely_similar(self.context, self.context[other], gram_words, least)
         rows, others = [every[meets]], [other[meets]]
         for h in more_heads:
             a = np.flatnonzero(~sure & (self.fp[h] != self.fp) & (h != other))
-            a = a[shared_words(self.context[a], self.context[h[a]], gram_words) >= core_words]
+            a = a[self.room(a, h[a], core_words, gram_words, least)[1]]
             rows.append(a)
             others.append(h[a])
         low = np.uint64((1 << SIDE) - 1)
@@ -256,12 +297,13 @@ class Windows:
             a, b = order[1:], order[:-1]
             near = (self.sig[a] == self.sig[b]) & (self.fp[a] != self.fp[b])
             a, b = a[near], b[near]
-            more = shared_words(self.context[a], self.context[b], gram_words)
-            better = (more >= core_words) & (more > np.minimum(shared[a], shared[b]))
+            more, enough = self.room(a, b, core_words, gram_words, least)
+            better = enough & (more > np.minimum(shared[a], shared[b]))
             rows.append(a[better])
             others.append(b[better])
         rows, others = np.concatenate(rows), np.concatenate(others)
-        return rows, others, of_head | ~sure
+        stay = of_head | ~sure | (sizes <= HEADS)[np.cumsum(np.bincount(first, minlength=n)) - 1]
+        return rows, others, stay
 
 
 def _anchors(windows: Windows, rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -294,12 +336,13 @@ def _keyed(least: int):
         windows, alone = every.shared()
         rows, others, stay = windows.links(*_lengths(least))
         kept = Windows.of([every.take(alone), windows.take(np.flatnonzero(stay))])
-        none = pa.nulls(len(kept), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(kept.sig.view(np.int64)), pa.array(kept.fp), pa.array(kept.at.astype(np.int32)), pa.array(kept.context.view(np.int64)), none, none.cast(pa.int32())], schema=_ROW)
+        held_back = windows.any_of(~stay)
+        more = np.concatenate([np.zeros(len(alone), np.int32), held_back[stay].astype(np.int32)])
+        yield pa.RecordBatch.from_arrays([pa.array(kept.sig.view(np.int64)), pa.array(kept.fp), pa.array(kept.at.astype(np.int32)), pa.array(kept.context.view(np.int64)), pa.nulls(len(kept), pa.int64()), pa.array(more)], schema=_ROW)
         a, b, i, j = _anchors(windows, rows, others)
         spread = mix(a.view(np.uint64) + mix(b.view(np.uint64) + i.astype(np.uint64))).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(a), pa.array(i.astype(np.int32)), pa.nulls(len(a), pa.int64()), pa.array(b), pa.array(j.astype(np.int32))], schema=_ROW)
-        windows = windows.take(np.flatnonzero(windows.sig & np.uint64(1) == 0))
+        windows = windows.take(np.flatnonzero(held_back & (windows.sig & np.uint64(1) == 0)))
         spread = mix(windows.fp.view(np.uint64) + mix(windows.sig + windows.at.astype(np.uint64))).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(windows.fp), pa.array(windows.at.astype(np.int32)), pa.array(windows.context.view(np.int64)), pa.array(windows.sig.view(np.int64)), pa.array(np.full(len(windows), _IS_WINDOW, np.int32))], schema=_ROW)
 
@@ -328,16 +371,20 @@ def _keyed(least: int):
 def _linked(least: int):
     """Pairs of windows from rows in the order of their signatures, and the windows of shared ones; a signature of very many rows is read in pieces, each with its first row."""
 
-    def pairs(every: Windows) -> Iterator[pa.RecordBatch]:
+    def pairs(every: Windows, more: set[int]) -> Iterator[pa.RecordBatch]:
         windows, _ = every.shared()
+        windows = windows.unequal()
         rows, others, _ = windows.links(*_lengths(least))
         a, b, i, j = _anchors(windows, rows, others)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.nulls(len(a), pa.int64())], schema=_PAIR)
-        windows = windows.take(np.flatnonzero(windows.sig & np.uint64(1) == 0))
+        _, group, sizes = np.unique(windows.sig, return_inverse=True, return_counts=True)
+        unmet = (sizes[group] > HEADS) | np.isin(windows.sig, np.array(sorted(more), np.uint64))
+        windows = windows.take(np.flatnonzero(unmet & (windows.sig & np.uint64(1) == 0)))
         yield _window_rows(pa.array(windows.sig.view(np.int64)), pa.array(windows.fp), pa.array(windows.at.astype(np.int32)), pa.array(windows.context.view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[Windows] = []
+        more: set[int] = set()  # signatures of the parts that have other windows elsewhere: few at a time
         for batch in batches:
             done = batch.filter(batch.column("b").is_valid())
             paired = pa.array(done.column("j").to_numpy() != _IS_WINDOW)
@@ -346,18 +393,21 @@ def _linked(least: int):
             yield _window_rows(*(windows.column(c) for c in ("b", "fp", "at", "context")))
             rest = batch.filter(batch.column("b").is_null())
             if rest.num_rows:
+                more.update(rest.filter(pc.equal(rest.column("j"), 1)).column("sig").to_numpy().view(np.uint64).tolist())
                 parts.append(Windows(rest.column("sig").to_numpy().view(np.uint64), rest.column("fp").to_numpy(), rest.column("at").to_numpy().astype(np.int64), rest.column("context").to_numpy().view(np.uint64)))
             if sum(map(len, parts)) >= JOIN_ROWS:
                 windows = Windows.of(parts)
                 last = int(np.flatnonzero(windows.sig != windows.sig[-1]).max(initial=-1)) + 1
                 if last:
-                    yield from pairs(windows.take(np.arange(last)))
+                    yield from pairs(windows.take(np.arange(last)), more)
                     parts = [windows.take(np.arange(last, len(windows)))]
+                    more &= {int(windows.sig[-1])}
                 else:
-                    yield from pairs(windows)
+                    yield from pairs(windows, more | {int(windows.sig[0])})
                     parts = [windows.take(np.arange(1))]
+                    more = {int(windows.sig[0])}
         if parts:
-            yield from pairs(Windows.of(parts))
+            yield from pairs(Windows.of(parts), more)
 
     return run
 
@@ -368,7 +418,6 @@ def _window_rows(sig: pa.Array, fp: pa.Array, at: pa.Array, context: pa.Array) -
 
 def _rest(least: int):
     """Pairs (a, b, i, j) of all windows of a block (rows in the order of signature and block) that lie in different classes and leave room for a passage."""
-    core_words, gram_words, _ = _lengths(least)
     schema = pa.schema([(f.name, f.type) for f in _PAIR][:4])
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -385,7 +434,7 @@ def _rest(least: int):
             y = np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts) + x + 1
             meets = (fp[x] != fp[y]) & (label[x] != label[y]) & ((one[x] == two[x]) | (block[x] != block[y]))
             x, y = x[meets], y[meets]
-            far = shared_words(every.context[x], every.context[y], gram_words) >= core_words
+            far = every.room(x, y, *_lengths(least))[1]
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(_anchors(every, x[far], y[far]), schema, strict=True)], schema=schema)
             low = high
 

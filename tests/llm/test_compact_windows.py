@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from intervalis.llm import compact_windows as C
@@ -180,3 +182,17 @@ def test_stretches_of_one_word_meet_at_their_ends(lengths):
 
 def test_empty_table(spark):
     assert C.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def second_round(texts, least=46):
+    """Pairs of windows that the second round verifies where no two texts are linked."""
+    keys, at, owner, context = C.signatures(list(C.sequences([" ".join(t).encode() for t in texts])), least)
+    rows = pd.DataFrame({"sig": keys.view(np.int64), "one": 0, "two": 0, "block": 0, "fp": owner, "at": at.astype(np.int32), "context": context.view(np.int64), "label": owner})
+    rows = rows[rows.sig % 2 == 0].sort_values("sig", kind="stable")
+    return sum(b.num_rows for b in C._rest(least)(iter([pa.RecordBatch.from_pandas(rows, preserve_index=False)])))
+
+
+def test_stretches_of_one_word_that_are_too_short_are_not_paired_in_full():
+    rnd = random.Random(4)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    assert second_round([fresh(30) + ["the"] * rnd.randrange(26, 44) + fresh(30) for _ in range(80)]) < 40  # of 3160 pairs of texts
