@@ -145,9 +145,10 @@ REGISTER.add(
 
 
 def _timeline_files(s, d):
-    """Every project's document, written as a file and read back."""
+    """Every project's document, written as a packed file and read back."""
     path = f"{shared_folder(s)}/timelines-{uuid.uuid4().hex}"
-    timeline_files.write_timelines(timeline.layout(_clips(s, d), "sequence"), path)
+    clips = _clips(s, d).select("project_id", "filename", "start_time", "clip_no", "tier", "clip_in", "clip_out", "clip_length")
+    timeline_files.write_timelines(timeline.layout(clips, "sequence").withColumn("path", F.col("filename")), path, compression="gzip")
     read = timeline_files.read_timelines(s, path).filter("kind = 'clip'")
     return read.select(F.regexp_extract("file", r"^p-(.*)\.xml$", 1).cast("long").alias("project_id"), F.col("text").alias("item"))
 

@@ -1,11 +1,15 @@
+import gzip
 import json
 import os
+import time
 import xml.etree.ElementTree as tree
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from intervalis.operators import timeline
+from intervalis.plans import catalogue, scratch
 from intervalis.sources import timeline_files as T
 
 
@@ -104,3 +108,55 @@ def test_a_timeline_beyond_two_billion_frames(spark, tmp_path):
     late = placed(spark, 12).withColumns({c: F.col(c) + 1e8 for c in ("timeline_start", "timeline_end")})
     T.write_timelines(late, path)
     assert min(int(e.text) for root in read_files(path).values() for e in root.iter("start")) >= 3_000_000_000
+
+
+def test_packed_documents_are_the_same(spark, tmp_path):
+    plain, packed, rows = str(tmp_path / "plain"), str(tmp_path / "packed"), placed(spark)
+    T.write_timelines(rows, plain)
+    T.write_timelines(rows, packed, compression="gzip")
+    text = lambda path, read: {name.removesuffix(".gz"): read(f"{path}/{f}/{name}", "rb").read() for f in T.committed(path) for name in os.listdir(f"{path}/{f}") if name.startswith(("p-", "null."))}
+    assert text(plain, open) == text(packed, gzip.open) and len(text(plain, open)) == 6
+    assert all(name.endswith(".xml.gz") for f in T.committed(packed) for name in os.listdir(f"{packed}/{f}") if not name.startswith("."))
+    assert sorted(T.read_timelines(spark, plain).collect()) == sorted(T.read_timelines(spark, packed).collect())
+    with pytest.raises(Exception, match="unknown compression"):
+        T.write_timelines(rows, packed, compression="lzo")
+
+
+def test_the_text_of_the_documents_lies_nowhere_on_disk(spark):
+    """All that the query leaves, and its documents, are a fraction of the lines it returns."""
+    root = scratch.shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(f"{top}/{name}") for top, _, names in os.walk(root) for name in names)
+    before, rows = size(), lambda: {name for name in os.listdir(root) if name.startswith("timeline-rows-")}
+    left = rows()
+    found = catalogue.QUERIES["timeline_files"](spark, "/root/testdata/sf0.01")
+    kept = size() - before
+    assert kept < found.agg(F.sum(F.length("item"))).first()[0] / 2
+    assert rows() == left
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {name for folder in folders for _, _, names in os.walk(folder) for name in names if name.startswith("shuffle_")}
+    before, setting = shuffled(), {k: v for k, v in spark.conf.getAll.items() if "fileCleanup" in k}
+    table = scratch.materialize(spark.range(20_000).withColumn("x", F.rand(3)).repartitionByRange(5, "x"), "shuffled")
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and table.count() == 20_000
+    assert {k: v for k, v in spark.conf.getAll.items() if "fileCleanup" in k} == setting
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+@pytest.mark.parametrize("least", [1, 40, 1 << 20])
+def test_blocks_hold_every_line_in_order_however_batches_fall(size, least, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_BYTES", least)
+    rows = [(p, t, k) for p in (None, "a", "b") for t in (1, 2) for k in range(7)]
+    table = pa.table({"project": [p for p, _, _ in rows], "ends": pa.array([(k * 5) % 7 for *_, k in rows], pa.int64()), "track": pa.array([t for _, t, _ in rows], pa.int64()), "timeline_start": [float(k) for *_, k in rows], "position": pa.array([k for *_, k in rows], pa.int64()), "item": [f"<{p} {t} {k}>" for p, t, k in rows]})
+    blocks = [r for b in T._blocks(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    assert [(b["project"], b["track"], line) for b in blocks for line in gzip.decompress(b["lines"]).decode().splitlines()] == [(p, t, f"<{p} {t} {k}>") for p, t, k in rows]
+    assert sum(b["clips"] for b in blocks) == len(rows) and max(b["ends"] for b in blocks) == 6
+    assert all(gzip.decompress(b["lines"]).decode().startswith(f"<{b['project']} {b['track']} {b['position']}>") and b["timeline_start"] == b["position"] for b in blocks)
+    if least == 1 << 20:
+        assert len(blocks) == 6
+    elif least == 1:
+        assert len(blocks) == len(rows) if size == 1 else len(blocks) > 6 or size == 1000
