@@ -114,14 +114,27 @@ def test_packed_documents_are_the_same(spark, tmp_path):
     plain, packed, rows = str(tmp_path / "plain"), str(tmp_path / "packed"), placed(spark)
     T.write_timelines(rows, plain)
     T.write_timelines(rows, packed, compression="gzip")
-    text = lambda path, read: {name.removesuffix(".gz"): read(f"{path}/{f}/{name}", "rb").read() for f in T.committed(path) for name in os.listdir(f"{path}/{f}") if name.startswith(("p-", "null."))}
+    text = lambda path, read: {name.removesuffix(".gz"): read(f"{path}/{f}/{name}", "rb").read() for f in T.committed(path) for name in os.listdir(f"{path}/{f}") if name.startswith(("p-", "null.")) and not name.endswith(T.MEMBERS)}
     assert text(plain, open) == text(packed, gzip.open) and len(text(plain, open)) == 6
-    assert all(name.endswith(".xml.gz") for f in T.committed(packed) for name in os.listdir(f"{packed}/{f}") if not name.startswith("."))
+    assert all(name.endswith((".xml.gz", T.MEMBERS)) for f in T.committed(packed) for name in os.listdir(f"{packed}/{f}") if not name.startswith("."))
     assert sorted(T.read_timelines(spark, plain).collect()) == sorted(T.read_timelines(spark, packed).collect())
     with pytest.raises(Exception, match="unknown compression"):
         T.write_timelines(rows, packed, compression="lzo")
 
 
+def test_a_packed_document_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Plain and packed documents lie side by side, and a third of all clips in one of them is read in several tasks."""
+    monkeypatch.setattr(T, "TASK_ROWS", 50)
+    path, rows = str(tmp_path / "out"), placed(spark)
+    T.write_timelines(rows.filter("project_id = 'hot'"), path, compression="gzip")
+    T.write_timelines(rows.filter("project_id <> 'hot' or project_id is null"), path, mode="append")
+    read = T.read_timelines(spark, path)
+    assert read.filter("kind = 'clip'").count() == 400 and read.filter("kind = 'head'").count() == 6
+    assert read.filter("file = 'p-hot.xml' and kind = 'clip'").select(F.spark_partition_id()).distinct().count() >= 2
+    want = {r["item"] for r in timeline.clip_items(rows).filter("project_id = 'hot'").collect()}
+    assert {r.text for r in read.filter("file = 'p-hot.xml' and kind = 'clip'").collect()} == want and len(want) == 134
+
+
 def test_the_text_of_the_documents_lies_nowhere_on_disk(spark):
     """All that the query leaves, and its documents, are a fraction of the lines it returns."""
     root = scratch.shared_folder(spark).removeprefix("file:")
